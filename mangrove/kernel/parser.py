@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from . import grammar as G
 from . import punycode
@@ -41,6 +42,7 @@ def word(text: str, kind: str = "identifier") -> Tree:
     return Tree(kind, text=text)
 
 
+@cache
 def nominal(kind: str, name: str) -> Tree:
     return typed(Tree(kind, (word(STDLIB, "module"), word(name))))
 
@@ -293,29 +295,18 @@ class Parser:
         c = self.read()
         if "\x01" <= c <= "\x0c":
             return self.symbolic(ord(c))
-        for n in (1, 2, 3):
-            op = self.s[self.at - 1 : self.at - 1 + n]
-            if len(op) < n:
-                break
-            if rule := G.RULES.get(op):
-                self.at += n - 1
-                kind, pops, wrap = rule
-                node = Tree(kind, [self.operand(p) for p in pops][::-1])
-                return typed(node) if wrap else node
-            if leaf := G.LEAF_KINDS.get(op):
-                self.at += n - 1
-                return Tree(leaf)
-            if kind := G.FUNCTIONS.get(op):
+        run = _ONE.get(c)
+        if run is not None:
+            return run(self)
+        for n in (2, 3):
+            run = _LONGER.get(self.s[self.at - 1 : self.at - 1 + n])
+            if run is not None:
                 self.at += n - 1
-                return self.function_type(kind, op.startswith("Xz"))
-            if kind := G.NOMINALS.get(op):
-                self.at += n - 1
-                name = self.decl_name()
-                return self.remember(typed(Tree(kind, (self.context(), name))))
-        special = _SPECIAL.get(c)
-        if special is None:
+                return run(self)
+        run = _SPECIAL.get(c)
+        if run is None:
             raise self.fail()
-        return special(self)
+        return run(self)
 
     def remember(self, node: Tree) -> Tree:
         self.subs.append(node)
@@ -482,7 +473,7 @@ class Parser:
     def with_parent(self, kind: str, kids: list[Tree], at: int) -> Tree:
         """The entity, opaque result types in the type `kids[at]` being told whose they are."""
         whole = Tree(kind, kids)
-        if not any(n.kind == "opaqueReturnType" for n in _own(kids[at])):
+        if "Qr" not in self.s and "QR" not in self.s or not any(n.kind == "opaqueReturnType" for n in _own(kids[at])):
             return whole
         from .encoder import SymbolEncodeError, encode
 
@@ -1069,6 +1060,32 @@ _SPECIAL: dict[str, Callable[[Parser], Tree]] = {
 } | {d: Parser.digit for d in "0123456789"}
 
 
+def _regular(kind: str, pops: str, wrap: bool) -> Callable[[Parser], Tree]:
+    def run(p: Parser) -> Tree:
+        node = Tree(kind, [p.operand(letter) for letter in pops][::-1])
+        return typed(node) if wrap else node
+
+    return run
+
+
+def _named(kind: str) -> Callable[[Parser], Tree]:
+    def run(p: Parser) -> Tree:
+        name = p.decl_name()
+        return p.remember(typed(Tree(kind, (p.context(), name))))
+
+    return run
+
+
+_TABLES: dict[str, Callable[[Parser], Tree]] = {
+    **{op: _regular(*rule) for op, rule in G.RULES.items()},
+    **{op: lambda p, leaf=Tree(kind): leaf for op, kind in G.LEAF_KINDS.items()},
+    **{op: lambda p, kind=kind, clang=op.startswith("Xz"): p.function_type(kind, clang) for op, kind in G.FUNCTIONS.items()},
+    **{op: _named(kind) for op, kind in G.NOMINALS.items()},
+}
+_LONGER = {op: run for op, run in _TABLES.items() if len(op) > 1}
+_ONE = {op: run for op, run in _TABLES.items() if len(op) == 1} | {op: run for op, run in _SPECIAL.items() if op not in {x[0] for x in _LONGER}}
+
+
 def _own(node: Tree):
     """Nodes of a type, without those of entities inside it; each instance once."""
     stack, seen = [node], set()

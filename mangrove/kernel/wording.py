@@ -191,11 +191,6 @@ KINDS = {
     "opaque": "opaqueReturnType opaqueReturnTypeIndex opaqueReturnTypeOf opaqueReturnTypeParent opaqueType",
     "outlined": "outlinedAssignWithCopy outlinedAssignWithCopyNoValueWitness outlinedAssignWithTake outlinedAssignWithTakeNoValueWitness outlinedBridgedMethod outlinedConsume outlinedCopy outlinedDestroy outlinedDestroyNoValueWitness outlinedEnumGetTag outlinedEnumProjectDataForLoad outlinedEnumTagStore outlinedInitializeWithCopy outlinedInitializeWithCopyNoValueWitness outlinedInitializeWithTakeNoValueWitness outlinedInitializeWithTake outlinedRelease outlinedRetain outlinedVariable outlinedReadOnlyObject",
     "sil-type": "silBoxImmutableField silBoxLayout silBoxMutableField silBoxType silBoxTypeWithLayout silPackDirect silPackIndirect",
-    "listed exception": "Md` and `MD` share a kind, re-encode as `MD",
-    "reproduce": "Sc` + letter only; the `c` = UnicodeScalar entry is unreachable because `c` is consumed first",
-    "exception": "uncurriedFunctionType` re-encodes as `c`, parsed as `XU",
-    "keep": "BW` builtin is an extension",
-    "reproduce; *inferred* loss of the unique id": "Contents` dropped when children exist (e.g. function-specialization unique id)",
 }
 
 

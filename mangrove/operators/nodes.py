@@ -8,14 +8,20 @@ from pyspark.sql.window import Window
 
 from ..functions import symbols as S
 from ..kernel import grammar as G
-from ..kernel.printer import display
+from ..kernel.tree import display
 from ..kernel.wording import classes
 
 
+def spread(symbols: DataFrame, column: str = "symbol") -> DataFrame:
+    """Distinct symbols, dealt to enough tasks for the grammar work that follows: repeats go before the shuffle, and a stated number of partitions is not coalesced although symbols are short."""
+    spark = symbols.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return symbols.select(F.col(column).alias("symbol")).distinct().repartition(n, "symbol")
+
+
 def parse(symbols: DataFrame, column: str = "symbol", distinct: bool = True) -> DataFrame:
-    """symbol and the fields of the parse. Symbols are made distinct first, so each is parsed once."""
-    source = symbols.select(F.col(column).alias("symbol"))
-    source = source.distinct() if distinct else source
+    """symbol and the fields of the parse; each distinct symbol is parsed once."""
+    source = spread(symbols, column) if distinct else symbols.select(F.col(column).alias("symbol"))
     return source.withColumn("d", S.demangle(F.col("symbol"))).select("symbol", "d.*")
 
 

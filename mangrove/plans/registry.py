@@ -1,11 +1,363 @@
-"""Registered queries of the symbol engine."""
+"""Registered queries of the symbol engine, each with the SQL that gives the same rows.
+
+The test tables hold no symbols, so queries build them from columns: `nom` is the symbol of a type n_name in a module r_name,
+`fn` that of a method with two parameters, one per line item.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import symbols as S
+from ..kernel.parser import word
+from ..kernel.tree import Tree
+from ..operators import nodes as N
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: The SQL twin of `nominals`.
+NOM = "t AS (SELECT n_nationkey, r_name, n_name, '$s' || length(r_name) || r_name || length(n_name) || n_name AS nom FROM region JOIN nation ON r_regionkey = n_regionkey)"
+
+
+def ident(name: Column) -> Column:
+    return F.concat(F.length(name).cast("string"), name)
+
+
+def nominals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
+    rows = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    return rows.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "r_name", "n_name", F.concat(F.lit("$s"), ident(F.col("r_name")), ident(F.col("n_name"))).alias("nom"))
+
+
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One method symbol per line item: module by return flag, type by supplier, name by part."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    module, of, name = F.concat(F.lit("M"), F.col("l_returnflag")), F.concat(F.lit("T"), F.col("l_suppkey")), F.concat(F.lit("f"), F.col("l_partkey"))
+    return items.select("l_returnflag", F.concat(F.lit("$s"), ident(module), ident(of), F.lit("V"), ident(name), F.lit("yySi_SStF")).alias("symbol"))
+
+
+METHODS = "m AS (SELECT l_returnflag, 'M' || l_returnflag AS module, 'T' || l_suppkey AS of, 'f' || l_partkey AS name FROM lineitem), s AS (SELECT *, '$s' || length(module) || module || length(of) || of || 'V' || length(name) || name || 'yySi_SStF' AS symbol FROM m)"
+
+
+def query(oracle: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _printed(name: str, symbol: Callable[[Column], Column], sql_symbol: str, sql_text: str, options: str | int = "default") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = nominals(spark, sf_dir).select(symbol(F.col("nom")).alias("symbol"))
+        return rows.withColumn("printed", S.print_symbol(F.col("symbol"), options))
+
+    run.__name__ = name
+    query(f"WITH {NOM} SELECT {sql_symbol} AS symbol, {sql_text} AS printed FROM t")(run)
+
+
+def _after(text: str) -> Callable[[Column], Column]:
+    return lambda nom: F.concat(nom, F.lit(text))
+
+
+def _inside(head: str, tail: str) -> Callable[[Column], Column]:
+    return lambda nom: F.concat(F.lit("$s" + head), S.strip_prefix(nom), F.lit(tail))
+
+
+def _simple(name: str, tail: str, before: str = "", after: str = "", options: str | int = "default", text: str = "r_name || '.' || n_name") -> None:
+    _printed(name, _after(tail), f"nom || '{tail}'", f"'{before}' || {text} || '{after}'", options)
+
+
+_simple("nominal_print", "V")
+_simple("type_mangling_print", "VD")
+_simple("class_print", "C")
+_simple("enum_print", "O")
+_simple("protocol_print", "P")
+_simple("optional_print", "VSgD", "Swift.Optional<", ">")
+_simple("optional_sugar_print", "VSgD", "", "?", "sugared")
+_simple("metatype_print", "VmD", "", ".Type")
+_simple("inout_print", "VzD", "inout ")
+_simple("weak_print", "CXwD", "weak ")
+_simple("tuple_print", "V_SitD", "(", ", Swift.Int)")
+_simple("function_print", "yyF", "", "() -> ()")
+_simple("async_throws_print", "yyYaKF", "", "() async throws -> ()")
+_simple("result_print", "SiyF", "", "() -> Swift.Int")
+_simple("labels_print", "1a1bySi_SStF", "", "(a: Swift.Int, b: Swift.String) -> ()")
+_simple("initializer_print", "VACycfC", "", "", text="r_name || '.' || n_name || '.init() -> ' || r_name || '.' || n_name")
+_simple("deinit_print", "CfD", "", ".__deallocating_deinit")
+_simple("getter_print", "V1aSivg", "", ".a.getter : Swift.Int")
+_simple("subscript_print", "VyS2icig", "", ".subscript.getter : (Swift.Int) -> Swift.Int")
+_simple("static_print", "V1fyyFZ", "static ", ".f() -> ()")
+_simple("closure_print", "yyFyycfU_", "closure #1 () -> () in ", "() -> ()")
+_simple("operator_print", "V2eeoiySbAC_ACtFZ", "", "", text="'static ' || r_name || '.' || n_name || '.== infix(' || r_name || '.' || n_name || ', ' || r_name || '.' || n_name || ') -> Swift.Bool'")
+_simple("metadata_print", "VN", "type metadata for ")
+_simple("descriptor_print", "VMn", "nominal type descriptor for ")
+_simple("accessor_print", "VMa", "type metadata accessor for ")
+_simple("full_metadata_print", "CMf", "full type metadata for ")
+_simple("value_witness_table_print", "VWV", "value witness table for ")
+_simple("value_witness_print", "Vwal", "allocateBuffer value witness for ")
+_simple("witness_table_print", "VSHsWP", "protocol witness table for ", " : Swift.Hashable in Swift")
+_simple("conformance_descriptor_print", "VSHsMc", "protocol conformance descriptor for ", " : Swift.Hashable in Swift")
+_simple("outlined_copy_print", "VWOy", "outlined copy of ")
+_simple("curry_thunk_print", "yyFTc", "curry thunk of ", "() -> ()")
+_simple("dispatch_thunk_print", "yyFTj", "dispatch thunk of ", "() -> ()")
+_simple("objc_thunk_print", "yyFTo", "@objc ", "() -> ()")
+_simple("partial_apply_print", "yyFTA", "partial apply forwarder for ", "() -> ()")
+_simple("partial_apply_short_print", "yyFTA", "partial apply for ", "()", "simplified", text="n_name")
+_simple("merged_print", "yyFTm", "merged ", "() -> ()")
+_simple("specialization_print", "yyFSi_Tg5", "generic specialization <Swift.Int> of ", "() -> ()")
+_simple("generic_signature_print", "yyxlF", "", "<A>(A) -> ()")
+_simple("requirement_print", "yyxSHRzlF", "", "<A where A: Swift.Hashable>(A) -> ()")
+_simple("simplified_print", "V", options="simplified", text="n_name")
+_simple("interface_print", "VSgD", "", "?", "interface")
+_simple("options_no_module", "V", options=S.flags_of("default") & ~S.flags_of("qualifyEntities"), text="n_name")
+_printed("array_print", _inside("Say", "VGD"), "'$sSay' || substr(nom, 3) || 'VGD'", "'[' || r_name || '.' || n_name || ']'", "sugared")
+_printed("array_plain_print", _inside("Say", "VGD"), "'$sSay' || substr(nom, 3) || 'VGD'", "'Swift.Array<' || r_name || '.' || n_name || '>'")
+_printed("dict_print", _inside("SDySS", "VGD"), "'$sSDySS' || substr(nom, 3) || 'VGD'", "'[Swift.String : ' || r_name || '.' || n_name || ']'", "sugared")
+_printed("extension_print", lambda n: F.concat(n, F.lit("V3ExtE1fyyF")), "nom || 'V3ExtE1fyyF'", "'(extension in Ext):' || r_name || '.' || n_name || '.f() -> ()'")
+_printed("legacy_nominal_print", lambda n: F.concat(F.lit("_TtC"), S.strip_prefix(n)), "'_TtC' || substr(nom, 3)", "r_name || '.' || n_name")
+_printed("embedded_print", lambda n: F.concat(F.lit("$e"), S.strip_prefix(n), F.lit("V")), "'$e' || substr(nom, 3) || 'V'", "r_name || '.' || n_name")
+_printed("unreadable_print", lambda n: F.concat(n, F.lit("VN_M")), "nom || 'VN_M'", "CAST(NULL AS VARCHAR)")
+
+
+@query(f"WITH {NOM} SELECT nom || 'V.' || n_nationkey AS symbol, r_name || '.' || n_name || ' with unmangled suffix \".' || n_nationkey || '\"' AS printed FROM t")
+def suffix_print(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("V."), F.col("n_nationkey").cast("string")).alias("symbol"))
+    return rows.withColumn("printed", S.print_symbol(F.col("symbol")))
+
+
+@query(f"WITH {METHODS} SELECT symbol, module || '.' || of || '.' || name || '(Swift.Int, Swift.String) -> ()' AS printed FROM (SELECT DISTINCT symbol, module, of, name FROM s)")
+def bulk_print(spark, sf_dir):
+    return N.spread(methods(spark, sf_dir)).withColumn("printed", S.print_symbol(F.col("symbol")))
+
+
+@query(f"WITH {METHODS} SELECT module, COUNT(*) AS n_symbols, COUNT(DISTINCT of) AS n_types FROM (SELECT DISTINCT symbol, module, of FROM s) GROUP BY module")
+def bulk_modules(spark, sf_dir):
+    tree = F.col("tree")
+    parsed = N.parse(methods(spark, sf_dir)).where("ok").select(S.first_of(tree, "module")["text"].alias("module"), F.get(S.find(tree, "identifier"), F.lit(0))["text"].alias("of"))
+    return parsed.groupBy("module").agg(F.count("*").alias("n_symbols"), F.countDistinct("of").alias("n_types"))
+
+
+@query(f"WITH {METHODS} SELECT COUNT(*) AS n, COUNT(*) FILTER (symbol IS NOT NULL) AS n_same FROM (SELECT DISTINCT symbol FROM s)")
+def bulk_roundtrip(spark, sf_dir):
+    rows = N.spread(methods(spark, sf_dir)).withColumn("again", S.remangle(F.col("symbol")))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("again") == F.concat(F.lit("_"), F.col("symbol"))).alias("n_same"))
+
+
+@query(f"WITH {NOM} SELECT CASE n_nationkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'structure' WHEN 2 THEN 'enum' ELSE 'protocol' END AS kind, COUNT(*) AS n FROM t GROUP BY 1")
+def nominal_kinds(spark, sf_dir):
+    letter = F.substr(F.lit("CVOP"), (F.col("n_nationkey") % 4 + 1).cast("int"), F.lit(1))
+    parsed = N.parse(nominals(spark, sf_dir).select(F.concat("nom", letter).alias("symbol")))
+    return N.kind_histogram(N.nodes(parsed).where(F.col("kind").isin("class", "structure", "enum", "protocol")))
+
+
+_MIXED = "x AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN '$s' WHEN 1 THEN '_$s' WHEN 2 THEN '_T0' WHEN 3 THEN '$e' ELSE 'zz' END || substr(nom, 3) || 'V' AS symbol FROM t)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.get(F.array(*map(F.lit, ("$s", "_$s", "_T0", "$e", "zz"))), (F.col("n_nationkey") % 5).cast("int"))
+    return nominals(spark, sf_dir).select(F.concat(head, S.strip_prefix(F.col("nom")), F.lit("V")).alias("symbol"))
+
+
+@query(f"WITH {NOM}, {_MIXED} SELECT symbol, regexp_matches(symbol, '^(_T0|_\\$[Sse]|\\$[Sse]|@__swiftmacro_)') AS is_symbol FROM x")
+def prefix_predicate(spark, sf_dir):
+    return _mixed(spark, sf_dir).withColumn("is_symbol", S.is_symbol(F.col("symbol")))
+
+
+@query(f"WITH {NOM}, {_MIXED} SELECT symbol, regexp_replace(symbol, '^(_T0|_\\$[Sse]|\\$[Sse]|@__swiftmacro_)', '') AS stripped FROM x")
+def strip_prefix(spark, sf_dir):
+    return _mixed(spark, sf_dir).withColumn("stripped", S.strip_prefix(F.col("symbol")))
+
+
+@query(f"WITH {NOM}, {_MIXED} SELECT symbol, NOT symbol LIKE 'zz%' AS ok, CASE WHEN symbol LIKE 'zz%' THEN 'matchFailed' END AS code, CASE WHEN symbol LIKE '$e%' THEN 'embedded' WHEN symbol NOT LIKE 'zz%' THEN 'default' END AS flavor FROM x")
+def parse_ok_flags(spark, sf_dir):
+    return N.parse(_mixed(spark, sf_dir)).select("symbol", "ok", F.col("error.code").alias("code"), "flavor")
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, CAST(4 AS BIGINT) AS n_nodes, CAST(2 AS BIGINT) AS height FROM t")
+def node_count(spark, sf_dir):
+    rows = N.nodes(N.parse(nominals(spark, sf_dir).select(F.concat("nom", F.lit("V")).alias("symbol"))))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n_nodes"), F.max("depth").cast("long").alias("height"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str, tail: str = "V") -> DataFrame:
+    return N.parse(nominals(spark, sf_dir).select(F.concat("nom", F.lit(tail)).alias("symbol")))
+
+
+@query(f"WITH {NOM} SELECT d.depth, SUM(d.k) AS n FROM t, (VALUES (0, 1), (1, 1), (2, 2)) AS d(depth, k) GROUP BY d.depth")
+def depth_histogram(spark, sf_dir):
+    return N.depth_histogram(N.nodes(_parsed(spark, sf_dir)))
+
+
+@query(f"WITH {NOM} SELECT k.kind, COUNT(*) AS n FROM t, (VALUES ('global'), ('structure'), ('module'), ('identifier')) AS k(kind) GROUP BY k.kind")
+def kind_histogram(spark, sf_dir):
+    return N.kind_histogram(N.nodes(_parsed(spark, sf_dir)))
+
+
+def _order(name: str, kinds: list[str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return N.traverse(_parsed(spark, sf_dir), name).select("symbol", "step", "kind", "text")
+
+    run.__name__ = name
+    texts = {"module": "r_name", "identifier": "n_name"}
+    parts = " UNION ALL ".join(f"SELECT nom || 'V' AS symbol, {i} AS step, '{k}' AS kind, {texts.get(k, 'CAST(NULL AS VARCHAR)')} AS text FROM t" for i, k in enumerate(kinds))
+    query(f"WITH {NOM} {parts}")(run)
+
+
+_order("preorder", ["global", "structure", "module", "identifier"])
+_order("postorder", ["module", "identifier", "structure", "global"])
+_order("levelorder", ["global", "structure", "module", "identifier"])
+_order("inorder", ["module", "structure", "identifier", "global"])
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, n_name AS identifier, r_name AS module FROM t")
+def find_identifiers(spark, sf_dir):
+    tree = F.col("tree")
+    return _parsed(spark, sf_dir).select("symbol", S.first_of(tree, "identifier")["text"].alias("identifier"), S.first_of(tree, "module")["text"].alias("module"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, true AS has_structure, false AS has_class FROM t")
+def contains_kind(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("symbol", S.contains_kind(F.col("tree"), "structure").alias("has_structure"), S.contains_kind(F.col("tree"), "class", "enum").alias("has_class"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, 'kind=Global' || chr(10) || '  kind=Structure' || chr(10) || '    kind=Module, text=\"' || r_name || '\"' || chr(10) || '    kind=Identifier, text=\"' || n_name || '\"' AS dump FROM t")
+def node_dump(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("symbol", S.dump(F.col("tree")).alias("dump"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, k.kind FROM t, (VALUES ('module'), ('identifier')) AS k(kind)")
+def structure_descendants(spark, sf_dir):
+    rows = N.nodes(_parsed(spark, sf_dir))
+    return N.descendants(rows, F.col("kind") == "structure").select("symbol", "kind")
+
+
+@query(f"WITH {NOM} SELECT CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) AS BIGINT) AS n FROM t")
+def interned_node_count(spark, sf_dir):
+    return N.intern(_parsed(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NOM}, n AS (SELECT COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) AS n_nodes FROM t), b AS (SELECT SUM(octet_length(encode(x))) AS text_bytes FROM (SELECT r_name AS x FROM t UNION SELECT n_name FROM t)) SELECT CAST(n_nodes AS BIGINT) AS n_nodes, CAST(0 AS BIGINT) AS n_edges, CAST(text_bytes AS BIGINT) AS text_bytes, CAST(12 * n_nodes + text_bytes AS BIGINT) AS flat_bytes FROM n, b")
+def store_metrics(spark, sf_dir):
+    return N.store_metrics(N.intern(_parsed(spark, sf_dir)))
+
+
+@query(f"WITH {NOM}, n AS (SELECT COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) AS n FROM t) SELECT CAST(0 AS BIGINT) AS low, CAST(n - 1 AS BIGINT) AS high, CAST(n AS BIGINT) AS n_ids FROM n")
+def store_numbering(spark, sf_dir):
+    return N.number(N.intern(_parsed(spark, sf_dir))).agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.countDistinct("node_id").alias("n_ids"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, k.kind, CASE k.kind WHEN 'module' THEN r_name WHEN 'identifier' THEN n_name END AS text FROM t, (VALUES ('global'), ('structure'), ('module'), ('identifier')) AS k(kind)")
+def store_materialize(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return N.materialize(N.intern(parsed), N.roots(parsed)).select("symbol", "kind", "text")
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, '_' || nom || 'V' AS other FROM t")
+def structural_equality(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("V")).alias("symbol"))
+    return N.equal_trees(N.parse(rows), N.parse(rows.select(F.concat(F.lit("_"), "symbol").alias("symbol"))))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol FROM t WHERE n_nationkey % 3 = 0")
+def corpus_diff(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select("n_nationkey", F.concat("nom", F.lit("V")).alias("symbol"))
+    return N.corpus_diff(N.parse(rows), N.parse(rows.where("n_nationkey % 3 <> 0")))
+
+
+@query(f"WITH {NOM} SELECT nom || 'VN' AS symbol, '_' || nom || 'VN' AS again FROM t WHERE r_name NOT LIKE '% %'")
+def roundtrip(spark, sf_dir):
+    rows = nominals(spark, sf_dir).where("r_name NOT LIKE '% %'").select(F.concat("nom", F.lit("VN")).alias("symbol"))
+    return rows.withColumn("again", S.remangle(F.col("symbol")))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, 'Other.' || n_name AS printed FROM t")
+def rewrite_modules(spark, sf_dir):
+    rename = lambda n: word("Other", "module") if n.kind == "module" else n
+    return _parsed(spark, sf_dir).select("symbol", S.print_tree(S.rewrite(F.col("tree"), rename)).alias("printed"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, r_name || '.' || n_name || ' with unmangled suffix \".x\"' AS printed FROM t")
+def edit_trees(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("symbol", S.print_tree(S.edit(F.col("tree"), "add", Tree("suffix", text=".x"))).alias("printed"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, r_name || '.' || n_name AS joined, n_name AS named FROM t")
+def print_spans(spark, sf_dir):
+    rows = _parsed(spark, sf_dir).select("symbol", S.spans(F.col("tree")).alias("s"))
+    named = F.get(F.filter("s", lambda x: x["state"] == "identifier"), F.lit(0))["text"]
+    return rows.select("symbol", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("joined"), named.alias("named"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'VSgD' AS symbol, 'Optional<' || n_name || '>' AS type FROM t")
+def decode_types(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("VSgD")).alias("symbol"))
+    return rows.withColumn("type", S.decode_type(F.col("symbol")))
+
+
+@query(f"WITH {NOM} SELECT '$sySi_' || substr(nom, 3) || 'VtcD' AS symbol, '(Int, ' || n_name || ') -> ()' AS type FROM t")
+def decode_function_types(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat(F.lit("$sySi_"), S.strip_prefix(F.col("nom")), F.lit("VtcD")).alias("symbol"))
+    return rows.withColumn("type", S.decode_type(F.col("symbol")))
+
+
+@query(f"WITH {NOM} SELECT nom || 'VD' AS symbol, 'nominal' AS type, n_name AS name FROM t")
+def decode_types_json(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("VD")).alias("symbol"))
+    json = F.parse_json(S.decode_type_json(F.col("symbol")))
+    return rows.withColumn("v", json).select("symbol", F.variant_get("v", "$.type", "string").alias("type"), F.variant_get("v", "$.name", "string").alias("name"))
+
+
+@query(f"WITH {NOM} SELECT substr(nom, 3) || 'V' AS mangled, n_name AS name FROM t")
+def demangle_bare_types(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat(S.strip_prefix(F.col("nom")), F.lit("V")).alias("mangled"))
+    parsed = rows.withColumn("d", S.demangle(F.col("mangled"), is_type=True))
+    return parsed.select("mangled", S.first_of(F.col("d.tree"), "identifier")["text"].alias("name"))
+
+
+@query(f"WITH {NOM} SELECT r_name AS module, COUNT(*) AS n FROM t GROUP BY ROLLUP (r_name)")
+def owner_rollup(spark, sf_dir):
+    return N.owners(N.nodes(_parsed(spark, sf_dir))).rollup("module").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, r_name || '.' || n_name AS printed, CAST(length(r_name || '.' || n_name) AS BIGINT) AS n_chars FROM t ORDER BY n_chars DESC, symbol LIMIT 10")
+def top_symbols(spark, sf_dir):
+    return N.top_symbols(nominals(spark, sf_dir).select(F.concat("nom", F.lit("V")).alias("symbol")), 10)
+
+
+@query("SELECT p_partkey, p_name AS again FROM part")
+def punycode_roundtrip(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", S.punycode_decode(S.punycode_encode(F.col("p_name"))).alias("again"))
+
+
+@query("SELECT d AS depth, i AS idx, chr(CAST(65 + i AS INTEGER)) || CASE WHEN d = 0 THEN '' ELSE CAST(d AS VARCHAR) END AS name FROM (SELECT DISTINCT n_regionkey AS d, n_nationkey AS i FROM nation)")
+def generic_param_names(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("depth"), F.col("n_nationkey").alias("idx")).distinct()
+    return rows.withColumn("name", S.param_name(F.col("depth"), F.col("idx")))
+
+
+@query("SELECT CAST(379 AS BIGINT) AS n_kinds, CAST(10 AS BIGINT) AS n_decl_names, CAST(3 AS BIGINT) AS n_operators, CAST(3 AS BIGINT) AS n_protocols")
+def node_kinds(spark, sf_dir):
+    kinds = N.node_kinds(spark)
+    return kinds.agg(F.count("*").alias("n_kinds"), F.count_if("is_decl_name").alias("n_decl_names"), F.count_if("is_operator").alias("n_operators"), F.count_if("is_protocol").alias("n_protocols"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
 
-def queries():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method symbol of the line items, parsed and counted by module."""
+    return bulk_modules(spark, sf_dir)
