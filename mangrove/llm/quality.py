@@ -98,9 +98,10 @@ def thresholds(measured: DataFrame, reach: float, min_group: int) -> DataFrame:
     base = materialise(sketch(measured), "quality-sketch")
     names = [f"hi_{r}" for r in FLOORS] + ["lo_mean_len"]
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    own, lang, every = (rename(fences(base, keys, reach), p) for keys, p in ((["lang", "source"], "o_"), (["lang"], "l_"), ([], "e_")))
-    joined = own.join(lang, own["o_lang"].eqNullSafe(lang["l_lang"]), "left").join(F.broadcast(every))  # one row
-    pick = lambda c: F.when(F.col("o_n") >= min_group, F.col(f"o_{c}")).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")).alias(c)
+    own, lang = (rename(fences(base, keys, reach), p) for keys, p in ((["lang", "source"], "o_"), (["lang"], "l_")))
+    every = fences(base, [], reach).collect()[0]  # one row, for all texts
+    joined = own.join(lang, own["o_lang"].eqNullSafe(lang["l_lang"]), "left")
+    pick = lambda c: F.when(F.col("o_n") >= min_group, F.col(f"o_{c}")).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.lit(every[c])).alias(c)
     return joined.select(F.col("o_lang").alias("g_lang"), F.col("o_source").alias("g_source"), *map(pick, names))
 
 

@@ -97,3 +97,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: DuckDB's forms of what SQL can express.
 ORACLES: dict[str, str] = {}
+
+
+ORACLES["op1_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(<|\[)(\||/?s>|/?INST\])', '\1\\\2', 'g') AS escaped FROM c)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(length(escaped) + length(role) + 24) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES["op4_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, lang, source, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, list_slice(words, i, i + 7) AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, win) AS k FROM win) WHERE k > 1),
+cov AS (SELECT doc_id, COUNT(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(0, 8)) AS p FROM rep) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(COALESCE(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+r AS (SELECT *, LEAST(1000 * n_symbols // GREATEST(word_chars, 1), 1000) AS symbols, LEAST(1000 * n_dup_lines // GREATEST(n_lines, 1), 1000) AS dup_lines,
+  LEAST(1000 * n_repeat_words // GREATEST(n_words, 1), 1000) AS repeats, LEAST(10 * word_chars // GREATEST(n_words, 1), 1000) AS mean_len,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+l AS (SELECT lang, source, rule, bin FROM (SELECT lang, source, 'symbols' AS rule, symbols AS bin FROM r WHERE n_words > 0 UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM r WHERE n_words > 0
+  UNION ALL SELECT lang, source, 'repeats', repeats FROM r WHERE n_words > 0 UNION ALL SELECT lang, source, 'mean_len', mean_len FROM r WHERE n_words > 0)),
+g AS (SELECT 0 AS level, lang, source, rule, bin FROM l UNION ALL SELECT 1, lang, NULL, rule, bin FROM l UNION ALL SELECT 2, NULL, NULL, rule, bin FROM l),
+q AS (SELECT level, lang, source, rule, COUNT(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM g GROUP BY level, lang, source, rule),
+f AS (SELECT level, lang, source, MAX(n) AS n, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'symbols'), 100) AS hs, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'dup_lines'), 300) AS hd,
+  GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'repeats'), 200) AS hr, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'mean_len'), 120) AS hm, LEAST(MAX(q1 - 3.0 * (q3 - q1)) FILTER (rule = 'mean_len'), 15) AS lm FROM q GROUP BY level, lang, source),
+t AS (SELECT r.*, CASE WHEN o.n >= 100 THEN o WHEN a.n >= 100 THEN a ELSE e END AS x FROM r LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+  LEFT JOIN f a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM r.lang LEFT JOIN f e ON e.level = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND symbols <= x.hs AND dup_lines <= x.hd AND repeats <= x.hr AND mean_len <= x.hm AND mean_len >= x.lm AS kept FROM t
+"""

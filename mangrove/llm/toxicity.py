@@ -147,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
             yield pd.DataFrame({"label": batch["label"], "counts": [evidence(t, lexicon) for t in batch["text"]]})
 
     # At most sample_rows rows of counts, no texts.
-    rows = sample.select("label", "text").mapInPandas(count, "label int, counts array<double>").orderBy("label", "counts").toPandas()
+    rows = sample.select("label", "text").mapInPandas(count, "label int, counts array<double>").toPandas()
     counts = np.stack(rows["counts"].to_list()).reshape(len(rows), width)
+    order = np.lexsort([*counts.T, rows["label"].to_numpy()])  # sums of floats agree between runs
+    rows, counts = rows.iloc[order], counts[order]
     model = fit_label_model(counts > 0, rows["label"].to_numpy())
     weights = fit_logistic(features(counts, len(lexicon)), model.posterior(counts > 0))
     return ToxicityModel(lexicon, weights, model)
