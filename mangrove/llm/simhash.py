@@ -3,12 +3,18 @@
 A fingerprint has 64 bits in a ring of five segments. Fingerprints that differ in at most 4 bits have a segment from
 which a chain of consecutive segments starts whose cumulative differences stay within the proportional budget: after l
 segments at most floor(4 l / 5), that is 0, 1, 2, 3, 4. Buckets are made of the first two links of each chain: the first segment as it is, the second as it
-is or with one bit changed. Within a bucket the third and fourth link prune pairs, then the full distance decides.
+is or with one zero bit set (of two segments that differ in one bit, one has a zero there). Within a bucket the third and
+fourth link prune pairs, then the full distance decides.
 
 Equal fingerprints are one node from the start, so copies are never paired. A bucket emits single links where it is small
 and a spanning forest where it isn't: links between different fingerprints are all tested, only those that would join what
 is joined already are left out. Components of the links give the classes.
 
+`near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies of a similarity of 0.8 or more
+on five-word shingles: a few edited words change so many shingles that their fingerprints differ in some ten bits, too many
+to search for. Candidates come from `FAMILIES` independent fingerprints of damped word counts, in which such copies stay within 4 bits,
+and a link also needs five-word fingerprints within `SHAPE` bits, which is where a similarity of 0.8 ends with 99 in 100.
+
 Defined cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the shingle; repeated rows fall together; null ids take their class's id, null if it has no other; an
 empty table gives no rows.
@@ -16,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +36,8 @@ from .common import materialise, only
 from .graph import components
 
 BITS, DISTANCE, SEED = 64, 4, 42
+#: Word-count fingerprints a document has in deduplication, and the greatest distance of five-word fingerprints there.
+FAMILIES, SHAPE = 3, 16
 WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = (0, 13, 26, 39, 52)
 #: Buckets of more rows than this emit a spanning forest.
@@ -55,6 +64,24 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def word_fingerprints(words: list[bytes], families: int = FAMILIES) -> list[int]:
+    """Fingerprints of the words, each weighed by the bit length of its count, under independent hashes."""
+    counts = Counter(words)
+    if not counts:
+        return [0] * families
+    weights = np.array([n.bit_length() for n in counts.values()], np.float32)
+    out = []
+    for seed in range(families):
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], dtype="<u8")
+        sums = np.zeros(BITS)
+        for at in range(0, len(hashes), 1 << 14):
+            part = hashes[at : at + (1 << 14)]
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+            sums += weights[at : at + (1 << 14)] @ bits
+        out.append(int.from_bytes(np.packbits(2 * sums > weights.sum(dtype=np.float64), bitorder="little").tobytes(), "little"))
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, text_hash and fp, the fingerprint as a signed long."""
 
@@ -66,6 +93,22 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("fp"))
 
 
+def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, node (hash of the text's words), families (word-count fingerprints) and shape (shingle fingerprint), signed longs."""
+
+    @F.pandas_udf("struct<node:bigint,families:array<bigint>,shape:bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        rows = []
+        for text in texts:
+            words = (text or "").encode().lower().split()
+            rows.append((signed(xxhash.xxh64_intdigest(b" ".join(words))), [signed(f) for f in word_fingerprints(words)], signed(fingerprint(text, shingle))))
+        return pd.DataFrame(rows, columns=["node", "families", "shape"])
+
+    src = only(docs, doc_id="doc_id", text="text")
+    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("s")).select("doc_id", "text_hash", "s.*")
+
+
 def _ring_mask(start: int, links: int) -> np.uint64:
     mask = 0
     for i in range(links):
@@ -78,45 +121,49 @@ _MASKS = np.array([[_ring_mask(i, n) for n in range(1, 6)] for i in range(5)], d
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """key, changed (0: the node's own key, 1: one bit of the second link changed), fp: 69 rows per fingerprint."""
+    """key, changed (0: the fingerprint's own key, 1: one bit of the second link set), fp, node, shape: some 37 rows per fingerprint of `nodes` (node, families, shape)."""
+    each = nodes.select("node", "shape", F.posexplode("families").alias("family", "fp"))
     fp = F.col("fp")
     seg = [F.shiftrightunsigned(fp, OFFSETS[i]).bitwiseAND((1 << WIDTHS[i]) - 1) for i in range(5)]
     groups = []
     for i in range(5):
         j = (i + 1) % 5
-        head = F.lit(i << 26) + seg[i] * (1 << 13)
-        groups.append(F.array(F.struct((head + seg[j]).alias("key"), F.lit(0).cast("byte").alias("changed"))))
-        groups.append(F.array(*[F.struct((head + seg[j].bitwiseXOR(F.lit(1 << b))).alias("key"), F.lit(1).cast("byte").alias("changed")) for b in range(WIDTHS[j])]))
-    return nodes.select("fp", F.explode(F.concat(*groups)).alias("k")).select("k.key", "k.changed", "fp")
+        head = (F.col("family") * 5 + i) * (1 << 26) + seg[i] * (1 << 13)
+        groups.append(F.struct((head + seg[j]).cast("long").alias("key"), F.lit(0).cast("byte").alias("changed")))
+        for b in range(WIDTHS[j]):
+            groups.append(F.when(seg[j].bitwiseAND(1 << b) == 0, F.struct((head + seg[j] + (1 << b)).cast("long").alias("key"), F.lit(1).cast("byte").alias("changed"))))
+    return each.select("fp", "node", "shape", F.explode(F.array_compact(F.array(*groups))).alias("k")).select("k.key", "k.changed", "fp", "node", "shape")
 
 
-def _close(start: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whether differences x pass the chain's third and fourth link and the full distance."""
+def _close(start: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether differences x pass the chain's third and fourth link and the full distance, and differences y of shapes their own."""
     ok = np.bitwise_count(x & _MASKS[start, 2]) <= 2
     ok &= np.bitwise_count(x & _MASKS[start, 3]) <= 3
     ok &= np.bitwise_count(x) <= DISTANCE
+    ok &= np.bitwise_count(y) <= SHAPE
     return ok
 
 
-def _forest(start: int, own: np.ndarray, every: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a large bucket, without those inside what is joined already."""
-    nodes, label = np.unique(every), None
-    label = np.arange(len(nodes))
+def _forest(start: int, own: np.ndarray, fps: np.ndarray, nodes: np.ndarray, shapes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a large bucket between its rows `own` and all, without those inside what is joined already."""
+    names, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+    fps, shapes = fps[first], shapes[first]
+    label = np.arange(len(names))
+    starts = np.full(len(names), start)
     out = []
-    for a in own:
-        x = nodes ^ a
-        near = np.flatnonzero(_close(np.full(len(x), start), x))
-        roots, at = np.unique(label[near], return_index=True)
+    for at in np.unique(inverse[own]):
+        near = np.flatnonzero(_close(starts, fps ^ fps[at], shapes ^ shapes[at]))
+        roots, which = np.unique(label[near], return_index=True)
         if len(roots) > 1:
-            out.append((np.full(len(roots), a), nodes[near[at]]))
+            out.append((np.full(len(roots), names[at]), names[near[which]]))
             label[np.isin(label, roots)] = roots[0]
         if not label.any():
             break
     return out
 
 
-def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) in whole buckets; rows are sorted by key, then changed."""
+def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray, nodes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of nodes in whole buckets; rows are sorted by key, then changed."""
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((heads, [len(keys)])))
     live = (sizes > 1) & (changed[heads] == 0)
@@ -124,8 +171,8 @@ def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray) -> tupl
     left, right = [], []
     large = sizes > SMALL
     for head, size in zip(heads[large].tolist(), sizes[large].tolist(), strict=True):
-        own = fps[head : head + size][changed[head : head + size] == 0]
-        for a, b in _forest(int(keys[head] >> 26), own, fps[head : head + size]):
+        rows = slice(head, head + size)
+        for a, b in _forest(int(keys[head] >> 26) % 5, np.flatnonzero(changed[rows] == 0), fps[rows], nodes[rows], shapes[rows]):
             left.append(a)
             right.append(b)
     heads, sizes = heads[~large], sizes[~large]
@@ -137,62 +184,63 @@ def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray) -> tupl
         for lo in range(0, len(h), BLOCK // SMALL):
             hh, nn = h[lo : lo + BLOCK // SMALL], n[lo : lo + BLOCK // SMALL]
             rows = np.repeat(hh - np.concatenate(([0], np.cumsum(nn)[:-1])), nn) + np.arange(nn.sum())
-            a, b = np.repeat(fps[hh + step], nn), fps[rows]
-            ok = (a != b) & _close(np.repeat(keys[hh] >> 26, nn), a ^ b)
-            left.append(a[ok])
-            right.append(b[ok])
-    empty = np.zeros(0, np.uint64)
+            own = np.repeat(hh + step, nn)
+            ok = (nodes[own] != nodes[rows]) & _close((keys[own] >> 26) % 5, fps[own] ^ fps[rows], shapes[own] ^ shapes[rows])
+            left.append(nodes[own][ok])
+            right.append(nodes[rows][ok])
+    empty = np.zeros(0, np.int64)
     return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole buckets of rows that come sorted by key; a bucket may span batches."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         a, b = bucket_links(*(np.concatenate(c) for c in zip(*rows, strict=True)))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, changed, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        fps = fps.view(np.uint64)
+        keys, changed, fps, nodes, shapes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        columns = (keys, changed, fps.view(np.uint64), nodes, shapes.view(np.uint64))
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut or (held and held[-1][0][-1] != keys[0]):
-            yield from flush([*held, (keys[:cut], changed[:cut], fps[:cut])])
+            yield from flush([*held, tuple(c[:cut] for c in columns)])
             held = []
-        held.append((keys[cut:], changed[cut:], fps[cut:]))
+        held.append(tuple(c[cut:] for c in columns))
     if held:
         yield from flush(held)
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """a, b: links between different fingerprints of `nodes` (fp, distinct) that join all those at distance 4 or less."""
-    rows = bucket_rows(nodes)
-    return rows.repartition("key").sortWithinPartitions("key", "changed").mapInArrow(_stream, "a long, b long")
+    """a, b: links between `nodes` (node, distinct; families, shape) that join all those with a fingerprint at distance 4 or less and shapes at distance SHAPE or less."""
+    return bucket_rows(nodes).repartition("key").sortWithinPartitions("key", "changed").mapInArrow(_stream, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) per row of `docs`."""
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = _classes(marked)
+    as_nodes = marked.select("doc_id", "text_hash", F.col("fp").alias("node"), F.array("fp").alias("families"), F.lit(0).cast("long").alias("shape"))
+    classes = _classes(as_nodes)
     return marked.join(classes, marked["fp"] == classes["of"], "left").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def _classes(marked: DataFrame) -> DataFrame:
-    """of (a fingerprint) and least (doc_id and text_hash of its class's first row; ids that are null come last)."""
+    """of (a node) and least (doc_id and text_hash of its class's first row; ids that are null come last). marked: doc_id, text_hash, node, families, shape."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min(row).alias("first")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = materialise(marked.groupBy("node").agg(F.min(row).alias("first"), F.min("families").alias("families"), F.min("shape").alias("shape")), "fingerprint-nodes")
+    roots = components(links(nodes.select("node", "families", "shape"))).withColumnRenamed("node", "linked")
+    rooted = nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root").select(F.col("fp").alias("of"), "least")
+    return rooted.join(least, "root").select(F.col("node").alias("of"), "least")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """One row of `docs` of each class: that of the smallest id; of rows that repeat this id and its text, one."""
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
+def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of `docs` of each class of near copies: that of the smallest id; of rows that repeat this id and its text, one."""
+    marked = materialise(signatures(docs, shingle), "signatures")
     keep = _classes(marked).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__text_hash", F.xxhash64(docs["text"]))
     kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__id"]) & (hashed["__text_hash"] == keep["__hash"]), "left_semi")

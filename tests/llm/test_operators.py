@@ -405,7 +405,7 @@ def test_pigeonring_links_join_all_close_fingerprints(spark, seed):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = simhash.links(spark.createDataFrame([(x, [x], 0) for x in signed], "node long, families array<long>, shape long"))
     pairs = [(r["a"], r["b"]) for r in links.collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in pairs)
     roots = {r["node"]: r["root"] for r in graph.components(links).collect()}
@@ -414,6 +414,27 @@ def test_pigeonring_links_join_all_close_fingerprints(spark, seed):
     assert len(set(got)) == len(set(classes)) == len(set(zip(got, classes, strict=True)))
 
 
+def test_deduplicate_catches_edited_copies_and_leaves_others(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda: [rng.choice(vocabulary[: 50 if rng.random() < 0.4 else 3000]) for _ in range(rng.randint(120, 300))]
+    rows, edited = [], {}
+    for i in range(300):
+        words = text()
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), 2 if len(copy) > 150 else 1):
+                copy[at] = rng.choice(vocabulary)
+            edited[1000 + i] = i
+            rows.append((1000 + i, " ".join(copy)))
+        if i % 10 == 0:
+            rows.append((2000 + i, " ".join(words).upper()))
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(300)) <= kept and not any(2000 + i in kept for i in range(0, 300, 10))
+    assert len(set(edited) & kept) <= 0.1 * len(edited)
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i * 7 + 1) % 50) for i in range(50)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
