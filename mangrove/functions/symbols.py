@@ -90,6 +90,14 @@ def param_name(depth: Column, index: Column) -> Column:
     return F.concat(letters, F.when(depth == 0, "").otherwise(depth.cast("string")))
 
 
+def hexadecimal(value: Column) -> Column:
+    return F.hex(value.cast("long"))
+
+
+def capitalize_first(text: Column) -> Column:
+    return F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.substr(text, F.lit(2)))
+
+
 def find(nodes: Column, *kinds: str) -> Column:
     """All occurrences of the kinds, in preorder."""
     return F.filter(nodes, lambda n: n["kind"].isin(*kinds))

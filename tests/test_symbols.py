@@ -64,6 +64,11 @@ def test_rewrite_edit_and_depths(symbols):
     assert depths[0]["d"] == {0: 0}
 
 
+def test_small_functions(spark):
+    row = spark.range(1).select(S.hexadecimal(F.lit(255)).alias("h"), S.capitalize_first(F.lit("abc")).alias("c"), S.param_name(F.lit(2), F.lit(27)).alias("p")).collect()[0]
+    assert (row["h"], row["c"], row["p"]) == ("FF", "Abc", "BB2")
+
+
 def test_identifier_and_first_of(symbols):
     parsed = N.parse(symbols).where("symbol = '$s4main3FooV'")
     assert parsed.select(S.identifier_of(F.col("tree")).alias("i"), S.first_of(F.col("tree"), "class").alias("c")).collect()[0].asDict() == {"i": "Foo", "c": None}
