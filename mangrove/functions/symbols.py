@@ -121,13 +121,45 @@ def in_order(nodes: Column, order: str) -> Column:
     return F.transform(F.sort_array(keyed), lambda x: F.get(nodes, x["p"]))
 
 
-def identifier_of(nodes: Column) -> Column:
-    """The declared name: a direct second child, else the first operator, identifier or private name."""
-    top = F.get(nodes, F.lit(0))
-    second = F.get(nodes, F.get(top["kids"], F.lit(1)))
-    direct = F.when(second["kind"] == "identifier", second["text"])
-    operator = first_of(nodes, "infixOperator", "prefixOperator", "postfixOperator")["text"]
-    return F.coalesce(direct, operator, first_of(nodes, "identifier")["text"])
+def identifier_of(nodes: Column, node: Column | None = None) -> Column:
+    """The declared name in the subtree of `node` (the root): a direct second child, else the first operator, else the first identifier, else the first private name."""
+    if node is None:
+        node = F.get(nodes, F.lit(0))
+    second = child_at(nodes, node, 1)
+    nodes = F.transform(nodes, lambda n: F.when((n["pre"] >= node["pre"]) & (n["pre"] < node["pre"] + node["size"]), n))
+    private = lambda n: child_at(nodes, n, 1)["text"]
+    operator, plain, hidden = first_of(nodes, *tree.OPERATORS), first_of(nodes, "identifier"), first_of(nodes, "privateDeclName")
+    found = F.when(operator.isNotNull(), operator["text"]).when(plain.isNotNull(), plain["text"]).otherwise(private(hidden))
+    return F.when(second["kind"] == "identifier", second["text"]).when(second["kind"] == "privateDeclName", private(second)).otherwise(found)
+
+
+def child_at(nodes: Column, node: Column, i: int) -> Column:
+    """The i-th child of `node`, null if there is none."""
+    return F.get(nodes, F.get(node["kids"], F.lit(i)))
+
+
+def children_of(nodes: Column, node: Column, start: int = 0, stop: int | None = None) -> Column:
+    """The children of `node` from `start` up to `stop`, as far as there are any."""
+    kids = node["kids"]
+    count = F.greatest(F.least(F.size(kids), F.lit(stop if stop is not None else 1 << 30)) - start, F.lit(0))
+    return F.transform(F.slice(kids, F.lit(start + 1), count), lambda k: F.get(nodes, k))
+
+
+def is_kind(node: Column, *kinds: str) -> Column:
+    return node["kind"].isin(*kinds)
+
+
+def is_identifier(node: Column, text: str) -> Column:
+    return (node["kind"] == "identifier") & node["text"].eqNullSafe(F.lit(text))
+
+
+def is_standard_module(node: Column) -> Column:
+    return (node["kind"] == "module") & node["text"].eqNullSafe(F.lit("Swift"))
+
+
+def structural_hash(nodes: Column) -> Column:
+    """Digest of the whole tree; equal digests mean structurally equal trees."""
+    return F.get(nodes, F.lit(0))["node_hash"]
 
 
 def dump(nodes: Column) -> Column:
@@ -175,9 +207,9 @@ def print_tree(nodes: Column, options: str | int = "default") -> Column:
 
 
 def spans(nodes: Column, options: str | int = "default") -> Column:
-    """Text in pieces, each with its state (identifier, module, functionParameters) and kinds."""
+    """Text in pieces, each with its state (identifier, module, functionParameters), kinds, and the digest of the type reference it is part of."""
     flags = flags_of(options)
-    names = ("text", "state", "node_kind", "parent_kind")
+    names = ("text", "state", "node_kind", "parent_kind", "scope_hash")
     return _of_tree(schema.SPANS, schema.SPANS_DDL, lambda t: [dict(zip(names, s, strict=True)) for s in printer.spans_of(t, flags)])(nodes)
 
 

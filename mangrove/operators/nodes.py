@@ -45,6 +45,13 @@ def depth_histogram(node_rows: DataFrame) -> DataFrame:
     return node_rows.groupBy("depth").agg(F.count("*").alias("n"))
 
 
+def edge_histogram(node_rows: DataFrame) -> DataFrame:
+    """parent_kind, kind, n: how often a kind stands below another; the parent is found by (symbol, position)."""
+    above = node_rows.select(F.col("symbol").alias("s"), F.col("pre").alias("p"), F.col("kind").alias("parent_kind"))
+    joined = node_rows.join(above, (node_rows["symbol"] == above["s"]) & (node_rows["parent"] == above["p"]))
+    return joined.groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
+
+
 def traverse(demangled: DataFrame, order: str) -> DataFrame:
     """symbol, step, kind, text, idx: the nodes of each tree in an order."""
     ordered = demangled.where("ok").select("symbol", F.posexplode(S.in_order(F.col("tree"), order)).alias("step", "n"))
@@ -89,6 +96,12 @@ def number(store: DataFrame) -> DataFrame:
     return keyed.withColumn("row", row).join(starts, ["height", "bucket"]).withColumn("node_id", F.col("start") + F.col("row")).drop("bucket", "row", "start")
 
 
+def store_counts(store: DataFrame) -> DataFrame:
+    """n_leaves and n_subtrees: distinct nodes without and with children."""
+    leaf = F.size("kids") == 0
+    return store.agg(F.count_if(leaf).alias("n_leaves"), F.count_if(~leaf).alias("n_subtrees"))
+
+
 def store_metrics(store: DataFrame) -> DataFrame:
     """n_nodes, n_edges (children of nodes with three or more), text_bytes (each text once), flat_bytes."""
     texts = store.where("text is not null").select("text").distinct().agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("text_bytes"))

@@ -15,6 +15,9 @@ from ..functions import symbols as S
 from ..kernel.parser import word
 from ..kernel.tree import Tree
 from ..operators import nodes as N
+from ..sources import symbols as sources
+from ..sources.shared import scratch
+from ..streaming import symbols as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -118,6 +121,75 @@ _simple("requirement_print", "yyxSHRzlF", "", "<A where A: Swift.Hashable>(A) ->
 _simple("simplified_print", "V", options="simplified", text="n_name")
 _simple("interface_print", "VSgD", "", "?", "interface")
 _simple("options_no_module", "V", options=S.flags_of("default") & ~S.flags_of("qualifyEntities"), text="n_name")
+for _name, _tail, _text in (
+    ("setter", "V1aSivs", ".a.setter : Swift.Int"),
+    ("variable", "V1aSivp", ".a : Swift.Int"),
+    ("modify", "V1aSivM", ".a.modify : Swift.Int"),
+    ("read", "V1aSivr", ".a.read : Swift.Int"),
+    ("willset", "V1aSivw", ".a.willset : Swift.Int"),
+    ("didset", "V1aSivW", ".a.didset : Swift.Int"),
+    ("subscript_setter", "VyS2icis", ".subscript.setter : (Swift.Int) -> Swift.Int"),
+    ("destructor", "Cfd", ".deinit"),
+    ("ivar_destroyer", "CfE", ".__ivar_destroyer"),
+    ("isolated_deinit", "CfZ", ".__isolated_deallocating_deinit"),
+):
+    _simple(f"{_name}_print", _tail, "", _text)
+for _name, _tail, _text in (
+    ("metaclass", "CMm", "metaclass for "),
+    ("protocol_descriptor", "PMp", "protocol descriptor for "),
+    ("completion_function", "VMr", "type metadata completion function for "),
+    ("instantiation_cache", "VMI", "type metadata instantiation cache for "),
+    ("instantiation_function", "VMi", "type metadata instantiation function for "),
+    ("metadata_pattern", "VMP", "generic type metadata pattern for "),
+    ("singleton_cache", "VMl", "type metadata singleton initialization cache for "),
+    ("builtin_reflection", "VMB", "reflection metadata builtin descriptor "),
+    ("field_reflection", "VMF", "reflection metadata field descriptor "),
+    ("base_offset", "CMo", "class metadata base offset for "),
+    ("update_function", "CMU", "ObjC metadata update function for "),
+    ("requirements_base", "PTL", "protocol requirements base descriptor for "),
+    ("nominal_record", "VHn", "nominal type descriptor runtime record for "),
+    ("opaque_record", "VHo", "opaque type descriptor runtime record for "),
+    ("outlined_consume", "VWOe", "outlined consume of "),
+    ("outlined_retain", "VWOr", "outlined retain of "),
+    ("outlined_release", "VWOs", "outlined release of "),
+    ("outlined_init_take", "VWOb", "outlined init with take of "),
+    ("outlined_init_copy", "VWOc", "outlined init with copy of "),
+    ("outlined_assign_take", "VWOd", "outlined assign with take of "),
+    ("outlined_assign_copy", "VWOf", "outlined assign with copy of "),
+    ("outlined_destroy", "VWOh", "outlined destroy of "),
+    ("unowned", "VXoD", "unowned "),
+    ("unmanaged", "VXuD", "unowned(unsafe) "),
+):
+    _simple(f"{_name}_print", _tail, _text)
+for _name, _tail, _before, _after_ in (
+    ("property_descriptor", "V1aSivpMV", "property descriptor for ", ".a : Swift.Int"),
+    ("field_offset", "C1aSivpWvd", "direct field offset for ", ".a : Swift.Int"),
+    ("static_variable", "V1aSivgZ", "static ", ".a.getter : Swift.Int"),
+    ("async_pointer", "yyYaFTu", "async function pointer to ", "() async -> ()"),
+    ("suspend_resume", "yyYaFTY0_", "(1) suspend resume partial function for ", "() async -> ()"),
+    ("await_resume", "yyYaFTQ0_", "(1) await resume partial function for ", "() async -> ()"),
+    ("derivative", "yyFTJfSpSr", "forward-mode derivative of ", "() -> () with respect to parameters {0} and results {0}"),
+    ("default_argument", "yySiFfA_", "default argument 0 of ", "(Swift.Int) -> ()"),
+    ("implicit_closure", "yyFyycfu_", "implicit closure #1 () -> () in ", "() -> ()"),
+    ("sil_function", "VIegy_D", "@escaping @callee_guaranteed (@unowned ", ") -> ()"),
+    ("sil_result", "VIegd_D", "@escaping @callee_guaranteed () -> (@unowned ", ")"),
+    ("pack", "V_QPD", "Pack{", "}"),
+    ("nested_optional", "VSgSgD", "Swift.Optional<Swift.Optional<", ">>"),
+    ("any_object", "P_XlD", "", " & Swift.AnyObject"),
+    ("sugared_array", "VXSaD", "[", "]"),
+    ("dynamic_replacement", "yyFTX", "dynamically replaceable variable for ", "() -> ()"),
+    ("dynamic_attribute", "yyFTD", "dynamic ", "() -> ()"),
+    ("direct_method", "yyFTd", "super ", "() -> ()"),
+    ("distributed_thunk", "yyFTE", "distributed thunk ", "() -> ()"),
+    ("non_objc", "yyFTO", "@nonobjc ", "() -> ()"),
+    ("method_descriptor", "yyFTq", "method descriptor for ", "() -> ()"),
+    ("function_record", "yyFHF", "accessible function runtime record for ", "() -> ()"),
+):
+    _simple(f"{_name}_print", _tail, _before, _after_)
+_simple("conformance_record_print", "VSHAAHc", "protocol conformance descriptor runtime record for ", text="r_name || '.' || n_name || ' : Swift.Hashable in ' || r_name")
+_printed("macro_print", lambda n: F.concat(n, F.lit("fMf_")), "nom || 'fMf_'", "'freestanding macro expansion #1 of ' || n_name || ' in ' || r_name")
+_printed("private_name_print", lambda n: F.concat(n, F.lit("10_ABCDEF012LLV")), "nom || '10_ABCDEF012LLV'", "r_name || '.(' || n_name || ' in _ABCDEF012)'")
+_printed("labeled_tuple_print", lambda n: F.concat(n, F.lit("V3foo_AC3bartD")), "nom || 'V3foo_AC3bartD'", "'(foo: ' || r_name || '.' || n_name || ', bar: ' || r_name || '.' || n_name || ')'")
 _printed("array_print", _inside("Say", "VGD"), "'$sSay' || substr(nom, 3) || 'VGD'", "'[' || r_name || '.' || n_name || ']'", "sugared")
 _printed("array_plain_print", _inside("Say", "VGD"), "'$sSay' || substr(nom, 3) || 'VGD'", "'Swift.Array<' || r_name || '.' || n_name || '>'")
 _printed("dict_print", _inside("SDySS", "VGD"), "'$sSDySS' || substr(nom, 3) || 'VGD'", "'[Swift.String : ' || r_name || '.' || n_name || ']'", "sugared")
@@ -332,6 +404,126 @@ def top_symbols(spark, sf_dir):
     return N.top_symbols(nominals(spark, sf_dir).select(F.concat("nom", F.lit("V")).alias("symbol")), 10)
 
 
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, n_name AS name FROM t UNION ALL SELECT nom || '10_ABCDEF012LLV', n_name FROM t UNION ALL SELECT nom || 'V2eeoiySbAC_ACtFZ', '==' FROM t")
+def declared_names(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.explode(F.array(*[F.concat("nom", F.lit(t)) for t in ("V", "10_ABCDEF012LLV", "V2eeoiySbAC_ACtFZ")])).alias("symbol"))
+    return N.parse(rows).select("symbol", S.identifier_of(F.col("tree"), S.child_at(F.col("tree"), F.get("tree", F.lit(0)), 0)).alias("name"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, n_name AS second, CAST(NULL AS VARCHAR) AS third, CAST(2 AS BIGINT) AS n_children, n_name AS tail, false AS is_standard, n_name = 'NATION_1' AS is_named FROM t")
+def child_access(spark, sf_dir):
+    tree, top = F.col("tree"), S.child_at(F.col("tree"), F.get("tree", F.lit(0)), 0)
+    kids = S.children_of(tree, top)
+    return _parsed(spark, sf_dir).select(
+        "symbol", S.child_at(tree, top, 1)["text"].alias("second"), S.child_at(tree, top, 2)["text"].alias("third"), F.size(kids).cast("long").alias("n_children"),
+        F.array_join(F.transform(S.children_of(tree, top, 1, 9), lambda n: n["text"]), ",").alias("tail"), S.is_standard_module(F.get(kids, F.lit(0))).alias("is_standard"), S.is_identifier(F.get(kids, F.lit(1)), "NATION_1").alias("is_named"),
+    )
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, true AS can_mangle, CASE WHEN r_name LIKE '% %' THEN NULL ELSE '_' || nom || 'V' END AS mangled FROM t")
+def mangled_trees(spark, sf_dir):
+    rows = _parsed(spark, sf_dir).select("symbol", S.mangle(F.col("tree")).alias("m"), S.can_mangle(F.col("tree")).alias("can_mangle"))
+    return rows.select("symbol", "can_mangle", F.when(~F.col("symbol").contains(" "), F.col("m.mangled")).alias("mangled"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V_ACtD' AS symbol, 'kind=Global' || chr(10) || '  kind=TypeMangling' || chr(10) || '    kind=Type' || chr(10) || '      kind=Tuple' || chr(10) || '        kind=TupleElement' || chr(10) || '          kind=Type (shared #1)' || chr(10) || '            kind=Structure' || chr(10) || '              kind=Module, text=\"' || r_name || '\"' || chr(10) || '              kind=Identifier, text=\"' || n_name || '\"' || chr(10) || '        kind=TupleElement' || chr(10) || '          kind=Type (see #1)' AS dump FROM t")
+def shared_dump(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("V_ACtD")).alias("symbol"))
+    return rows.withColumn("dump", S.shared_dump(F.col("symbol")))
+
+
+@query(f"WITH {NOM} SELECT nom || 'yyxlF' AS symbol, CAST(1 AS BIGINT) AS n_params, CAST(0 AS BIGINT) AS depth FROM t UNION ALL SELECT nom || 'yyF', NULL, NULL FROM t")
+def generic_depths(spark, sf_dir):
+    rows = nominals(spark, sf_dir).select(F.explode(F.array(F.concat("nom", F.lit("yyxlF")), F.concat("nom", F.lit("yyF")))).alias("symbol"))
+    depths = F.col("d")
+    found = rows.withColumn("d", S.generic_depths(F.col("symbol")))
+    return found.select("symbol", F.when(depths.isNotNull(), F.size(depths)).cast("long").alias("n_params"), F.try_element_at(depths, F.lit(0)).cast("long").alias("depth"))
+
+
+@query("SELECT n_nationkey, printf('%X', CAST(n_nationkey * 1001 AS BIGINT)) AS hexadecimal, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) AS capitalized FROM nation")
+def text_utilities(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return rows.select("n_nationkey", S.hexadecimal(F.col("n_nationkey") * 1001).alias("hexadecimal"), S.capitalize_first(F.lower("n_name")).alias("capitalized"))
+
+
+@query("SELECT n_nationkey, 'Swift.Optional<' || 'Here.context0' || '>' AS printed FROM nation")
+def symbolic_references(spark, sf_dir):
+    resolve = lambda kind, way, n: Tree("type", (Tree("structure", (word("Here", "module"), word(f"{kind}{n}", "identifier"))),))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat(F.lit("$s"), F.char(F.lit(1)), F.lit("SgD")).alias("symbol"))
+    return rows.select("n_nationkey", S.print_tree(S.demangle(F.col("symbol"), resolver=resolve)["tree"]).alias("printed"))
+
+
+@query(f"WITH {NOM} SELECT k.parent_kind, k.kind, COUNT(*) AS n FROM t, (VALUES ('global', 'structure'), ('structure', 'module'), ('structure', 'identifier')) AS k(parent_kind, kind) GROUP BY k.parent_kind, k.kind")
+def edge_histogram(spark, sf_dir):
+    return N.edge_histogram(N.nodes(_parsed(spark, sf_dir)))
+
+
+@query(f"WITH {NOM} SELECT CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) AS BIGINT) AS n_leaves, CAST(2 * COUNT(DISTINCT nom) AS BIGINT) AS n_subtrees FROM t")
+def store_counts(spark, sf_dir):
+    return N.store_counts(N.intern(_parsed(spark, sf_dir)))
+
+
+@query(f"WITH {NOM} SELECT CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) AS BIGINT) AS n_nodes, CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) - 1 AS BIGINT) AS last_id FROM t")
+def store_merge(spark, sf_dir):
+    """Two stores over overlapping halves, written, read back and merged."""
+    parsed, folders = _parsed(spark, sf_dir), [scratch(spark, "store") for _ in range(2)]
+    last = F.substr("symbol", F.length("symbol") - 1, F.lit(1))
+    for folder, half in zip(folders, (last < "6", last > "3"), strict=True):
+        sources.write_store(parsed.where(half), folder)
+    (a, _), (b, _) = (sources.read_store(spark, folder) for folder in folders)
+    return sources.merge_stores(a, b).agg(F.count("*").alias("n_nodes"), F.max("node_id").alias("last_id"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, 'nations' AS image, CAST(4096 + n_nationkey AS BIGINT) AS \"offset\" FROM t WHERE r_name NOT LIKE '% %'")
+def listing_scan(spark, sf_dir):
+    """Symbols written as a text listing and read back with their offsets."""
+    folder = scratch(spark, "listing")
+    rows = nominals(spark, sf_dir).where("r_name NOT LIKE '% %'")
+    rows.select(F.concat(F.lpad(F.hex(F.col("n_nationkey") + 4096), 16, "0"), F.lit(" T "), F.col("nom"), F.lit("V")).alias("value")).write.text(folder)
+    return sources.read_listing(spark, folder, "nations").select("symbol", "image", F.col("offset").cast("long").alias("offset"))
+
+
+@query(f"WITH {NOM} SELECT nom || 'VSgD' AS symbol, 'Swift.Optional' AS outer_text, r_name || '.' || n_name AS inner_text, '<>' AS loose_text FROM t")
+def type_reference_scopes(spark, sf_dir):
+    """The texts of a print by the type reference that they belong to."""
+    rows = _parsed(spark, sf_dir, "VSgD").select("symbol", S.spans(F.col("tree")).alias("s"), S.find(F.col("tree"), "structure", "enum")["node_hash"].alias("refs"))
+    of = lambda scope: F.array_join(F.transform(F.filter("s", lambda x: x["scope_hash"].eqNullSafe(scope)), lambda x: x["text"]), "")
+    return rows.select("symbol", of(F.get("refs", F.lit(0))).alias("outer_text"), of(F.get("refs", F.lit(1))).alias("inner_text"), of(F.lit(None).cast("string")).alias("loose_text"))
+
+
+EVENT = "'$s' || length(event_type) || event_type || '1TV'"
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, a stream takes a single file too
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("$s"), ident(F.col("event_type")), F.lit("1TV")).alias("symbol"))
+
+
+def _drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """What the stream holds now, each batch written over the one before (complete) or beside it (append)."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query(f"SELECT {EVENT} AS symbol, event_type || '.T' AS printed, COUNT(*) AS n FROM events GROUP BY event_type")
+def stream_print(spark, sf_dir):
+    out = _drained(streams.printed_stream(_event_stream(spark, sf_dir).select("symbol")), scratch(spark, "stream"), "append")
+    return out.groupBy("symbol", "printed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS module, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    out = _drained(streams.module_counts(_event_stream(spark, sf_dir), "1 hour"), scratch(spark, "stream"), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "module", "n")
+
+
 @query("SELECT p_partkey, p_name AS again FROM part")
 def punycode_roundtrip(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

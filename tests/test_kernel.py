@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from mangrove.kernel import punycode, tree
 from mangrove.kernel.encoder import SymbolEncodeError, encode
 from mangrove.kernel.parser import SymbolError, demangle, prefix_of
-from mangrove.kernel.printer import PRESETS, spans_of, text_of
+from mangrove.kernel.printer import PRESETS, PrintTooLarge, spans_of, text_of
 from mangrove.kernel.tree import Tree
 from mangrove.kernel.types import JsonBuilder, TypeError_, decode_symbol
 from mangrove.kernel.wording import classes
@@ -194,3 +194,48 @@ def test_spans_and_json():
     assert [(s[0], s[1]) for s in spans] == [("main", "module"), (".", None), ("Foo", "identifier")]
     assert decode_symbol("$sSaySiGD", JsonBuilder())["args"][0]["name"] == "Int"
     assert decode_symbol("$sSo7NSArrayCD") == "NSArray" and decode_symbol("$sSo7NSArrayCD", JsonBuilder())["type"] == "objc_class"
+
+
+def test_crafted_sharing_is_refused_in_time():
+    began = time.time()
+    symbol = encode(Tree("global", (Tree("typeMangling", (nested(60),)),)))
+    assert len(symbol) < 1000
+    with pytest.raises(PrintTooLarge):
+        text_of(demangle(symbol))
+    with pytest.raises(TypeError_):
+        decode_symbol(symbol)
+    assert not nested(60).contains("functionType") and nested(60).first("identifier").text == "G" == nested(60).identifier()
+    count = Tree("dependentGenericParamCount", index=1)
+    param = Tree("dependentGenericParamType", (Tree("index", index=3), Tree("index", index=2)))
+    generic = Tree("dependentGenericType", (Tree("dependentGenericSignature", (count,)), Tree("type", (Tree("tuple", (param, nested(60))),))))
+    assert tree.generic_depths(generic) == {2: 3} and tree.generic_depths(nested(3)) is None
+    assert time.time() - began < 60
+
+
+def nested(levels):
+    node = Tree("type", (Tree("structure", (Tree("module", text="Swift"), Tree("identifier", text="Int"))),))
+    for _ in range(levels):
+        head = Tree("type", (Tree("structure", (Tree("module", text="main"), Tree("identifier", text="G"))),))
+        node = Tree("type", (Tree("boundGenericStructure", (head, Tree("typeList", (node, node)))),))
+    return node
+
+
+def test_declared_names():
+    hidden = Tree("privateDeclName", (Tree("identifier", text="_1"), Tree("identifier", text="Foo")))
+    assert Tree("structure", (Tree("module", text="m"), hidden)).identifier() == "Foo"
+    assert Tree("global", (Tree("function", (Tree("module", text="m"), Tree("infixOperator", text="=="), Tree("identifier", text="a"))),)).identifier() == "=="
+    assert Tree("global", (Tree("module", text="m"),)).identifier() is None
+
+
+def test_builder_leaves_built_trees_alone():
+    builder = tree.TreeBuilder("global")
+    first = builder.add(Tree("module", text="a")).build()
+    second = builder.add(Tree("module", text="b")).apply("reverse").build()
+    assert [k.text for k in first.kids] == ["a"] and [k.text for k in second.kids] == ["b", "a"]
+
+
+def test_spans_name_their_type_reference():
+    node = demangle("$sSaySiGD")
+    outer, inner = (n.digest() for n in node.instances() if n.kind == "structure")
+    scopes = {scope: "".join(s[0] for s in spans_of(node) if s[4] == scope) for scope in (outer, inner, None)}
+    assert scopes == {outer: "Swift.Array", inner: "Swift.Int", None: "<>"}
