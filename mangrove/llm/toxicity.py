@@ -1,10 +1,13 @@
 """Toxicity by weak supervision.
 
-1. A bounded sample of labelled rows (`sample_rows`, lowest hash of doc_id first) induces a lexicon: words whose
-   document frequency leans to label 1. Only the sample is bounded; every row is scored.
-2. Voters: each lexicon word, and fixed patterns of shouting, masking and stretching.
+1. A bounded sample of labelled rows (`sample_rows`, lowest hash of doc_id first) induces a lexicon: words, and stems
+   (written `stem*`) of inflected and compound ones, whose document frequency leans to label 1. An entry must reach texts
+   that are not covered three times already, so the words of one much copied text don't fill the lexicon. Only the sample is
+   bounded; every row is scored.
+2. Voters: each lexicon entry, fixed patterns of shouting, masking and stretching, and the sample's annotators.
 3. A generative label model over the voters: class prior, one firing rate per voter and class (its accuracy), and
-   pairwise correlations left within the classes, which discount voters that repeat each other. Fitted by EM.
+   pairwise correlations left within the classes, which discount voters that repeat each other. Fitted by EM. The
+   annotators' vote ties class 1 to the label where few voters know a language.
 4. A linear (logistic) classifier over counts of what the voters look for learns the posterior labels and scores
    every whole text.
 
@@ -37,6 +40,14 @@ PATTERNS = {
 }
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
+#: Letters that stems have; the first of them suffice to pass over most words of a text.
+STEMS, HEAD = range(4, 10), 4
+#: Candidates of the lexicon that reach the driver, and of those the ones counted.
+CANDIDATES, COUNTED = 20_000, 256
+#: Texts of label 1 that one of label 0 outweighs in the order of candidates.
+COST = 10
+#: Texts not well covered yet that an entry must reach.
+NEW_TEXTS = 3
 
 
 @dataclass
@@ -93,12 +104,15 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds:
 
 
 def evidence(text: str | None, lexicon: dict[str, int]) -> np.ndarray:
-    """Counts: each lexicon word, then each pattern, in the whole text."""
+    """Counts: each lexicon entry (a word, or `stem*`), then each pattern, in the whole text."""
     text = text or ""
     out = np.zeros(len(lexicon) + len(_PATTERNS))
+    heads = {entry.rstrip("*")[:HEAD] for entry in lexicon}
     if lexicon:
-        for word, n in Counter(w for w in _WORD.findall(text.lower()) if w in lexicon).items():
-            out[lexicon[word]] = n
+        for word, n in Counter(w for w in _WORD.findall(text.lower()) if w[:HEAD] in heads).items():
+            for entry in (word, *(word[:k] + "*" for k in STEMS if k <= len(word))):
+                if entry in lexicon:
+                    out[lexicon[entry]] += n
     for i, p in enumerate(_PATTERNS):
         out[len(lexicon) + i] = sum(1 for _ in p.finditer(text))
     return out
@@ -111,6 +125,34 @@ def features(counts: np.ndarray, n_words: int) -> np.ndarray:
     return np.hstack([logs, np.log1p(hits), hits > 0])
 
 
+def unnested(entries: list[str], most: int = COUNTED) -> list[str]:
+    """The first `most` entries of which none begins like another."""
+    kept: list[str] = []
+    whole, beginnings = set(), set()
+    for entry in entries:
+        stem = entry.rstrip("*")
+        own = {stem[:k] for k in range(1, len(stem) + 1)}
+        if not own & whole and stem not in beginnings:
+            kept.append(entry)
+            whole.add(stem)
+            beginnings |= own
+            if len(kept) == most:
+                break
+    return kept
+
+
+def useful(hits: np.ndarray, least: int, most: int, cover: int = 3) -> list[int]:
+    """Columns of `hits` (rows of label 1 by candidates, best first) that reach `least` or more rows not covered `cover` times yet."""
+    covered, kept = np.zeros(len(hits), int), []
+    for i in range(hits.shape[1]):
+        if (hits[:, i] & (covered < cover)).sum() >= least:
+            kept.append(i)
+            covered += hits[:, i]
+        if len(kept) == most:
+            break
+    return kept
+
+
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, int]
@@ -133,26 +175,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     n = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return ToxicityModel({}, None)
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    stems = F.flatten(F.transform(F.col("found"), lambda w: F.transform(F.sequence(F.lit(STEMS.start), F.least(F.length(w), F.lit(STEMS.stop - 1))), lambda k: F.concat(F.substr(w, F.lit(1), k), F.lit("*")))))
+    long = F.filter("found", lambda w: F.length(w) >= STEMS.start)
+    spelt = sample.select("label", found.alias("found")).select("label", "found", long.alias("long")).select("label", F.col("found").alias("plain"), F.col("long").alias("found"))
+    words = spelt.select("label", F.explode(F.array_distinct(F.concat("plain", stems))).alias("word"))
     seen = words.groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     a, b = (F.col("a") + 0.1) / (n[1] + 0.2), (F.col("b") + 0.1) / (n[0] + 0.2)
     odds = F.log(a * (1 - b) / (b * (1 - a)))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = seen.where((F.col("a") >= min_docs) & (odds > 3.5) & (odds / spread > 4)).orderBy(F.desc(odds / spread), "word").limit(lexicon_words).collect()
-    lexicon = {r["word"]: i for i, r in enumerate(chosen)}
-    width = len(lexicon) + len(PATTERNS)
+    chosen = seen.where((F.col("a") >= min_docs) & (odds > 3.5) & (odds / spread > 4)).orderBy(F.desc(F.col("a") - COST * F.col("b")), F.length("word"), "word").limit(CANDIDATES).collect()
+    candidates = {entry: i for i, entry in enumerate(unnested([r["word"] for r in chosen]))}
+    width = len(candidates) + len(PATTERNS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "counts": [evidence(t, lexicon) for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], "counts": [evidence(t, candidates).astype(np.float32) for t in batch["text"]]})
 
     # At most sample_rows rows of counts, no texts.
-    rows = sample.select("label", "text").mapInPandas(count, "label int, counts array<double>").toPandas()
-    counts = np.stack(rows["counts"].to_list()).reshape(len(rows), width)
+    rows = sample.select("label", "text").mapInPandas(count, "label int, counts array<float>").toPandas()
+    counts = np.stack(rows["counts"].to_list()).reshape(len(rows), width).astype(float)
+    kept = useful(counts[rows["label"].to_numpy() == 1, : len(candidates)] > 0, NEW_TEXTS, lexicon_words)
+    lexicon = {entry: i for i, entry in enumerate(list(candidates)[k] for k in kept)}
+    counts = counts[:, [*kept, *range(len(candidates), width)]]
     order = np.lexsort([*counts.T, rows["label"].to_numpy()])  # sums of floats agree between runs
     rows, counts = rows.iloc[order], counts[order]
-    model = fit_label_model(counts > 0, rows["label"].to_numpy())
-    weights = fit_logistic(features(counts, len(lexicon)), model.posterior(counts > 0))
+    votes = np.column_stack([counts > 0, rows["label"].to_numpy() == 1])
+    model = fit_label_model(votes, rows["label"].to_numpy())
+    weights = fit_logistic(features(counts, len(lexicon)), model.posterior(votes))
     return ToxicityModel(lexicon, weights, model)
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -128,6 +129,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(found) >= 0.4 * len(found)  # the other languages' labels show in no text
 
 
+def test_toxicity_lexicon_takes_stems_of_rare_languages(spark):
+    """Marked words of a rare language share a stem only; one copied text must not fill the lexicon."""
+    rows = [(i, f"plain words number{i} stay here") for i in range(400)]
+    rows += [(1000 + i, f"you idiot number{i}") for i in range(40)]
+    rows += [(2000 + i, f"schlimm{chr(97 + i % 26)}{chr(97 + i // 26)}keit number{i}") for i in range(30)]
+    rows += [(3000 + i, f"idiot copied passage of several words number{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 1000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    assert "schl*" in model.lexicon and any(e.startswith("idio") for e in model.lexicon) and len(model.lexicon) <= 6
+    scores = model.scores(pd.Series(["schlimmzzkeit", "nothing at all", "an idiot", "", None]))
+    assert (scores >= toxicity.THRESHOLD).tolist() == [True, False, True, False, False]
+
+
+def test_toxicity_entries_do_not_nest():
+    assert toxicity.unnested(["abcd*", "abcde", "abcdef*", "ab", "xyz", "xyzab*", "q"]) == ["abcd*", "xyz", "q"]
+    assert toxicity.useful(np.array([[1, 1, 0]] * 3 + [[0, 0, 1]] * 2, bool), 2, 9, cover=1) == [0, 2]
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (2, 0), (8, 1), (9, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
