@@ -52,20 +52,22 @@ NEW_TEXTS = 3
 
 @dataclass
 class LabelModel:
-    """P(label 1 | which voters fire): naive Bayes whose terms are weighted by 1 / (1 + sum of squared residual correlations)."""
+    """P(label 1 | which voters fire): naive Bayes whose terms are weighted by 1 / (1 + sum of squared residual correlations). The first `abstains` voters say nothing where they don't fire: a lexicon of one language is silent in another."""
 
     prior: float
     rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    abstains: int = 0
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
         on, off = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        off[: self.abstains] = 0
         z = math.log(self.prior / (1 - self.prior)) + (np.where(fires, on, off) * self.weights).sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(fires: np.ndarray, start: np.ndarray, rounds: int = 20) -> LabelModel:
+def fit_label_model(fires: np.ndarray, start: np.ndarray, rounds: int = 20, abstains: int = 0) -> LabelModel:
     """EM from the soft labels `start`; rates are smoothed by half a count."""
     q = np.clip(start.astype(float), 0.02, 0.98)
     prior = float(np.clip(start.mean(), 1e-4, 1 - 1e-4))
@@ -78,7 +80,7 @@ def fit_label_model(fires: np.ndarray, start: np.ndarray, rounds: int = 20) -> L
         scale = np.sqrt((residual**2).mean(0)) + 1e-9
         corr = (residual.T @ residual) / len(x) / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
-        model = LabelModel(prior, rates, 1 / (1 + (corr**2).sum(0)), corr)
+        model = LabelModel(prior, rates, 1 / (1 + (corr**2).sum(0)), corr, abstains)
         new = model.posterior(fires)
         if np.abs(new - q).max() < 1e-6:
             break
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     order = np.lexsort([*counts.T, rows["label"].to_numpy()])  # sums of floats agree between runs
     rows, counts = rows.iloc[order], counts[order]
     votes = np.column_stack([counts > 0, rows["label"].to_numpy() == 1])
-    model = fit_label_model(votes, rows["label"].to_numpy())
+    model = fit_label_model(votes, rows["label"].to_numpy(), abstains=counts.shape[1])
     weights = fit_logistic(features(counts, len(lexicon)), model.posterior(votes))
     return ToxicityModel(lexicon, weights, model)
 
