@@ -12,8 +12,8 @@ Ranks in the random order need no global sort: hashes fall into buckets of about
 within a bucket, and per-bucket sums place the buckets, so one hot source is spread like all others.
 
 Defined cases: null text or no words: size 0, never taken; null source: a source of its own, sorted last; repeated rows
-(same id and text) are rows of their own and are ordered among themselves by nothing that shows in the result; an empty
-table gives no rows. Sources are listed on the driver, at most `max_sources` of them, else ValueError.
+(same id, text and source) are rows of their own and share evenly what their blocks drew, while `emit` gives each of them
+the greatest share of a block; an empty table gives no rows. Sources are listed on the driver, at most `max_sources` of them, else ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,6 +97,11 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """One hash for rows of the same id, text and source (a null source is hashed as no value)."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), docs["source"].cast("string"))
+
+
 def plan_sources(sized: DataFrame, max_sources: int = 100_000) -> list[Plan]:
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
@@ -134,8 +139,7 @@ def mix(docs: DataFrame, block: int = 512, shards: int = 64, seed: int = 7, buck
     draws: row_key, doc_id, source, block, words (all words of the block), taken (words of it drawn beyond the whole passes), shard, place (order in the shard).
     """
     src = only(docs, doc_id="doc_id", source="source", text="text").withColumn("source", F.col("source").cast("string"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = materialise(src.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("row_key")), "mix-sizes")
+    sized = materialise(src.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(src).alias("row_key")), "mix-sizes")
     plans = plan_sources(sized)
     documents = with_plan(sized, plans)
     cut = documents.where("rest > 0 and size > 0").select("row_key", "doc_id", "source", "rest", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("block"))
@@ -185,7 +189,7 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     parts = parts.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("block", "taken"))).alias("__mix_parts"), F.sum("taken").alias("__mix_extra"))
     plan = documents.groupBy("row_key").agg(F.max("passes").alias("__mix_passes"), F.max("size").alias("__mix_size"))
     plan = plan.join(parts, "row_key", "left").withColumnRenamed("row_key", "__mix_key")
-    src = docs.withColumn("__mix_key", F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    src = docs.withColumn("__mix_key", row_key(docs))
     joined = src.join(plan, "__mix_key")
     word_list = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     picked = F.flatten(F.transform("__mix_parts", lambda p: F.slice(word_list, (p["block"] * block + 1).cast("int"), p["taken"].cast("int"))))

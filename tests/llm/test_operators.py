@@ -239,6 +239,13 @@ def test_mixing(spark, odd, none):
     assert mixing.taken_words(none).count() == 0 and mixing.emit(none).count() == 0
 
 
+def test_mixing_tells_sources_of_repeated_rows_apart(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", None), (2, "g h i", "z"), (2, "g h i", "z")]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=2, bucket_blocks=5).select("source", "taken", "target").collect()
+    for source, target in {(r["source"], r["target"]) for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["source"] == source) - target) <= 1
+
+
 def test_mixing_emits_what_is_taken(spark, odd):
     got = mixing.emit(odd, block=3, bucket_blocks=5)
     assert got.columns == odd.columns
