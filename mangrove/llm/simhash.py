@@ -10,10 +10,11 @@ Equal fingerprints are one node from the start, so copies are never paired. A bu
 and a spanning forest where it isn't: links between different fingerprints are all tested, only those that would join what
 is joined already are left out. Components of the links give the classes.
 
-`near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies of a similarity of 0.8 or more
-on five-word shingles: a few edited words change so many shingles that their fingerprints differ in some ten bits, too many
-to search for. Candidates come from `FAMILIES` independent fingerprints of damped word counts, in which such copies stay within 4 bits,
-and a link also needs five-word fingerprints within `SHAPE` bits, which is where a similarity of 0.8 ends with 99 in 100.
+`near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies by the sets of their five-word shingles: a link
+is a Jaccard similarity of 0.8 or more, counted on the sets (of 64-bit hashes). Its search is a prefix filter and loses none: in one order of all shingles, rare
+ones first, two such sets of sizes up to n share one of their first n // 5 + 1. Buckets are made of these; the first pass tests each bucket's rows against its
+least node, the second all pairs of a bucket that the first left in different classes. Parities of the shingles' counts in two bins a shingle or more bound the
+similarity from above and spare most pairs the comparison of sets.
 
 Defined cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the shingle; repeated rows fall together; null ids take their class's id, null if it has no other; an
@@ -29,15 +30,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, only
 from .graph import components
 
 BITS, DISTANCE, SEED = 64, 4, 42
-#: Word-count fingerprints a document has in deduplication, and the greatest distance of five-word fingerprints there.
+#: Word-count fingerprints a document has by default, and the greatest distance of shapes in `links`.
 FAMILIES, SHAPE = 3, 16
+#: Texts that say which shingles are frequent, and the most of these that are told apart.
+SAMPLE, FREQUENT = 20_000, 100_000
 WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = (0, 13, 26, 39, 52)
 #: Buckets of more rows than this emit a spanning forest.
@@ -93,22 +96,108 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("fp"))
 
 
+def _shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """The hash of the text's words as a signed long, and the set of its shingles' hashes, sorted."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True) if len(words) > shingle else [(0, len(joined))]
+    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64).view(np.int64))
+    node = digest(joined)
+    return node - (1 << 64) if node >> 63 else node, hashes
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """One bit a bin, as longs: whether an odd number of `hashes` falls there. Bins are a power of two, 64 and twice the hashes at least."""
+    n = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that several of about SAMPLE distinct texts share, at most FREQUENT. They only set the order of the search."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(t, shingle)[1] for t in texts])
+
+    every = max(1, -(-docs.count() // SAMPLE))
+    sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod(F.col("h"), F.lit(every)) == 0).dropDuplicates(["h"])
+    counts = sample.select(F.explode(of("text")).alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT)
+    rows = sorted((r[0], r[1]) for r in counts.collect())
+    return np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, node (hash of the text's words), families (word-count fingerprints) and shape (shingle fingerprint), signed longs."""
+    """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), bins (parities of its counts by hash) and prefix (its first n // 5 + 1 in order of the search)."""
+    src = only(docs, doc_id="doc_id", text="text")
+    names, counts = frequent_shingles(src, shingle)
 
-    @F.pandas_udf("struct<node:bigint,families:array<bigint>,shape:bigint>")
+    @F.pandas_udf("struct<node:bigint,n:int,bins:array<bigint>,prefix:array<bigint>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         rows = []
         for text in texts:
-            words = (text or "").encode().lower().split()
-            rows.append((signed(xxhash.xxh64_intdigest(b" ".join(words))), [signed(f) for f in word_fingerprints(words)], signed(fingerprint(text, shingle))))
-        return pd.DataFrame(rows, columns=["node", "families", "shape"])
+            node, own = _shingles(text, shingle)
+            often = np.zeros(len(own), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                often = np.where(names[at] == own, counts[at], 0)
+            rows.append((node, len(own), _parities(own), own[np.lexsort((own, often))[: len(own) // 5 + 1]]))
+        return pd.DataFrame(rows, columns=["node", "n", "bins", "prefix"])
 
-    src = only(docs, doc_id="doc_id", text="text")
     return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node and shingles of the nodes of `wanted` (node, first: a row of `docs` that has the node's words)."""
+
+    @F.pandas_udf("struct<node:bigint,shingles:array<bigint>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_shingles(t, shingle) for t in texts], columns=["node", "shingles"])
+
+    rows = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    src = only(docs, doc_id="doc_id", text="text")
+    theirs = src.join(rows, src["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(src["text"]) == rows["__hash"]), "left_semi")
+    return theirs.select(of("text").alias("s")).select("s.*").dropDuplicates(["node"])
+
+
+def near_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets have a Jaccard similarity of 0.8 or more. Sets are built for nodes of pairs that their bins leave open."""
+    side = lambda of, name, *columns: of.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    # |a & b| / |a | b| >= 4 / 5 where 9 |a & b| >= 4 (|a| + |b|), or 9 times what only one has <= |a| + |b|.
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.zip_with(folded("bins_a", "bins_b"), folded("bins_b", "bins_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda t, x: t + x)
+    binned = pairs.join(side(nodes, "a", "n", "bins"), "a").join(side(nodes, "b", "n", "bins"), "b")
+    hopeful = materialise(binned.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "near-pairs")
+    names = hopeful.select(F.col("a").alias("node")).unionAll(hopeful.select("b")).distinct()
+    wanted = materialise(nodes.select("node", "first").join(names, "node", "left_semi"), "near-wanted")
+    sets = materialise(shingle_sets(docs, wanted, shingle), "near-sets")
+    both = hopeful.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    return both.where(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def jaccard_links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """a, b: links that join all `nodes` (node, distinct; first, n, bins, prefix) with a similarity of 0.8 or more, and no others."""
+    rows = nodes.select(F.explode("prefix").alias("key"), "node", "n")
+    bucket = Window.partitionBy("key")
+    live = rows.withColumns({"least": F.min("node").over(bucket), "most": F.max("node").over(bucket)}).where("least <> most").drop("most")
+    live = materialise(live, "near-buckets")
+    stars = live.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    found = materialise(near_pairs(stars, docs, nodes, shingle), "near-links")
+    roots = components(found).withColumnRenamed("node", "linked")
+    rooted = live.join(roots, live["node"] == roots["linked"], "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.withColumns({"least": F.min("root").over(bucket), "most": F.max("root").over(bucket)}).where("least <> most")
+    # Of nodes of one root in a bucket all are needed: any of them may be the one near to another root's.
+    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "root")]) for name in "ab")
+    across = left.join(right, "key").where("root_a < root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    rest = near_pairs(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), docs, nodes, shingle)
+    return found.unionAll(rest)
+
+
 def _ring_mask(start: int, links: int) -> np.uint64:
     mask = 0
     for i in range(links):
@@ -223,16 +312,19 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) per row of `docs`."""
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    as_nodes = marked.select("doc_id", "text_hash", F.col("fp").alias("node"), F.array("fp").alias("families"), F.lit(0).cast("long").alias("shape"))
-    classes = _classes(as_nodes)
+    nodes = materialise(marked.groupBy(F.col("fp").alias("node")).agg(_first()), "fingerprint-nodes")
+    classes = _classes(nodes, links(nodes.select("node", F.array("node").alias("families"), F.lit(0).cast("long").alias("shape"))))
     return marked.join(classes, marked["fp"] == classes["of"], "left").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def _classes(marked: DataFrame) -> DataFrame:
-    """of (a node) and least (doc_id and text_hash of its class's first row; ids that are null come last). marked: doc_id, text_hash, node, families, shape."""
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = materialise(marked.groupBy("node").agg(F.min(row).alias("first"), F.min("families").alias("families"), F.min("shape").alias("shape")), "fingerprint-nodes")
-    roots = components(links(nodes.select("node", "families", "shape"))).withColumnRenamed("node", "linked")
+def _first():
+    """doc_id and text_hash of a group's first row; ids that are null come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+
+
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """of (a node) and least (the least `first` of its class). nodes: node, first; edges: a, b."""
+    roots = components(edges).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     return rooted.join(least, "root").select(F.col("node").alias("of"), "least")
@@ -241,7 +333,8 @@ def _classes(marked: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of `docs` of each class of near copies: that of the smallest id; of rows that repeat this id and its text, one."""
     marked = materialise(signatures(docs, shingle), "signatures")
-    keep = _classes(marked).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")).distinct()
+    nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("bins").alias("bins"), F.min("prefix").alias("prefix")), "near-nodes")
+    keep = _classes(nodes, jaccard_links(docs, nodes, shingle)).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__text_hash", F.xxhash64(docs["text"]))
     kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__id"]) & (hashed["__text_hash"] == keep["__hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")

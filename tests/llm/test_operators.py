@@ -462,6 +462,33 @@ def test_deduplicate_catches_edited_copies_and_leaves_others(spark):
     assert len(set(edited) & kept) <= 0.1 * len(edited)
 
 
+def near_classes(texts):
+    """Root of each text under a Jaccard similarity of 0.8 or more of sets of five words, all pairs tested."""
+    lists = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in lists]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (len(x) <= 5 * len(y) and len(y) <= 5 * len(x)) and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_deduplicate_is_exact_on_the_shingle_sets(spark):
+    """Of each class by the sets themselves one text stays; fingerprints alone took away texts of similarity 0.42 and more."""
+    docs = sorted(documents("/root/testdata/sf0.01"), key=lambda d: d["doc_id"])
+    classes = near_classes([d["text"] for d in docs])
+    kept = simhash.deduplicate(spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d["doc_id"] for i, d in enumerate(docs) if classes[i] == i]
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i * 7 + 1) % 50) for i in range(50)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
