@@ -489,6 +489,20 @@ def test_deduplicate_is_exact_on_the_shingle_sets(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [d["doc_id"] for i, d in enumerate(docs) if classes[i] == i]
 
 
+def test_deduplicate_catches_copies_with_a_block_added_or_dropped(spark):
+    docs = [d["text"].split() for d in documents("/root/testdata/sf0.01") if 60 <= len(d["text"].split()) <= 600][:300]
+    rows = []
+    for i, words in enumerate(docs[:-1]):
+        n, other = len(words), docs[i + 1]
+        rows.append((3 * i, " ".join(words)))
+        rows.append((3 * i + 1, " ".join(words + (other * 2)[: n * (i % 5 + 1) // 25])))
+        rows.append((3 * i + 2, " ".join(words[n * (i % 5 + 1) // 28 :])))
+    classes = near_classes([t for _, t in rows])
+    assert sum(c != i for i, c in enumerate(classes)) > 500
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, c in enumerate(classes) if c == i]
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i * 7 + 1) % 50) for i in range(50)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
