@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a randomness test battery over other tokens.
 
-Candidates are runs of 20 or more characters of an alphabet in which keys are written. For the encoding inferred (hex,
+Candidates are runs of 20 or more characters of an alphabet in which keys are written, padding apart; what follows a name and '=' is one of its own. For the encoding inferred (hex,
 base32, base62, base64) the battery tests how far the token is from random: chi-squared uniformity of its alphabet, the number
 of runs above and below the alphabet's middle, and serial correlation. Each test is one of equivalence: its null hypothesis says
 that the token is structured by at least a stated effect per character, so short tokens can't reach a small p-value.
@@ -35,7 +35,8 @@ _ASSIGN = re.compile(
 _HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: '=' ends a run as padding and otherwise parts a name from its value.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
 #: Encodings from narrow to wide: alphabet in order of value.
 ENCODINGS = {
     "hex": "0123456789abcdef",

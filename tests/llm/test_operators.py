@@ -309,6 +309,19 @@ def test_battery_tells_keys_from_words():
     assert secrets.battery("a" * 25)[1] == 1.0
 
 
+def test_keys_after_an_equals_sign_are_found(spark):
+    rng = random.Random(12)
+    key = lambda name: "".join(rng.choices(secrets.ENCODINGS[name], k=64))
+    rows, want = [], {}
+    for i, (before, after) in enumerate([("key=", ""), ("AWS_SECRET_ACCESS_KEY=", "\n"), ("AUTH=", " x"), ("https://a.example/b?sig=", "&x=1"), ("x==", ""), ("", "=="), ("k=", "======"), ("s=", "=1")]):
+        value = key("base32" if after == "======" else "base64" if after == "==" else "base62")
+        rows.append((i, f"see {before}{value}{after}"))
+        want[i] = (4 + len(before), 4 + len(before) + 64 + len(after if set(after) == {"="} else ""))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "random"] for r in found.collect()}
+    assert got == {i: [span] for i, span in want.items()}
+
+
 def test_false_discovery_step():
     assert secrets.thresholds([(0, 0, 90), (0, 60, 5), (0, 100, 5)], 0.01) == {0: 60}
     assert secrets.thresholds([(0, 0, 10**6), (0, 60, 1)], 0.01) == {} and secrets.thresholds([], 0.01) == {}
