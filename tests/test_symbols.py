@@ -86,6 +86,14 @@ def test_store_round_trip_and_merge(spark, symbols, tmp_path):
     assert N.corpus_diff(parsed, parsed.where("symbol <> '$s4main1gyyxlF'")).collect()[0]["symbol"] == "$s4main1gyyxlF"
 
 
+def test_materialize_reaches_every_level(spark, symbols):
+    parsed = N.parse(symbols)
+    store, roots = N.intern(parsed), N.roots(parsed)
+    rows = lambda **options: sorted(map(str, N.materialize(store, roots, **options).collect()))
+    assert store.agg(F.max("height")).collect()[0][0] > 4
+    assert rows(max_height=2) == rows()
+
+
 def test_listings(spark, tmp_path):
     path = tmp_path / "listing.txt"
     path.write_text("0000000000001000 T _$s4main3FooVN\n_$s4main3BarV\nnot one\n                 U _printf\n")
