@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialise, shared_dir
+
+__all__ = ["WORD", "discard", "let", "load", "materialise", "only", "shared_dir", "word_count"]
+
 #: A word: a maximal run of characters other than space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,23 +17,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: `spark.checkpoint.dir`, or one of this process where it is unset (tests)."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="mangrove-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back, so that later passes and retries start from files."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row (a lambda variable instead of a repeated expression)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

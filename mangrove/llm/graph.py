@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,5 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         joined = large.join(small, large["hi"] == small["u"])
         links = joined.select("hi", F.col("m").alias("lo")).unionAll(joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now = materialise(links.where("hi <> lo").distinct(), "links")
+        before, now = now, materialise(links.where("hi <> lo").distinct(), "links")
+        discard(before)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -10,11 +10,12 @@ Equal fingerprints are one node from the start, so copies are never paired. A bu
 and a spanning forest where it isn't: links between different fingerprints are all tested, only those that would join what
 is joined already are left out. Components of the links give the classes.
 
-`near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies by the sets of their five-word shingles: a link
-is a Jaccard similarity of 0.8 or more, counted on the sets (of 64-bit hashes). Its search is a prefix filter and loses none: in one order of all shingles, rare
-ones first, two such sets of sizes up to n share one of their first n // 5 + 1. Buckets are made of these; the first pass tests each bucket's rows against its
-least node, the second all pairs of a bucket that the first left in different classes. Parities of the shingles' counts in two bins a shingle or more bound the
-similarity from above and spare most pairs the comparison of sets.
+`near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies by the sets of their five-word shingles: a link is a
+Jaccard similarity of 0.8 or more, counted on the sets (of 64-bit hashes). Fingerprints of such pairs differ in some 10 of 64 bits on average, too many for
+buckets of whole segments, so its buckets are the rare shingles of a text: in one order of all shingles, rare ones first, two such sets of sizes up to n share one
+of their first n // 5 + 1. Within a bucket sizes and the pigeonring chain over the segments at distance NEAR prune pairs, then the sets decide. Of pairs of 0.8 or more
+the chain loses less than four in a million, and none with a set of less than SURE shingles, where it is not used. A bucket's rows are tested
+against its leaders first; the second pass tests all pairs of a bucket that are in different classes then.
 
 Defined cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the shingle; repeated rows fall together; null ids take their class's id, null if it has no other; an
@@ -23,7 +24,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, only
+from .common import discard, materialise, only
 from .graph import components
 
 BITS, DISTANCE, SEED = 64, 4, 42
-#: Word-count fingerprints a document has by default, and the greatest distance of shapes in `links`.
-FAMILIES, SHAPE = 3, 16
+#: Greatest distance of fingerprints of near copies, and the size of sets from which it is asked for.
+NEAR, SURE = 24, 64
 #: Texts that say which shingles are frequent, and the most of these that are told apart.
 SAMPLE, FREQUENT = 20_000, 100_000
 WIDTHS = (13, 13, 13, 13, 12)
@@ -67,24 +67,6 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def word_fingerprints(words: list[bytes], families: int = FAMILIES) -> list[int]:
-    """Fingerprints of the words, each weighed by the bit length of its count, under independent hashes."""
-    counts = Counter(words)
-    if not counts:
-        return [0] * families
-    weights = np.array([n.bit_length() for n in counts.values()], np.float32)
-    out = []
-    for seed in range(families):
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], dtype="<u8")
-        sums = np.zeros(BITS)
-        for at in range(0, len(hashes), 1 << 14):
-            part = hashes[at : at + (1 << 14)]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            sums += weights[at : at + (1 << 14)] @ bits
-        out.append(int.from_bytes(np.packbits(2 * sums > weights.sum(dtype=np.float64), bitorder="little").tobytes(), "little"))
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, text_hash and fp, the fingerprint as a signed long."""
 
@@ -96,108 +78,217 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("fp"))
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
     """The hash of the text's words as a signed long, and the set of its shingles' hashes, sorted."""
     words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True) if len(words) > shingle else [(0, len(joined))]
-    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64).view(np.int64))
-    node = digest(joined)
-    return node - (1 << 64) if node >> 63 else node, hashes
+    node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    rolled = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        rolled = rolled * _FACTOR + each[k : k + len(rolled)]
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * _FACTOR
+    return node - (1 << 64) if node >> 63 else node, np.unique((rolled ^ (rolled >> np.uint64(29))).view(np.int64))
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    """One bit a bin, as longs: whether an odd number of `hashes` falls there. Bins are a power of two, 64 and twice the hashes at least."""
-    n = max(64, 1 << (2 * len(hashes) - 1).bit_length())
-    odd = np.bincount(hashes & (n - 1), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Texts handled at once by a Python worker.
+SLICE = 256
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the shingles that several of about SAMPLE distinct texts share, at most FREQUENT. They only set the order of the search."""
 
-    @F.pandas_udf("array<bigint>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(t, shingle)[1] for t in texts])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                found = [_shingles(t, shingle)[1] for t in batch.column(0).slice(at, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["s"])
 
     every = max(1, -(-docs.count() // SAMPLE))
     sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod(F.col("h"), F.lit(every)) == 0).dropDuplicates(["h"])
-    counts = sample.select(F.explode(of("text")).alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT)
+    counts = sample.select("text").mapInArrow(of, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT)
     rows = sorted((r[0], r[1]) for r in counts.collect())
     return np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), bins (parities of its counts by hash) and prefix (its first n // 5 + 1 in order of the search)."""
+    """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), fp (fingerprint of the set) and prefix (its first n // 5 + 1 in order of the search)."""
     src = only(docs, doc_id="doc_id", text="text")
     names, counts = frequent_shingles(src, shingle)
 
-    @F.pandas_udf("struct<node:bigint,n:int,bins:array<bigint>,prefix:array<bigint>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            node, own = _shingles(text, shingle)
-            often = np.zeros(len(own), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                often = np.where(names[at] == own, counts[at], 0)
-            rows.append((node, len(own), _parities(own), own[np.lexsort((own, often))[: len(own) // 5 + 1]]))
-        return pd.DataFrame(rows, columns=["node", "n", "bins", "prefix"])
-
-    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                nodes, sizes, fps, prefixes = [], [], [], []
+                for text in batch.column(2).slice(at, SLICE).to_pylist():
+                    node, own = _shingles(text, shingle)
+                    often = np.zeros(len(own), np.int64)
+                    if len(names):
+                        where = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        often = np.where(names[where] == own, counts[where], 0)
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    fps.append(_majority(own))
+                    prefixes.append(own[np.lexsort((own, often))[: len(own) // 5 + 1]])
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+                arrays = [batch.column(0).slice(at, SLICE), batch.column(1).slice(at, SLICE), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "node", "n", "fp", "prefix"])
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(of, f"doc_id {kind}, text_hash long, node long, n int, fp long, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and shingles of the nodes of `wanted` (node, first: a row of `docs` that has the node's words)."""
+    """node and shingles of the nodes of `wanted` (first: a row of `docs` that has the node's words)."""
 
-    @F.pandas_udf("struct<node:bigint,shingles:array<bigint>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_shingles(t, shingle) for t in texts], columns=["node", "shingles"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                made = [_shingles(t, shingle) for t in batch.column(0).slice(at, SLICE).to_pylist()]
+                ends = np.cumsum([0, *(len(x) for _, x in made)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in made])))], names=["node", "shingles"])
 
     rows = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     src = only(docs, doc_id="doc_id", text="text")
     theirs = src.join(rows, src["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(src["text"]) == rows["__hash"]), "left_semi")
-    return theirs.select(of("text").alias("s")).select("s.*").dropDuplicates(["node"])
+    return theirs.select("text").mapInArrow(of, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def near_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets have a Jaccard similarity of 0.8 or more. Sets are built for nodes of pairs that their bins leave open."""
-    side = lambda of, name, *columns: of.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    # |a & b| / |a | b| >= 4 / 5 where 9 |a & b| >= 4 (|a| + |b|), or 9 times what only one has <= |a| + |b|.
-    half = lambda x: (F.size(x) / 2).cast("int")
-    folded = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
-    differ = F.zip_with(folded("bins_a", "bins_b"), folded("bins_b", "bins_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(differ, F.lit(0), lambda t, x: t + x)
-    binned = pairs.join(side(nodes, "a", "n", "bins"), "a").join(side(nodes, "b", "n", "bins"), "b")
-    hopeful = materialise(binned.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "near-pairs")
-    names = hopeful.select(F.col("a").alias("node")).unionAll(hopeful.select("b")).distinct()
+    """Those of `pairs` (a, b) whose sets have a Jaccard similarity of 0.8 or more, written."""
+    pairs = materialise(pairs, "near-pairs")
+    names = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     wanted = materialise(nodes.select("node", "first").join(names, "node", "left_semi"), "near-wanted")
     sets = materialise(shingle_sets(docs, wanted, shingle), "near-sets")
-    both = hopeful.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return both.where(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    # |a & b| / |a | b| >= 4 / 5 where 9 |a & b| >= 4 (|a| + |b|).
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    found = materialise(both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "near-links")
+    discard(pairs, wanted, sets)
+    return found
 
 
 def jaccard_links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """a, b: links that join all `nodes` (node, distinct; first, n, bins, prefix) with a similarity of 0.8 or more, and no others."""
-    rows = nodes.select(F.explode("prefix").alias("key"), "node", "n")
-    bucket = Window.partitionBy("key")
-    live = rows.withColumns({"least": F.min("node").over(bucket), "most": F.max("node").over(bucket)}).where("least <> most").drop("most")
-    live = materialise(live, "near-buckets")
-    stars = live.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    found = materialise(near_pairs(stars, docs, nodes, shingle), "near-links")
+    """a, b: links that join all `nodes` (node, distinct; first, n, fp, prefix) with a similarity of 0.8 or more, and no others."""
+    rows = nodes.select(F.explode("prefix").alias("key"), "n", "node", "fp")
+    tested = materialise(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_buckets(_led), "key long, n int, a long, b long"), "near-buckets")
+    found = near_pairs(tested.where("n is null").select("a", "b").distinct(), docs, nodes, shingle)
     roots = components(found).withColumnRenamed("node", "linked")
-    rooted = live.join(roots, live["node"] == roots["linked"], "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.withColumns({"least": F.min("root").over(bucket), "most": F.max("root").over(bucket)}).where("least <> most")
+    left = tested.where("n is not null").select("key", "n", F.col("a").alias("node"), F.col("b").alias("fp"))
+    rooted = left.join(roots, left["node"] == roots["linked"], "left").select("key", "n", "node", "fp", F.coalesce("root", "node").alias("root"))
     # Of nodes of one root in a bucket all are needed: any of them may be the one near to another root's.
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "root")]) for name in "ab")
-    across = left.join(right, "key").where("root_a < root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    rest = near_pairs(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), docs, nodes, shingle)
+    across = rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_buckets(_across), "key long, n int, a long, b long")
+    rest = near_pairs(across.select("a", "b").distinct(), docs, nodes, shingle)
+    discard(tested)
     return found.unionAll(rest)
 
 
+def _near(sizes: np.ndarray, fps: np.ndarray, at: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether rows `others` may be near copies of rows `at`, whose sizes are no greater: the sizes' ratio, then a chain of segments within its share of NEAR from some start, then the distance."""
+    ok = 5 * sizes[at] >= 4 * sizes[others]
+    differ = fps[at] ^ fps[others]
+    segments = [np.bitwise_count(differ & _MASKS[i, 0]).astype(np.int16) for i in range(5)]
+    chained = np.zeros(len(differ), bool)
+    for start in range(5):
+        total, holds = np.zeros(len(differ), np.int16), np.ones(len(differ), bool)
+        for k in range(5):
+            total = total + segments[(start + k) % 5]
+            holds &= total <= NEAR * (k + 1) // 5
+        chained |= holds
+    return ok & (chained | (sizes[at] < SURE))
+
+
+def _reach(sizes: np.ndarray, i: int) -> np.ndarray:
+    """Rows after row i whose sizes are at most 5 / 4 of its own; sizes ascend."""
+    return np.arange(i + 1, max(i + 1, int(np.searchsorted(sizes, 5 * int(sizes[i]) // 4, "right"))))
+
+
+def _led(sizes: np.ndarray, fps: np.ndarray, _roots: None) -> tuple[list[tuple[int, np.ndarray]], bool]:
+    """Pairs (row, rows) of one bucket, each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
+    free, pairs = np.ones(len(sizes), bool), []
+    for i in range(len(sizes) - 1):
+        if free[i]:
+            rows = _reach(sizes, i)
+            rows = rows[free[rows]]
+            rows = rows[_near(sizes, fps, np.full(len(rows), i), rows)]
+            if len(rows):
+                pairs.append((i, rows))
+                free[rows] = False
+    return pairs, bool(pairs)
+
+
+def _across(sizes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], bool]:
+    """Pairs (row, rows) of one bucket that may be near and have different roots."""
+    pairs = []
+    for i in range(len(sizes) - 1):
+        rows = _reach(sizes, i)
+        rows = rows[roots[rows] != roots[i]]
+        rows = rows[_near(sizes, fps, np.full(len(rows), i), rows)]
+        if len(rows):
+            pairs.append((i, rows))
+    return pairs, False
+
+
+def _buckets(test):
+    """A function of batches sorted by key (columns key, n, node, fp and perhaps root; whole buckets in a task). It gives the pairs that `test` finds in buckets of two rows or more,
+    as a and b with key and n null, and the rows of buckets that `test` leaves open, node and fp as a and b."""
+
+    def work(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, nodes, fps, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        lengths = np.diff(np.concatenate((heads, [len(keys)])))
+        if rest:
+            mixed = np.minimum.reduceat(rest[0], heads) != np.maximum.reduceat(rest[0], heads)
+            heads, lengths = heads[mixed], lengths[mixed]
+        unsigned = fps.view(np.uint64)
+        two = heads[lengths == 2]
+        two = two[_near(sizes, unsigned, two, two + 1)]
+        left, right, open_rows = [nodes[two]], [nodes[two + 1]], []
+        many = lengths > 2
+        for head, length in zip(heads[many].tolist(), lengths[many].tolist(), strict=True):
+            rows = slice(head, head + length)
+            pairs, more = test(sizes[rows], unsigned[rows], rest[0][rows] if rest else None)
+            for i, others in pairs:
+                left.append(np.full(len(others), nodes[head + i]))
+                right.append(nodes[head + others])
+            if more:
+                open_rows.append(np.arange(head, head + length))
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        at = np.concatenate(open_rows) if open_rows else np.zeros(0, np.int64)
+        none = [None] * len(a)
+        arrays = [pa.concat_arrays([pa.array(none, t), pa.array(x[at], t)]) for t, x in ((pa.int64(), keys), (pa.int32(), sizes))]
+        arrays += [pa.concat_arrays([pa.array(p), pa.array(x[at])]) for p, x in ((a, nodes), (b, fps))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or (held and held[-1][0][-1] != columns[0][0]):
+                yield from work([*held, tuple(c[:cut] for c in columns)])
+                held = []
+            held.append(tuple(c[cut:] for c in columns))
+        if held:
+            yield from work(held)
+
+    return run
+
+
 def _ring_mask(start: int, links: int) -> np.uint64:
     mask = 0
     for i in range(links):
@@ -210,49 +301,46 @@ _MASKS = np.array([[_ring_mask(i, n) for n in range(1, 6)] for i in range(5)], d
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """key, changed (0: the fingerprint's own key, 1: one bit of the second link set), fp, node, shape: some 37 rows per fingerprint of `nodes` (node, families, shape)."""
-    each = nodes.select("node", "shape", F.posexplode("families").alias("family", "fp"))
-    fp = F.col("fp")
+    """key, changed (0: the fingerprint's own key, 1: one bit of the second link set), fp: some 37 rows per fingerprint of `nodes` (node)."""
+    fp = F.col("node")
     seg = [F.shiftrightunsigned(fp, OFFSETS[i]).bitwiseAND((1 << WIDTHS[i]) - 1) for i in range(5)]
     groups = []
     for i in range(5):
         j = (i + 1) % 5
-        head = (F.col("family") * 5 + i) * (1 << 26) + seg[i] * (1 << 13)
+        head = F.lit(i * (1 << 26)) + seg[i] * (1 << 13)
         groups.append(F.struct((head + seg[j]).cast("long").alias("key"), F.lit(0).cast("byte").alias("changed")))
         for b in range(WIDTHS[j]):
             groups.append(F.when(seg[j].bitwiseAND(1 << b) == 0, F.struct((head + seg[j] + (1 << b)).cast("long").alias("key"), F.lit(1).cast("byte").alias("changed"))))
-    return each.select("fp", "node", "shape", F.explode(F.array_compact(F.array(*groups))).alias("k")).select("k.key", "k.changed", "fp", "node", "shape")
+    return nodes.select(fp.alias("fp"), F.explode(F.array_compact(F.array(*groups))).alias("k")).select("k.key", "k.changed", "fp")
 
 
-def _close(start: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether differences x pass the chain's third and fourth link and the full distance, and differences y of shapes their own."""
+def _close(start: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether differences x pass the chain's third and fourth link and the full distance."""
     ok = np.bitwise_count(x & _MASKS[start, 2]) <= 2
     ok &= np.bitwise_count(x & _MASKS[start, 3]) <= 3
     ok &= np.bitwise_count(x) <= DISTANCE
-    ok &= np.bitwise_count(y) <= SHAPE
     return ok
 
 
-def _forest(start: int, own: np.ndarray, fps: np.ndarray, nodes: np.ndarray, shapes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(start: int, own: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of a large bucket between its rows `own` and all, without those inside what is joined already."""
-    names, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
-    fps, shapes = fps[first], shapes[first]
-    label = np.arange(len(names))
-    starts = np.full(len(names), start)
+    fps, inverse = np.unique(rows, return_inverse=True)
+    label = np.arange(len(fps))
+    starts = np.full(len(fps), start)
     out = []
     for at in np.unique(inverse[own]):
-        near = np.flatnonzero(_close(starts, fps ^ fps[at], shapes ^ shapes[at]))
+        near = np.flatnonzero(_close(starts, fps ^ fps[at]))
         roots, which = np.unique(label[near], return_index=True)
         if len(roots) > 1:
-            out.append((np.full(len(roots), names[at]), names[near[which]]))
+            out.append((np.full(len(roots), fps[at]), fps[near[which]]))
             label[np.isin(label, roots)] = roots[0]
         if not label.any():
             break
     return out
 
 
-def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray, nodes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of nodes in whole buckets; rows are sorted by key, then changed."""
+def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of fingerprints in whole buckets; rows are sorted by key, then changed."""
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((heads, [len(keys)])))
     live = (sizes > 1) & (changed[heads] == 0)
@@ -261,7 +349,7 @@ def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray, nodes:
     large = sizes > SMALL
     for head, size in zip(heads[large].tolist(), sizes[large].tolist(), strict=True):
         rows = slice(head, head + size)
-        for a, b in _forest(int(keys[head] >> 26) % 5, np.flatnonzero(changed[rows] == 0), fps[rows], nodes[rows], shapes[rows]):
+        for a, b in _forest(int(keys[head] >> 26), np.flatnonzero(changed[rows] == 0), fps[rows]):
             left.append(a)
             right.append(b)
     heads, sizes = heads[~large], sizes[~large]
@@ -274,10 +362,10 @@ def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray, nodes:
             hh, nn = h[lo : lo + BLOCK // SMALL], n[lo : lo + BLOCK // SMALL]
             rows = np.repeat(hh - np.concatenate(([0], np.cumsum(nn)[:-1])), nn) + np.arange(nn.sum())
             own = np.repeat(hh + step, nn)
-            ok = (nodes[own] != nodes[rows]) & _close((keys[own] >> 26) % 5, fps[own] ^ fps[rows], shapes[own] ^ shapes[rows])
-            left.append(nodes[own][ok])
-            right.append(nodes[rows][ok])
-    empty = np.zeros(0, np.int64)
+            ok = (fps[own] != fps[rows]) & _close(keys[own] >> 26, fps[own] ^ fps[rows])
+            left.append(fps[own][ok])
+            right.append(fps[rows][ok])
+    empty = np.zeros(0, np.uint64)
     return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
 
 
@@ -288,13 +376,13 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         a, b = bucket_links(*(np.concatenate(c) for c in zip(*rows, strict=True)))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, changed, fps, nodes, shapes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        columns = (keys, changed, fps.view(np.uint64), nodes, shapes.view(np.uint64))
+        keys, changed, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        columns = (keys, changed, fps.view(np.uint64))
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut or (held and held[-1][0][-1] != keys[0]):
             yield from flush([*held, tuple(c[:cut] for c in columns)])
@@ -305,7 +393,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """a, b: links between `nodes` (node, distinct; families, shape) that join all those with a fingerprint at distance 4 or less and shapes at distance SHAPE or less."""
+    """a, b: links between `nodes` (node: a fingerprint, distinct) that join all those at distance 4 or less."""
     return bucket_rows(nodes).repartition("key").sortWithinPartitions("key", "changed").mapInArrow(_stream, "a long, b long")
 
 
@@ -313,7 +401,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) per row of `docs`."""
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = materialise(marked.groupBy(F.col("fp").alias("node")).agg(_first()), "fingerprint-nodes")
-    classes = _classes(nodes, links(nodes.select("node", F.array("node").alias("families"), F.lit(0).cast("long").alias("shape"))))
+    classes = _classes(nodes, links(nodes.select("node")))
     return marked.join(classes, marked["fp"] == classes["of"], "left").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
@@ -323,18 +411,24 @@ def _first():
 
 
 def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """of (a node) and least (the least `first` of its class). nodes: node, first; edges: a, b."""
+    """of (a node) and least (the least `first` of its class). nodes: node, first; edges: a, b. Both sides of the last join are read from files, so that a class of any size can be split there."""
     roots = components(edges).withColumnRenamed("node", "linked")
-    rooted = nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    rooted = materialise(nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root")), "class-roots")
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("least")), "class-least")
     return rooted.join(least, "root").select(F.col("node").alias("of"), "least")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of `docs` of each class of near copies: that of the smallest id; of rows that repeat this id and its text, one."""
     marked = materialise(signatures(docs, shingle), "signatures")
-    nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("bins").alias("bins"), F.min("prefix").alias("prefix")), "near-nodes")
-    keep = _classes(nodes, jaccard_links(docs, nodes, shingle)).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs["text"]))
-    kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__id"]) & (hashed["__text_hash"] == keep["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix")), "near-nodes")
+    discard(marked)
+    keep = _classes(nodes.select("node", "first"), jaccard_links(docs, nodes, shingle)).select("least").distinct()
+    keep = materialise(keep.select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")), "near-kept")
+    discard(nodes)
+    hashed = docs.withColumns({"__text_hash": F.xxhash64(docs["text"]), "__id_hash": F.xxhash64(docs["doc_id"])})
+    keep = keep.select("__id", "__hash", F.xxhash64("__id").alias("__hash_id"))
+    # Joined and made distinct on the same two columns, so that texts are shuffled once.
+    same = (hashed["__text_hash"] == keep["__hash"]) & (hashed["__id_hash"] == keep["__hash_id"])
+    kept = hashed.join(keep, same, "left_semi")
+    return kept.dropDuplicates(["__text_hash", "__id_hash"]).drop("__text_hash", "__id_hash")
