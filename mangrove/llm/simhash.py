@@ -14,8 +14,10 @@ is joined already are left out. Components of the links give the classes.
 Jaccard similarity of 0.8 or more, counted on the sets (of 64-bit hashes). Fingerprints of such pairs differ in some 10 of 64 bits on average, too many for
 buckets of whole segments, so its buckets are the rare shingles of a text: in one order of all shingles, rare ones first, two such sets of sizes up to n share one
 of their first n // 5 + 1. Within a bucket sizes and the pigeonring chain over the segments at distance NEAR prune pairs, then the sets decide. Of pairs of 0.8 or more
-the chain loses less than four in a million, and none with a set of less than SURE shingles, where it is not used. A bucket's rows are tested
-against its leaders first; the second pass tests all pairs of a bucket that are in different classes then.
+the chain loses less than four in a million, and none with a set of less than SURE shingles, where it is not used. So that a group of many copies
+gives no square of pairs, each row is tested with one leader of its buckets first, then with one partner of another class, the nearest by the parities of the
+shingles' counts in two bins a shingle or more; these bound the similarity from above without loss. The last pass tests all pairs of a bucket that are in different
+classes then and that the parities leave open.
 
 Defined cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the shingle; repeated rows fall together; null ids take their class's id, null if it has no other; an
@@ -25,6 +27,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,6 +106,13 @@ def _shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Texts handled at once by a Python worker.
 SLICE = 256
+MOST_BINS = 1 << 15
+
+
+def _parities(hashes: np.ndarray) -> bytes:
+    """One bit a bin: whether an odd number of `hashes` falls there. Bins are a power of two, 64 and twice the hashes at least, MOST_BINS at most."""
+    n = min(MOST_BINS, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount(hashes & (n - 1), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +132,14 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), fp (fingerprint of the set) and prefix (its first n // 5 + 1 in order of the search)."""
+    """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), fp (fingerprint of the set), bins (parities) and prefix (its first n // 5 + 1 in order of the search)."""
     src = only(docs, doc_id="doc_id", text="text")
     names, counts = frequent_shingles(src, shingle)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                nodes, sizes, fps, prefixes = [], [], [], []
+                nodes, sizes, fps, bins, prefixes = [], [], [], [], []
                 for text in batch.column(2).slice(at, SLICE).to_pylist():
                     node, own = _shingles(text, shingle)
                     often = np.zeros(len(own), np.int64)
@@ -139,13 +149,14 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     nodes.append(node)
                     sizes.append(len(own))
                     fps.append(_majority(own))
+                    bins.append(_parities(own))
                     prefixes.append(own[np.lexsort((own, often))[: len(own) // 5 + 1]])
                 ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-                arrays = [batch.column(0).slice(at, SLICE), batch.column(1).slice(at, SLICE), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "node", "n", "fp", "prefix"])
+                arrays = [batch.column(0).slice(at, SLICE), batch.column(1).slice(at, SLICE), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(bins, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "node", "n", "fp", "bins", "prefix"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(of, f"doc_id {kind}, text_hash long, node long, n int, fp long, prefix array<long>")
+    return src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(of, f"doc_id {kind}, text_hash long, node long, n int, fp long, bins binary, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -179,23 +190,41 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
 
 
 def jaccard_links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """a, b: links that join all `nodes` (node, distinct; first, n, fp, prefix) with a similarity of 0.8 or more, and no others."""
+    """a, b: links that join all `nodes` (node, distinct; first, n, fp, bins, prefix) with a similarity of 0.8 or more, and no others."""
     rows = nodes.select(F.explode("prefix").alias("key"), "n", "node", "fp")
-    tested = materialise(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_buckets(_led), "key long, n int, a long, b long"), "near-buckets")
-    found = near_pairs(tested.where("n is null").select("a", "b").distinct(), docs, nodes, shingle)
-    roots = components(found).withColumnRenamed("node", "linked")
-    left = tested.where("n is not null").select("key", "n", F.col("a").alias("node"), F.col("b").alias("fp"))
-    rooted = left.join(roots, left["node"] == roots["linked"], "left").select("key", "n", "node", "fp", F.coalesce("root", "node").alias("root"))
-    # Of nodes of one root in a bucket all are needed: any of them may be the one near to another root's.
-    across = rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_buckets(_across), "key long, n int, a long, b long")
-    rest = near_pairs(across.select("a", "b").distinct(), docs, nodes, shingle)
+    tested = materialise(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_buckets(_led), PAIRS), "near-buckets")
+    found = near_pairs(_one_each(tested.where("key is null")), docs, nodes, shingle)
+    left = tested.where("key is not null").select("key", "n", F.col("a").alias("node"), F.col("b").alias("fp"))
+    for test in (_nearest, _across):
+        pairs = _between_classes(left, nodes, found).mapInArrow(_buckets(test), PAIRS)
+        pairs = _one_each(pairs) if test is _nearest else pairs.select("a", "b").distinct()
+        found = found.unionAll(near_pairs(pairs, docs, nodes, shingle))
     discard(tested)
-    return found.unionAll(rest)
+    return found
+
 
+#: What a function of buckets gives: pairs a, b with their distance as n and no key, or rows key, n, node as a, fp as b.
+PAIRS = "key long, n int, a long, b long"
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (n, a, b) of each b the one of the least distance n."""
+    return pairs.groupBy("b").agg(F.min(F.struct("n", "a")).alias("best")).select("best.a", "b")
+
+
+def _between_classes(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the bucket rows (key, n, node, fp) those of buckets in which several classes of the links `found` meet, with bins and root, dealt and sorted by key. All nodes
+    of a class are needed: any of them may be the one near to another class."""
+    roots = components(found).withColumnRenamed("node", "linked")
+    rooted = rows.join(roots, rows["node"] == roots["linked"], "left").select("key", "n", "node", "fp", F.coalesce("root", "node").alias("root"))
+    bucket = Window.partitionBy("key")
+    mixed = rooted.withColumns({"least": F.min("root").over(bucket), "most": F.max("root").over(bucket)}).where("least <> most").select("key", "n", "node", "fp", "root")
+    with_bins = mixed.join(nodes.select("node", "bins"), "node").select("key", "n", "node", "fp", "root", "bins")
+    return with_bins.repartition("key").sortWithinPartitions("key", "n", "node")
 
-def _near(sizes: np.ndarray, fps: np.ndarray, at: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether rows `others` may be near copies of rows `at`, whose sizes are no greater: the sizes' ratio, then a chain of segments within its share of NEAR from some start, then the distance."""
-    ok = 5 * sizes[at] >= 4 * sizes[others]
+
+def _near(sizes: np.ndarray, fps: np.ndarray, at: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows `others` may be near copies of rows `at`, whose sizes are no greater: the sizes' ratio, then a chain of segments within its share of NEAR from some start, then the distance, which comes too."""
     differ = fps[at] ^ fps[others]
     segments = [np.bitwise_count(differ & _MASKS[i, 0]).astype(np.int16) for i in range(5)]
     chained = np.zeros(len(differ), bool)
@@ -205,84 +234,133 @@ def _near(sizes: np.ndarray, fps: np.ndarray, at: np.ndarray, others: np.ndarray
             total = total + segments[(start + k) % 5]
             holds &= total <= NEAR * (k + 1) // 5
         chained |= holds
-    return ok & (chained | (sizes[at] < SURE))
-
-
-def _reach(sizes: np.ndarray, i: int) -> np.ndarray:
-    """Rows after row i whose sizes are at most 5 / 4 of its own; sizes ascend."""
-    return np.arange(i + 1, max(i + 1, int(np.searchsorted(sizes, 5 * int(sizes[i]) // 4, "right"))))
+    return (5 * sizes[at] >= 4 * sizes[others]) & (chained | (sizes[at] < SURE)), sum(segments)
+
+
+@dataclass
+class Bucket:
+    """Rows of one key with sizes in ascending order."""
+
+    sizes: np.ndarray
+    fps: np.ndarray
+    roots: np.ndarray | None = None
+    bins: list[bytes] | None = None
+
+    def near(self, i: int) -> np.ndarray:
+        """Rows after row i that may be near copies of it, of another root where rows have one."""
+        rows = np.arange(i + 1, max(i + 1, int(np.searchsorted(self.sizes, 5 * int(self.sizes[i]) // 4, "right"))))
+        if self.roots is not None:
+            rows = rows[self.roots[rows] != self.roots[i]]
+        return rows[_near(self.sizes, self.fps, np.full(len(rows), i), rows)[0]]
+
+    def apart(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one of rows i and `rows` only. The longer one's bins are folded onto the shorter one's."""
+        own = np.frombuffer(self.bins[i], np.uint64)
+        out = np.zeros(len(rows), np.int64)
+        lengths = np.array([len(self.bins[r]) // 8 for r in rows], np.int64)
+        for length in np.unique(lengths):
+            of = np.flatnonzero(lengths == length)
+            theirs = np.frombuffer(b"".join([self.bins[r] for r in rows[of]]), np.uint64).reshape(len(of), length)
+            mine = own
+            while theirs.shape[1] > len(mine):
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] ^ theirs[:, half:]
+            while len(mine) > theirs.shape[1]:
+                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+            out[of] = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+        return out
+
+    def open_pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, rows, how far apart at least) for all pairs that may be near."""
+        for i in range(len(self.sizes) - 1):
+            rows = self.near(i)
+            if len(rows):
+                apart = self.apart(i, rows)
+                # |a & b| / |a | b| >= 4 / 5 where 9 times what only one has <= |a| + |b|.
+                holds = 9 * apart <= self.sizes[i].astype(np.int64) + self.sizes[rows]
+                if holds.any():
+                    yield i, rows[holds], apart[holds]
 
 
-def _led(sizes: np.ndarray, fps: np.ndarray, _roots: None) -> tuple[list[tuple[int, np.ndarray]], bool]:
-    """Pairs (row, rows) of one bucket, each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
-    free, pairs = np.ones(len(sizes), bool), []
-    for i in range(len(sizes) - 1):
+def _led(bucket: Bucket) -> tuple[np.ndarray, bool]:
+    """Pairs (leader, row, distance), each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
+    free, out = np.ones(len(bucket.sizes), bool), []
+    for i in range(len(free) - 1):
         if free[i]:
-            rows = _reach(sizes, i)
+            rows = bucket.near(i)
             rows = rows[free[rows]]
-            rows = rows[_near(sizes, fps, np.full(len(rows), i), rows)]
             if len(rows):
-                pairs.append((i, rows))
+                out.append(np.stack((np.full(len(rows), i), rows, np.bitwise_count(bucket.fps[i] ^ bucket.fps[rows]))))
                 free[rows] = False
-    return pairs, bool(pairs)
+    return np.concatenate(out, 1) if out else _NO_PAIRS, len(free) > 2 and bool(out)
+
 
+def _nearest(bucket: Bucket) -> tuple[np.ndarray, bool]:
+    """Pairs (row, row, distance): each row's partner of another root that is nearest by the bins."""
+    best = np.full((2, len(bucket.sizes)), -1, np.int64)
+    for i, rows, apart in bucket.open_pairs():
+        for one, other, far in [(np.array([i]), rows[[np.argmin(apart)]], apart.min(keepdims=True)), (rows, np.full(len(rows), i), apart)]:
+            better = (best[0, one] < 0) | (far < best[1, one])
+            best[0, one[better]], best[1, one[better]] = other[better], far[better]
+    rows = np.flatnonzero(best[0] >= 0)
+    return np.stack((best[0, rows], rows, best[1, rows])), False
 
-def _across(sizes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], bool]:
-    """Pairs (row, rows) of one bucket that may be near and have different roots."""
-    pairs = []
-    for i in range(len(sizes) - 1):
-        rows = _reach(sizes, i)
-        rows = rows[roots[rows] != roots[i]]
-        rows = rows[_near(sizes, fps, np.full(len(rows), i), rows)]
-        if len(rows):
-            pairs.append((i, rows))
-    return pairs, False
+
+def _across(bucket: Bucket) -> tuple[np.ndarray, bool]:
+    """All pairs (row, row, distance) that may be near and have different roots."""
+    out = [np.stack((np.full(len(rows), i), rows, apart)) for i, rows, apart in bucket.open_pairs()]
+    return np.concatenate(out, 1) if out else _NO_PAIRS, False
+
+
+_NO_PAIRS = np.zeros((3, 0), np.int64)
 
 
 def _buckets(test):
-    """A function of batches sorted by key (columns key, n, node, fp and perhaps root; whole buckets in a task). It gives the pairs that `test` finds in buckets of two rows or more,
-    as a and b with key and n null, and the rows of buckets that `test` leaves open, node and fp as a and b."""
+    """A function of batches sorted by key (columns key, n, node, fp and perhaps root and bins; whole buckets in a task). It gives the pairs that `test` finds in buckets of two rows or more
+    and the rows of buckets that `test` leaves open, as PAIRS says."""
 
-    def work(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, nodes, fps, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+    def work(held: list[list]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, nodes, fps, *rest = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
+        bins = [b for part in held for b in part[5]] if rest else None
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         lengths = np.diff(np.concatenate((heads, [len(keys)])))
-        if rest:
-            mixed = np.minimum.reduceat(rest[0], heads) != np.maximum.reduceat(rest[0], heads)
-            heads, lengths = heads[mixed], lengths[mixed]
         unsigned = fps.view(np.uint64)
-        two = heads[lengths == 2]
-        two = two[_near(sizes, unsigned, two, two + 1)]
-        left, right, open_rows = [nodes[two]], [nodes[two + 1]], []
-        many = lengths > 2
+        found, open_rows = [_NO_PAIRS], []
+        single = lengths == 2 if not rest else np.zeros(len(heads), bool)
+        two = heads[single]
+        ok, far = _near(sizes, unsigned, two, two + 1)
+        found.append(np.stack((two, two + 1, far))[:, ok])
+        many = (lengths > 1) & ~single
         for head, length in zip(heads[many].tolist(), lengths[many].tolist(), strict=True):
             rows = slice(head, head + length)
-            pairs, more = test(sizes[rows], unsigned[rows], rest[0][rows] if rest else None)
-            for i, others in pairs:
-                left.append(np.full(len(others), nodes[head + i]))
-                right.append(nodes[head + others])
+            pairs, more = test(Bucket(sizes[rows], unsigned[rows], *([rest[0][rows], bins[rows]] if rest else [])))
+            found.append(pairs + np.array([[head], [head], [0]]))
             if more:
                 open_rows.append(np.arange(head, head + length))
-        a, b = np.concatenate(left), np.concatenate(right)
-        if len(a):
-            a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        pairs = np.concatenate(found, 1)
+        # A group's pairs recur in bucket after bucket.
+        ends = np.stack((nodes[pairs[0]], nodes[pairs[1]]))
+        order = np.lexsort((pairs[2], ends[0], ends[1]))
+        ends, far = ends[:, order], pairs[2][order]
+        new = np.ones(len(far), bool)
+        new[1:] = (ends[:, 1:] != ends[:, :-1]).any(0)
+        (a, b), far = ends[:, new], far[new]
         at = np.concatenate(open_rows) if open_rows else np.zeros(0, np.int64)
-        none = [None] * len(a)
-        arrays = [pa.concat_arrays([pa.array(none, t), pa.array(x[at], t)]) for t, x in ((pa.int64(), keys), (pa.int32(), sizes))]
-        arrays += [pa.concat_arrays([pa.array(p), pa.array(x[at])]) for p, x in ((a, nodes), (b, fps))]
+        arrays = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(keys[at])])]
+        arrays += [pa.concat_arrays([pa.array(x.astype(kind)), pa.array(y[at].astype(kind))]) for x, y, kind in ((far, sizes, np.int32), (a, nodes, np.int64), (b, fps, np.int64))]
         yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]] + [c.to_pylist() for c in batch.columns[5:]]
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
             if cut or (held and held[-1][0][-1] != columns[0][0]):
-                yield from work([*held, tuple(c[:cut] for c in columns)])
+                yield from work([*held, [c[:cut] for c in columns]])
                 held = []
-            held.append(tuple(c[cut:] for c in columns))
+            held.append([c[cut:] for c in columns])
         if held:
             yield from work(held)
 
@@ -421,7 +499,7 @@ def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of `docs` of each class of near copies: that of the smallest id; of rows that repeat this id and its text, one."""
     marked = materialise(signatures(docs, shingle), "signatures")
-    nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix")), "near-nodes")
+    nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bins").alias("bins"), F.min("prefix").alias("prefix")), "near-nodes")
     discard(marked)
     keep = _classes(nodes.select("node", "first"), jaccard_links(docs, nodes, shingle)).select("least").distinct()
     keep = materialise(keep.select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")), "near-kept")
