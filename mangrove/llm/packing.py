@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import only
 
 END_ID = 0
-#: Texts of more characters than this are split by the plain library, whose pattern engine has no depth limit.
+#: Texts of more characters than this are split by the plain library, whose pattern engine has no depth limit. Both give the same ids.
 LONG_TEXT = 400_000
 
 
@@ -36,24 +36,24 @@ def binary_pieces(length: int, most: int = 1024) -> list[int]:
 
 
 class Ids:
-    """Ids of the vocabulary files: the rank file's encoder, which gives the ids of the tokenizer file several times faster, and the tokenizer itself for very long texts."""
+    """Ids of the vocabulary files, special tokens that a text spells out included, as the tokenizer gives them: the rank file's encoder, which gives the ids of the tokenizer file several times faster, and the tokenizer itself for very long texts."""
 
     def __init__(self, tokenizer_file: str, rank_file: str | None, pattern: str | None) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(tokenizer_file)
-        self.plain.encode_special_tokens = True
+        special = {token.content: number for number, token in self.plain.get_added_tokens_decoder().items()}
         self.fast = None
         if rank_file and pattern:
             import tiktoken
 
             with open(rank_file, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and len(text) <= LONG_TEXT:
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+            return np.array(self.fast.encode(text, allowed_special="all", disallowed_special=()), dtype="<u4")
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
