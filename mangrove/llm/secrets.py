@@ -4,8 +4,8 @@ Candidates are runs of 20 or more characters of an alphabet in which keys are wr
 base32, base62, base64) the battery tests how far the token is from random: chi-squared uniformity of its alphabet, the number
 of runs above and below the alphabet's middle, and serial correlation. Each test is one of equivalence: its null hypothesis says
 that the token is structured by at least a stated effect per character, so short tokens can't reach a small p-value.
-Fisher's method combines the three p-values. Benjamini-Hochberg over all candidates of the corpus, within each class
-of length, picks those that are random at false-discovery rate `rate`.
+A token is random only if it fails to be structured in all three respects, so the largest of the three p-values is the token's (intersection-union). Benjamini-Hochberg over all candidates of the corpus, within each class
+of length, picks those that are random at false-discovery rate `rate`. Candidates that overlap a span of a fixed pattern are found already and take no part, so the rate is that of the spans the battery adds.
 
 The corpus gives the false-discovery step one count per (length class, p-value bin), at most 8 x 401 rows.
 
@@ -45,8 +45,10 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 _RANKS = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
-#: Structure that a token has at least under the null hypothesis: chi-squared divergence per character, excess or lack of runs in standard deviations per root character, serial correlation.
-DIVERGENCE, RUNS, SERIAL = 2.0, 0.5, 0.5
+#: Structure that a token has at least under the null hypothesis: chi-squared divergence per character (words in small and capital letters have more; those in capitals alone are
+#: compared with base32), excess or lack of runs as a share of the greatest there can be, serial correlation.
+DIVERGENCE = {"hex": 2.0, "base32": 1.0, "base62": 2.0, "base64": 2.0}
+RUNS = SERIAL = 0.8
 #: Lower ends of the length classes.
 CLASSES = (20, 24, 32, 40, 48, 64, 96, 128)
 #: p-values are binned by a twentieth of a decade; the last bin is 1e-20 and less.
@@ -58,8 +60,11 @@ def _below(z: float) -> float:
 
 
 def infer_encoding(token: str) -> str | None:
+    """The narrowest encoding whose alphabet holds the token; None for plain numbers and for what no alphabet holds."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     chars = set(body)
+    if chars <= set("0123456789"):
+        return None
     if chars <= set(ENCODINGS["hex"]) or chars <= set("0123456789ABCDEF"):
         return "hex"
     return next((name for name, ranks in _RANKS.items() if chars <= ranks.keys()), None)
@@ -77,7 +82,7 @@ def battery(token: str) -> tuple[str | None, float]:
     if n < 20:
         return encoding, 1.0
     chi = k / n * sum(c * c for c in Counter(values).values()) - n
-    shift = DIVERGENCE * n
+    shift = DIVERGENCE[encoding] * n
     p_uniform = _below((chi - (k - 1 + shift)) / math.sqrt(2 * (k - 1 + 2 * shift)))
     # Alphabets place letters by class, so a word of one case stays on one side of the middle.
     side = [2 * v >= k for v in values]
@@ -93,8 +98,7 @@ def battery(token: str) -> tuple[str | None, float]:
     spread = sum((v - m) ** 2 for v in values)
     r = sum((a - m) * (b - m) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0
     p_serial = _below((abs(r) - SERIAL) * math.sqrt(n))
-    x = -sum(math.log(max(p, 1e-100)) for p in (p_uniform, p_runs, p_serial))
-    return encoding, math.exp(-x) * (1 + x + x * x / 2)
+    return encoding, max(p_uniform, p_runs, p_serial)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -109,10 +113,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def candidates(text: str) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, length class, p-value bin) of tokens that the battery can read."""
-    out = []
+def candidates(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, encoding, length class, p-value bin) of tokens that the battery can read and that overlap none of the spans `known`, which are in order."""
+    out, at, reach = [], 0, 0
     for m in _RUN.finditer(text):
+        while at < len(known) and known[at][0] < m.end():
+            reach, at = max(reach, known[at][1]), at + 1
+        if m.start() < reach:
+            continue
         encoding, p = battery(m[0])
         if encoding:
             out.append((m.start(), m.end(), encoding, bisect_right(CLASSES, m.end() - m.start()) - 1, min(BINS, int(-PER_DECADE * math.log10(max(p, 1e-300))))))
@@ -141,7 +149,7 @@ SPAN = "struct<start:int,stop:int,kind:string>"
 CANDIDATE = "struct<start:int,stop:int,encoding:string,cls:int,bin:int>"
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.001) -> DataFrame:
+def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """doc_id, base (array of start, stop, kind) and spans: base ones and those of the battery that overlap none of them."""
     return _decide(docs, rate, ["doc_id"]).select("doc_id", "__found.base", "__found.spans")
 
@@ -151,15 +159,16 @@ def _decide(docs: DataFrame, rate: float, carry: list[str]) -> DataFrame:
 
     @F.pandas_udf(f"struct<base:array<{SPAN}>,tokens:array<{CANDIDATE}>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = [t or "" for t in texts]
-        return pd.DataFrame({"base": [[dict(zip(("start", "stop", "kind"), x, strict=True)) for x in base_spans(t)] for t in rows], "tokens": [[dict(zip(("start", "stop", "encoding", "cls", "bin"), x, strict=True)) for x in candidates(t)] for t in rows]})
+        rows = [(t or "", base_spans(t or "")) for t in texts]
+        named = lambda names, found: [dict(zip(names, x, strict=True)) for x in found]
+        return pd.DataFrame({"base": [named(("start", "stop", "kind"), b) for _, b in rows], "tokens": [named(("start", "stop", "encoding", "cls", "bin"), candidates(t, b)) for t, b in rows]})
 
     scanned = materialise(docs.select(*[docs[c] for c in carry], scan(docs["text"]).alias("__scan")), "secrets")
     counts = scanned.select(F.explode("__scan.tokens").alias("t")).groupBy("t.cls", "t.bin").agg(F.count("*").alias("n")).collect()
     least = thresholds([(r["cls"], r["bin"], r["n"]) for r in counts], rate)
     limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.expr("cast(map() as map<int,int>)")
     base = F.col("__scan.base")
-    random = F.filter("__scan.tokens", lambda t: (t["bin"] >= F.try_element_at(limit, t["cls"])) & ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    random = F.filter("__scan.tokens", lambda t: t["bin"] >= F.try_element_at(limit, t["cls"]))
     spans = F.array_sort(F.concat(base, F.transform(random, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("random").alias("kind")))), _by_start)
     return scanned.select(*carry, F.struct(base.alias("base"), spans.alias("spans")).alias("__found"))
 
@@ -174,7 +183,7 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", rate: float = 0.001) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
     """`docs` with every span of its texts replaced by `mask`; rows without one stay as they are. n_chars, if there, follows the text."""
     found = _decide(docs, rate, docs.columns)
 
