@@ -110,10 +110,23 @@ def test_label_model_finds_accuracies_and_discounts_copies():
     y = rng.random(6000) < 0.2
     fires = np.stack([rng.random(6000) < np.where(y, 0.7, 0.02) for _ in range(4)], axis=1)
     fires = np.hstack([fires, fires[:, :1]])
-    model = toxicity.fit_label_model(fires, np.where(fires.sum(1) >= 2, 0.9, 0.05))
-    assert np.abs(model.rates[1] - 0.7).max() < 0.1 and np.abs(model.rates[0] - 0.02).max() < 0.02
-    assert model.weights[0] < 0.65 and model.weights[1] > 0.8
-    assert ((model.posterior(fires) > 0.5) == y).mean() > 0.95
+    model = toxicity.fit_label_model(fires, 0.01)
+    assert np.abs(model.rates[1] - 0.7).max() < 0.15 and np.abs(model.rates[0] - 0.02).max() < 0.02
+    assert model.correlations[0, 4] > 0.9 and model.correlations[1:4, 1:4].max() < 0.2
+    both, apart = np.zeros((1, 5), bool), np.zeros((1, 5), bool)
+    both[0, [0, 4]], apart[0, [0, 1]] = True, True
+    assert model.posterior(both)[0] < model.posterior(apart)[0]
+    assert ((model.posterior(fires) > 0.5) == y).mean() > 0.92
+
+
+def test_label_model_keeps_a_lone_voter():
+    """The one voter of a rare language, which no other confirms, keeps about the standing it starts with."""
+    rng = np.random.default_rng(6)
+    y = rng.random(8000) < 0.1
+    rare = rng.random(8000) < 0.15
+    fires = np.stack([(rng.random(8000) < np.where(y, 0.6, 0.002)) & ~rare for _ in range(5)] + [(rng.random(8000) < np.where(y, 0.9, 0.004)) & rare], axis=1)
+    posterior = toxicity.fit_label_model(fires, 0.01).posterior(fires)
+    assert posterior[fires[:, 5]].mean() > 0.5 and posterior[~fires.any(1)].max() < 0.1
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -126,7 +139,27 @@ def test_toxicity_on_held_out_rows(spark):
     clean = [p for _, p, t in held if not t]
     assert sum(clean) <= 0.02 * len(clean)
     found = [p for _, p, t in held if t]
-    assert sum(found) >= 0.4 * len(found)  # the other languages' labels show in no text
+    assert sum(found) >= 0.6 * len(found)  # some 40 training texts of label 1 in four languages
+
+
+def test_toxicity_on_held_out_rows_of_the_larger_table(spark):
+    """And the label model, which sees no label, is no worse than the labels themselves as targets."""
+    from mangrove.llm.common import load
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = load(spark, sf, "documents"), queries.training_labels(spark, sf)
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    texts = {d["doc_id"]: d["text"] for d in documents(sf) if d["doc_id"] in toxic}
+    results = []
+    for supervised in (False, True):
+        scores = toxicity.fit(docs, labels, supervised=supervised).scores(pd.Series(list(texts.values())))
+        rows = [(s, toxic[k]) for k, s in zip(texts, scores, strict=True)]
+        ones, zeros = [s for s, t in rows if t], [s for s, t in rows if not t]
+        auc = np.mean([(a > b) + (a == b) / 2 for a in ones for b in zeros])
+        results.append((sum(s >= 0.3 for s in ones) / len(ones), sum(s >= 0.3 for s in zeros) / len(zeros), auc))
+    print(results)
+    (found, flagged, auc), plain = results
+    assert found >= 0.85 and flagged <= 0.02 and auc >= plain[2] - 0.01 and found >= plain[0] - 0.02
 
 
 def test_toxicity_lexicon_takes_stems_of_rare_languages(spark):
@@ -138,13 +171,26 @@ def test_toxicity_lexicon_takes_stems_of_rare_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") >= 1000).cast("int").alias("toxic"))
     model = toxicity.fit(docs, labels)
-    assert "schl*" in model.lexicon and any(e.startswith("idio") for e in model.lexicon) and len(model.lexicon) <= 6
+    entries = [e for e, _ in model.voters]
+    assert "schl*" in entries and any(e.startswith("idio") for e in entries) and len(entries) <= 6
     scores = model.scores(pd.Series(["schlimmzzkeit", "nothing at all", "an idiot", "", None]))
     assert (scores >= toxicity.THRESHOLD).tolist() == [True, False, True, False, False]
 
 
 def test_toxicity_entries_do_not_nest():
-    assert toxicity.unnested(["abcd*", "abcde", "abcdef*", "ab", "xyz", "xyzab*", "q"]) == ["abcd*", "xyz", "q"]
+    named = lambda *names: [(n, 0) for n in names]
+    assert toxicity.unnested(named("abcd*", "abcde", "abcdef*", "ab", "xyz", "xyzab*", "q")) == named("abcd*", "xyz", "q")
+
+
+def test_toxicity_votes_are_those_of_all_entries():
+    text = "Idiot idiots, IDIOTIC!! and a naïve idio; stttttop " + "filler " * 30
+    every, words = toxicity.all_entries(text)
+    listed = [(e, r) for e in every for r in toxicity.RATES]
+    assert toxicity.Voters(listed).votes(text)[0].tolist() == [toxicity.fires(every[e], r, words) for e, r in listed]
+    assert every["idio*"] == 4 and every["/bang/"] == 1 and every["/stretched/"] == 1 and every["/shout/"] == 1
+
+
+def test_toxicity_voters_are_useful():
     assert toxicity.useful(np.array([[1, 1, 0]] * 3 + [[0, 0, 1]] * 2, bool), 2, 9, cover=1) == [0, 2]
 
 
@@ -207,11 +253,70 @@ def test_water_filling():
 
 
 def test_splitting_tree_is_exact():
-    quotas = [1000, 37, 0, 250_000]
-    dealt = mixing.split_quotas(quotas, 7, 1)
-    assert [sum(c) for c in zip(*dealt, strict=True)] == quotas and all(q >= 0 for d in dealt for q in d)
-    totals = [sum(d) for d in dealt]
-    assert max(totals) - min(totals) <= 7
+    pools = [1000, 37, 0, 250_000, 12, 10**13, 5]
+    for quota in (0, 1, 1000, 10**12, sum(pools)):
+        dealt = mixing.split_quota(quota, pools, random.Random(quota))
+        assert sum(dealt) == quota and all(0 <= q <= p for q, p in zip(dealt, pools, strict=True))
+    got = mixing.split_quota(10**12, pools, random.Random(5))
+    assert got == mixing.split_quota(10**12, pools, random.Random(5))
+
+
+@pytest.mark.parametrize(("good", "bad", "draws"), [(40, 60, 50), (70, 60, 33), (300, 5000, 900), (3000, 100, 1500), (5, 4000, 2000)])
+def test_hypergeometric_draws_follow_the_law(good, bad, draws):
+    """Chi-squared against exact probabilities from binomial coefficients, a fixed seed."""
+    from math import comb
+
+    rng, n = random.Random(3), 20_000
+    seen = Counter(mixing.hypergeometric(rng, good, bad, draws) for _ in range(n))
+    want = {k: n * (comb(good, k) * comb(bad, draws - k)) / comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    kept = [k for k, e in want.items() if e >= 10]
+    chi = sum((seen[k] - want[k]) ** 2 / want[k] for k in kept)
+    assert set(seen) <= set(want) and chi < len(kept) + 5 * (2 * len(kept)) ** 0.5
+
+
+def test_hypergeometric_draws_of_huge_numbers():
+    rng = random.Random(9)
+    good, bad, draws = 4 * 10**14, 6 * 10**14, 10**14
+    z = [(mixing.hypergeometric(rng, good, bad, draws) - draws * 0.4) / (draws * 0.4 * 0.6 * 0.9) ** 0.5 for _ in range(4000)]
+    assert abs(np.mean(z)) < 0.06 and abs(np.var(z) - 1) < 0.1 and abs(np.mean(np.abs(z) < 1) - 0.6827) < 0.03
+
+
+def test_the_splitting_tree_decides_what_is_taken(spark, monkeypatch):
+    """With every quota dealt to the first pools that hold it, the totals stay and the documents change."""
+    from mangrove.llm.common import load
+
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    total = lambda rows: {s: sum(r["taken"] for r in rows if r["source"] == s) for s in {r["source"] for r in rows}}
+    real = mixing.taken_words(docs).collect()
+
+    def greedy(pools, shards, seed):
+        rows = defaultdict(dict)
+        for r in pools.collect():
+            rows[r["source"], r["rest"]][r["shard"]] = r["pool"]
+        out = []
+        for (source, rest), mine in rows.items():
+            for shard, pool in sorted(mine.items()):
+                out.append((source, shard, min(rest, pool)))
+                rest -= min(rest, pool)
+        return spark.createDataFrame(out, "source string, shard int, quota long")
+
+    monkeypatch.setattr(mixing, "quotas", greedy)
+    other = mixing.taken_words(docs).collect()
+    assert total(real) == total(other)
+    differ = {r["doc_id"]: r["taken"] for r in real}
+    assert sum(differ[r["doc_id"]] != r["taken"] for r in other) > 100
+
+
+def test_repeated_rows_share_out_what_is_emitted(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, words, "a")] * 60 + [(i, words + f" {i}", "b") for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken, got = Counter(), Counter()
+    for r in mixing.taken_words(docs, block=7, shards=3).collect():
+        taken[r["source"]] += r["taken"]
+    for r in mixing.emit(docs, block=7, shards=3).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert taken == got and abs(got["a"] - sum(len(t.split()) for _, t, _ in rows) / 3) <= 1
 
 
 def test_mixing(spark, odd, none):
@@ -255,12 +360,10 @@ def test_mixing_emits_what_is_taken(spark, odd):
     words = Counter()
     for r in got.collect():
         words[r["source"]] += len(WORD.findall(r["text"]))
-    assert all(abs(words[s] - n) <= 3 for s, n in taken.items())
+    assert all(words[s] == n for s, n in taken.items())
     documents_, draws = mixing.mix(odd, block=3, shards=4, bucket_blocks=5)
-    rows = draws.collect()
-    assert all(r["shard"] is not None and 0 <= r["shard"] < 4 for r in rows)
-    sizes = Counter(r["shard"] for r in rows)
-    assert max(sizes.values()) - min(sizes.values()) <= 4
+    own = {(r["row_key"], r["shard"]) for r in documents_.collect()}
+    assert all((r["row_key"], r["shard"]) in own and 0 < r["taken"] <= r["words"] for r in draws.collect())
 
 
 # 6 -------------------------------------------------------------------------------------------------
@@ -302,10 +405,10 @@ def test_battery_tells_keys_from_words():
     rng = random.Random(11)
     alphabet = secrets.ENCODINGS["base62"]
     key = lambda n, a=alphabet: "".join(rng.choices(a, k=n))
-    random_bins = [secrets.candidates(f"x {key(48)} y")[0][4] for _ in range(300)]
+    random_bins = [secrets.candidates(f"x {key(48)} y", [])[0][4] for _ in range(300)]
     words = "internationalisationOfConfigurationParametersForTheApplicationServer".split() + ["a" * 60, "abcdefghijklmnopqrstuvwxyz" * 2, "-" * 40, "2024-01-01-2024-02-02-2024-03-03", "src/main/java/org/example/service/impl"]
-    assert all(secrets.battery(w)[1] > 1e-4 for w in words)
-    assert sum(b >= 80 for b in random_bins) > 270
+    assert all(secrets.battery(w)[1] > 1e-2 for w in words)
+    assert sum(b >= 60 for b in random_bins) > 270
     assert secrets.battery("a" * 25)[1] == 1.0
 
 
@@ -327,6 +430,33 @@ def test_false_discovery_step():
     assert secrets.thresholds([(0, 0, 10**6), (0, 60, 1)], 0.01) == {} and secrets.thresholds([], 0.01) == {}
 
 
+def test_tokens_inside_known_spans_take_no_part():
+    text = "password=" + "aB3" * 9 + " " + "0123456789abcdef" * 2 + " free " + "Zx9Qw" * 6
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b, *_ in secrets.candidates(text, base)] == ["Zx9Qw" * 6] and len(secrets.candidates(text, [])) == 3
+
+
+@pytest.mark.parametrize(("length", "least"), [(32, 0.4), (40, 0.85), (64, 0.95)])
+def test_planted_keys_are_found_and_words_are_not(spark, length, least):
+    """Random keys (base32 where they are long enough to tell) among prose, paths, identifiers and repeated runs: recall by length, and false discoveries at most 2 in 100 of what is reported (the rate is 1 in 100)."""
+    rng, rows, planted = random.Random(length), [], {}
+    words = ["".join(rng.choices("etaoinshrdlucmfwyp", k=rng.randint(2, 11))) for _ in range(2000)]
+    for i in range(3000):
+        parts = [*rng.choices(words, k=20), "/".join(rng.choices(words, k=6)), "_".join(rng.choices(words, k=5)), "".join(w.title() for w in rng.choices(words, k=5)), rng.choice("=-_a") * rng.randint(20, 70)]
+        rng.shuffle(parts)
+        text = " ".join(parts)
+        if i % 4 == 0:
+            alphabet = secrets.ENCODINGS[["base62", "base64", "base32" if length >= 64 else "base62"][i // 4 % 3]]
+            key = "".join(rng.choices(alphabet, k=length))
+            planted[i] = (len(text) + 1, len(text) + 1 + length)
+            text += f" {key} end"
+        rows.append((i, text))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = [(r["doc_id"], s["start"], s["stop"]) for r in found.collect() for s in r["spans"] if s["kind"] == "random"]
+    hits = sum(planted.get(i) == (a, b) for i, a, b in spans)
+    assert hits >= least * len(planted) and len(spans) - hits <= 0.02 * len(spans)
+
+
 # 7 -------------------------------------------------------------------------------------------------
 
 
@@ -340,7 +470,6 @@ def check_packed(rows, texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -364,6 +493,20 @@ def test_packing(spark, sf, odd, none):
     assert all(query[r["doc_id"], r["start"]] == zlib.crc32(r["ids"]) for r in queries.pack(load(spark, sf, "documents")).limit(50).collect())
 
 
+def test_ids_of_special_tokens_and_very_long_texts(spark):
+    """On both sides of the length beyond which the other encoder is used, and where a text spells a special token out."""
+    rng = random.Random(8)
+    words = ["the", "naïve", "\U0001f600", "x" * 40, "12345", "\n\n", "  ", "don't", "日本語", "<|endoftext|>", "<|endoftext"]
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>", " ".join(rng.choices(words, k=300))]
+    for length in (packing.LONG_TEXT - 1, packing.LONG_TEXT, packing.LONG_TEXT + 1, packing.LONG_TEXT + 50_000):
+        texts.append("".join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(length // 4))[:length])
+    assert max(map(len, texts)) > packing.LONG_TEXT
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = queries.pack(docs).collect()
+    check_packed(rows, list(enumerate(texts)))
+    assert struct.unpack("<2I", b"".join(r["ids"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 0)) == (50256, 0)
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
@@ -379,13 +522,62 @@ def test_sharding(spark, odd, none):
     assert len(rows) == len(texts) and set(load) == set(range(40))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(load.values()) / 40
-    assert max(abs(v - mean) for v in load.values()) < 0.06 * mean
+    assert max(abs(v - mean) for v in load.values()) <= 2 * max(r["size"] for r in rows)
+    for shard in range(40):  # the shards before end as near to their share as one row lets them
+        assert abs(sum(load[s] for s in range(shard + 1)) - (shard + 1) * mean) <= max(r["size"] for r in rows)
     got = sharding.shard(odd, 3).collect()
     assert len(got) == len(ROWS) and {r["shard"] for r in got} <= {0, 1, 2}
     assert sharding.shard(none, 5).count() == 0
-    same = spark.createDataFrame([(1, "same", "en", "a", 4)] * 500, "doc_id long, text string, lang string, source string, n_chars long")
-    got = sharding.shard(same, 4).collect()
-    assert len(got) == 500 and sorted(r["slot"] for r in got if r["shard"] == got[0]["shard"]) == list(range(sum(r["shard"] == got[0]["shard"] for r in got)))
+    assert sharding.shard(odd, 3, dims=("text", "doc_id")).count() == len(ROWS)
+
+
+def brute_leaves(tree, rows):
+    """Each row's leaf, walked node by node over whole values."""
+    out = []
+    for row in rows:
+        at = 0
+        while tree.dim[at] >= 0:
+            value, cut = row[tree.dim[at]], tree.cut[at]
+            goes_left = value is None or (cut >= 0 and value <= tree.cuts[tree.dim[at]][cut])
+            at = tree.left[at] if goes_left else tree.right[at]
+        out.append(tree.left[at])
+    return out
+
+
+def test_tree_is_a_kd_tree():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "en", "de"]), f"https://crawl.example.org/{rng.randint(0, 30):05}", rng.choice([None, -5, 3.5, rng.random() * 1e6])) for _ in range(3000)]
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    tree = sharding.grow(columns, np.ones(len(rows)), 40.0)
+    got = tree.leaf_of([pa.array(columns[0]), pa.array(columns[1]), pa.array([None if v is None else float(v) for v in columns[2]])]).tolist()
+    assert got == brute_leaves(tree, rows) and set(got) == set(range(tree.leaves))
+    members = defaultdict(list)
+    for leaf, row in zip(got, rows, strict=True):
+        members[leaf].append(row)
+    assert all(len(m) <= 40 or len(set(m)) == 1 for m in members.values())
+    assert len(members) > 60 and len({len({r[d] for m in members.values() for r in m}) for d in (0, 1)}) == 2
+
+
+@pytest.mark.parametrize("rows", [[(1, "same", "en", "a", 4)] * 500, [(None, "same", "en", "a", 4)] * 300 + [(i, "x" * (i % 9), "en", "a", i % 9) for i in range(300)]])
+def test_equal_rows_are_spread_evenly(spark, rows):
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), 4).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and set(load) == set(range(4)) and max(load.values()) - min(load.values()) <= 2 * 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sources_with_a_common_head_are_told_apart(spark):
+    rows = [(i, "x" * 50, "en", f"https://example.org/crawl-{i % 8}", 50) for i in range(800)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 8).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["doc_id"] % 8].add(r["shard"])
+    assert all(len(h) == 1 for h in homes.values()) and len(set().union(*homes.values())) == 8
 
 
 # 9 -------------------------------------------------------------------------------------------------
@@ -502,6 +694,22 @@ def test_deduplicate_is_exact_on_the_shingle_sets(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [d["doc_id"] for i, d in enumerate(docs) if classes[i] == i]
 
 
+def test_deduplicate_joins_large_groups_of_many_edits(spark):
+    """One text edited anew in each copy, so that few copies are near a common one; and texts that share a passage and no more."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(4000)]
+    base, passage, texts = rng.choices(vocabulary, k=200), rng.choices(vocabulary, k=40), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 5)):
+            words[at] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+        texts.append(" ".join(rng.choices(vocabulary, k=i % 60) + passage))
+    classes = near_classes(texts)
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes)) and 50 < len(set(classes)) < 250
+
+
 def test_deduplicate_catches_copies_with_a_block_added_or_dropped(spark):
     docs = [d["text"].split() for d in documents("/root/testdata/sf0.01") if 60 <= len(d["text"].split()) <= 600][:300]
     rows = []
