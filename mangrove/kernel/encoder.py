@@ -528,7 +528,7 @@ class Encoder:
         self.attributes(node)
 
     def function_specialization(self, node: Tree) -> None:
-        fixed = ("functionSignatureSpecializationParamKind", "functionSignatureSpecializationParamPayload")
+        fixed = _PARAM_CHANGES
         params = [k for k in node.kids if k.kind.startswith("functionSignatureSpecialization")]
         for p in params:
             for k in p.kids:
@@ -712,6 +712,9 @@ class Encoder:
         self.w(f"{op}{plain}_")
 
 
+_PARAM_CHANGES = ("functionSignatureSpecializationParamKind", "functionSignatureSpecializationParamPayload")
+
+
 def _order(*steps) -> Callable[[Encoder, Tree], None]:
     """Emission by steps: a child position (skipped where there is none), ("list", i), ("pure", i), ("index", i) or literal text."""
 
@@ -768,6 +771,11 @@ _SPECIAL: dict[str, Callable[[Encoder, Tree], None]] = {
     "constrainedExistential": lambda e, n: (e.node(e.kid(n, 0)), e.listed(e.kid(n, 1).kids), e.w("XP"))[0], "differentiableFunctionType": lambda e, n: e.w("Yj" + chr(n.index or 0)),
     "integer": lambda e, n: (e.w("$"), e.index(n.index))[0], "negativeInteger": lambda e, n: (e.w("$n"), e.index(n.index))[0],
     "extendedExistentialTypeShape": lambda e, n: (e.kids(n), e.w("XG" if len(n.kids) > 1 else "Xg"))[0], "associatedTypeRef": _order(0, 1, "Qa"), "typeMangling": _order(0, "D"),
+    # Parts that the nodes around them write themselves, encoded on their own.
+    "indexSubset": lambda e, n: e.w(n.text or ""), "directness": lambda e, n: e.w("di"[n.index or 0]), "packElementLevel": lambda e, n: e.index(n.index), "declContext": lambda e, n: e.node(e.kid(n, 0)),
+    "clangType": lambda e, n: e.w(f"{len(n.text or '')}{n.text or ''}"), "globalVariableOnceDeclList": lambda e, n: [(e.node(k), e.w("_")) for k in n.kids],
+    "constrainedExistentialRequirementList": lambda e, n: (e.kid(n, 0), e.listed(n.kids)), "symbolicExtendedExistentialType": lambda e, n: (e.node(e.kid(n, 0)), [e.kids(k) for k in n.kids[1:]]),
+    "functionSignatureSpecializationParam": lambda e, n: e.changed(n, _PARAM_CHANGES), "functionSignatureSpecializationReturn": lambda e, n: e.changed(n, _PARAM_CHANGES),
 } | {k: Encoder.key_path for k in ("keyPathGetterThunkHelper", "keyPathSetterThunkHelper", "keyPathAppliedMethodThunkHelper", "keyPathUnappliedMethodThunkHelper", "keyPathEqualsThunkHelper", "keyPathHashThunkHelper")}
 
 

@@ -1,7 +1,7 @@
 """The mangling grammar as data.
 
 A regular operator pops operands, last pushed first, and makes one node whose children stand in the order in which they were
-pushed. Operand letters: t type, c the child of a type, e entity, p protocol, f protocol conformance, n declaration name, a anything,
+pushed. Operand letters: t type, c the child of a type, g the child of a type that must be a nominal, e entity, p protocol, f protocol conformance, n declaration name, a anything,
 x context, m module, i identifier, P associated type path, N associated type name, l protocol list, k index name read after the operator.
 A capital W in front wraps the node in `type`.
 """
@@ -16,7 +16,7 @@ Yc globalActorFunctionType c | Yi W.isolated c | Yk W.noDerivative c | YK typedT
 Yu W.sending c | Yg W.constValue c
 BV W.builtinFixedArray tt | BW W.builtinBorrow t
 Ma typeMetadataAccessFunction t | MA reflectionMetadataAssocTypeDescriptor f | Mb canonicalSpecializedGenericTypeMetadataAccessFunction t
-MB reflectionMetadataBuiltinDescriptor t | Mc protocolConformanceDescriptor f | MD typeMetadataDemanglingCache t | Md typeMetadataDemanglingCache t
+MB reflectionMetadataBuiltinDescriptor t | MC reflectionMetadataSuperclassDescriptor g | Mc protocolConformanceDescriptor f | MD typeMetadataDemanglingCache t | Md typeMetadataDemanglingCache t
 MR typeMetadataMangledNameRef t | Mf fullTypeMetadata t | MF reflectionMetadataFieldDescriptor t | Mg opaqueTypeDescriptorAccessor a
 Mh opaqueTypeDescriptorAccessorImpl a | Mi typeMetadataInstantiationFunction t | MI typeMetadataInstantiationCache t
 Mj opaqueTypeDescriptorAccessorKey a | MJ noncanonicalSpecializedGenericTypeMetadataCache a | Mk opaqueTypeDescriptorAccessorVar a

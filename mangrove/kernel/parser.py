@@ -215,6 +215,10 @@ class Parser:
                 return self.type()
             case "c":
                 return self.type_child()
+            case "g":
+                of = self.type_child()
+                self.need(of.kind in G.ANY_GENERICS)
+                return of
             case "e":
                 return self.need(self.pop_in(G.ENTITY_KINDS))
             case "p":

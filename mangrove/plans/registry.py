@@ -18,6 +18,7 @@ from ..operators import nodes as N
 from ..sources import symbols as sources
 from ..sources.shared import scratch
 from ..streaming import symbols as streams
+from . import dispatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -543,11 +544,11 @@ def node_kinds(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | dispatch.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | dispatch.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
