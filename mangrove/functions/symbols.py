@@ -85,9 +85,11 @@ def strip_prefix(symbol: Column) -> Column:
 
 
 def param_name(depth: Column, index: Column) -> Column:
-    """The name of a generic parameter with index below 676."""
-    letters = F.when(index < 26, F.char(65 + index)).otherwise(F.concat(F.char(65 + index % 26), F.char(65 + F.floor(index / 26))))
-    return F.concat(letters, F.when(depth == 0, "").otherwise(depth.cast("string")))
+    """The name of a generic parameter: base-26 letters of the index, lowest first, then a depth that is not 0."""
+    number = index.cast("decimal(20,0)")
+    letter = lambda k: F.char((F.lit(65) + F.floor(number / F.lit(26**k).cast("decimal(20,0)")) % 26).cast("long"))
+    letters = [letter(0), *(F.when(number >= 26**k, letter(k)).otherwise("") for k in range(1, 14))]
+    return F.concat(*letters, F.when(depth == 0, "").otherwise(depth.cast("string")))
 
 
 def hexadecimal(value: Column) -> Column:
@@ -187,6 +189,29 @@ def print_symbol(symbol: Column, options: str | int = "default") -> Column:
     return _text(lambda v: printer.text_of(parse(v), flags))(symbol)
 
 
+def texts_of(symbol: Column, *kinds: str) -> Column:
+    """The text of the first node of each kind, in order of `kinds`; null for a symbol that can't be parsed. One pass that makes no tree column: for bulk access to a few fields."""
+
+    @F.arrow_udf("array<string>")
+    def run(values: pa.Array) -> pa.Array:
+        def one(v: str) -> list[str | None] | None:
+            try:
+                root = parse(v)
+            except (SymbolError, RecursionError):
+                return None
+            found: dict[str, str | None] = {}
+            for node in root.instances():
+                if node.kind in kinds and node.kind not in found:
+                    found[node.kind] = node.text
+                    if len(found) == len(kinds):
+                        break
+            return [found.get(k) for k in kinds]
+
+        return _each(values, one, pa.list_(pa.string()))
+
+    return run.asNondeterministic()(symbol)
+
+
 def _of_tree(kind: pa.DataType, ddl: str, one: Callable[[Tree], object]):
     @F.arrow_udf(ddl)
     def run(values: pa.Array) -> pa.Array:

@@ -1,13 +1,18 @@
-"""Relational operators over symbol and node tables. No Python runs here beyond the one parse."""
+"""Relational operators over symbol and node tables. No Python runs here beyond the one parse; what stays inside a symbol is read from its tree column, without a join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import symbols as S
 from ..kernel import grammar as G
+from ..kernel.parser import SymbolError, demangle
 from ..kernel.tree import display
 from ..kernel.wording import classes
 from ..sources.shared import scratch
@@ -46,11 +51,11 @@ def depth_histogram(node_rows: DataFrame) -> DataFrame:
     return node_rows.groupBy("depth").agg(F.count("*").alias("n"))
 
 
-def edge_histogram(node_rows: DataFrame) -> DataFrame:
-    """parent_kind, kind, n: how often a kind stands below another; the parent is found by (symbol, position)."""
-    above = node_rows.select(F.col("symbol").alias("s"), F.col("pre").alias("p"), F.col("kind").alias("parent_kind"))
-    joined = node_rows.join(above, (node_rows["symbol"] == above["s"]) & (node_rows["parent"] == above["p"]))
-    return joined.groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
+def edge_histogram(demangled: DataFrame) -> DataFrame:
+    """parent_kind, kind, n: how often a kind stands below another."""
+    below = F.filter("tree", lambda n: n["parent"] >= 0)
+    edges = F.transform(below, lambda n: F.struct(F.get("tree", n["parent"])["kind"].alias("parent_kind"), n["kind"].alias("kind")))
+    return demangled.where("ok").select(F.inline(edges)).groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
 
 
 def traverse(demangled: DataFrame, order: str) -> DataFrame:
@@ -59,29 +64,77 @@ def traverse(demangled: DataFrame, order: str) -> DataFrame:
     return ordered.select("symbol", "step", "n.kind", "n.text", "n.idx")
 
 
-def descendants(node_rows: DataFrame, ancestors: Column) -> DataFrame:
-    """(symbol, pre of an ancestor, node): an interval join, equal on the symbol."""
-    up = node_rows.where(ancestors).select(F.col("symbol").alias("s"), F.col("pre").alias("a_pre"), F.col("size").alias("a_size"), F.col("kind").alias("a_kind"))
-    inside = (F.col("pre") > F.col("a_pre")) & (F.col("pre") < F.col("a_pre") + F.col("a_size"))
-    return node_rows.join(up, (node_rows["symbol"] == up["s"]) & inside).drop("s")
+def descendants(demangled: DataFrame, *kinds: str) -> DataFrame:
+    """symbol, a_pre and a_kind (an ancestor of one of `kinds`) and the columns of each node below it: a slice of the tree, which is numbered in preorder."""
+    inside = lambda a: F.slice("tree", a["pre"] + 2, a["size"] - 1)
+    pairs = F.transform(F.filter("tree", lambda n: n["kind"].isin(*kinds)), lambda a: F.transform(inside(a), lambda n: F.struct(a["pre"].alias("a_pre"), a["kind"].alias("a_kind"), n.alias("n"))))
+    return demangled.where("ok").select("symbol", F.inline(F.flatten(pairs))).select("symbol", "a_pre", "a_kind", "n.*")
 
 
-def owners(node_rows: DataFrame) -> DataFrame:
-    """symbol, module: the first module of each symbol."""
-    first = Window.partitionBy("symbol").orderBy("pre")
-    return node_rows.where("kind = 'module'").withColumn("r", F.row_number().over(first)).where("r = 1").select("symbol", F.col("text").alias("module"))
+def owners(demangled: DataFrame) -> DataFrame:
+    """symbol, module: the first module of each symbol that has one."""
+    return demangled.where("ok").select("symbol", S.first_of(F.col("tree"), "module")["text"].alias("module")).where("module is not null")
 
 
 def intern(demangled: DataFrame) -> DataFrame:
     """Distinct subtrees: node_hash, kind, payload_kind, text, idx, kids (hashes), height. Symbols drop repeats before the one shuffle."""
     kids = lambda n: F.transform(n["kids"], lambda k: F.get(F.col("tree"), k)["node_hash"])
     own = F.array_distinct(F.transform("tree", lambda n: F.struct(n["node_hash"].alias("node_hash"), n["kind"].alias("kind"), n["text"].alias("text"), n["idx"].alias("idx"), kids(n).alias("kids"), n["height"].alias("height"))))
-    flat = demangled.where("ok").select(F.inline(own)).dropDuplicates(["node_hash"])
+    return _with_payload(demangled.where("ok").select(F.inline(own)).dropDuplicates(["node_hash"]))
+
+
+def _with_payload(flat: DataFrame) -> DataFrame:
     n = F.size("kids")
     payload = F.when(n == 1, "one").when(n == 2, "two").when(n > 2, "many").when(F.col("text").isNotNull(), "text").when(F.col("idx").isNotNull(), "index").otherwise("none")
     return flat.withColumn("payload_kind", payload)
 
 
+def intern_symbols(symbols: DataFrame, column: str = "symbol", held: int = 200_000) -> DataFrame:
+    """Distinct subtrees straight from symbols, as `intern` gives them: trees stay in Python, and a task sends a subtree again only after `held` others. For bulk builds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            rows: list[tuple] = []
+            for symbol in batch.column(0).to_pylist():
+                if len(seen) > held:
+                    seen = set()
+                new = subtrees(symbol, seen) if symbol is not None else ()
+                rows.extend(new)
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUBTREE, strict=True)], names=[f.name for f in _SUBTREE])
+
+    found = spread(symbols, column).mapInArrow(run, "node_hash string, kind string, text string, idx decimal(20,0), kids array<string>, height int")
+    return _with_payload(found.dropDuplicates(["node_hash"]))
+
+
+_SUBTREE = pa.schema([("node_hash", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("idx", pa.decimal128(20, 0)), ("kids", pa.list_(pa.string())), ("height", pa.int32())])
+
+
+def subtrees(symbol: str, seen: set[str]) -> list[tuple]:
+    """Rows of _SUBTREE for the symbol's subtrees whose digest is not in `seen`, which grows by them; none for a symbol that can't be parsed."""
+    try:
+        root = demangle(symbol)
+    except (SymbolError, RecursionError):
+        return []
+    root.digest()
+    heights: dict[int, int] = {}
+    out, stack = [], [(root, False)]
+    while stack:
+        node, ready = stack.pop()
+        if not ready:
+            if id(node) not in heights:
+                stack.append((node, True))
+                stack.extend((k, False) for k in node.kids)
+            continue
+        heights[id(node)] = max((heights[id(k)] + 1 for k in node.kids), default=0)
+        digest = node.digest()
+        if digest not in seen:
+            seen.add(digest)
+            out.append((digest, node.kind, node.text, None if node.index is None else Decimal(node.index), [k.digest() for k in node.kids], heights[id(node)]))
+    return out
+
+
 def roots(demangled: DataFrame) -> DataFrame:
     """symbol, root_hash."""
     return demangled.where("ok").select("symbol", F.get("tree", F.lit(0))["node_hash"].alias("root_hash"))
@@ -143,6 +196,16 @@ def corpus_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return roots(a).join(roots(b).select("root_hash"), "root_hash", "left_anti").select("symbol")
 
 
+def corpus_common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Trees (root_hash) that occur in both sets, each once."""
+    return roots(a).select("root_hash").intersect(roots(b).select("root_hash"))
+
+
+def corpus_surplus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Trees (root_hash) of `a` as often as they occur there more than in `b`."""
+    return roots(a).select("root_hash").exceptAll(roots(b).select("root_hash"))
+
+
 def top_symbols(symbols: DataFrame, k: int, options: str = "default") -> DataFrame:
     """The k symbols with the longest text; ties by symbol."""
     printed = symbols.select("symbol", S.print_symbol(F.col("symbol"), options).alias("printed")).where("printed is not null")

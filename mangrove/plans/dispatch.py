@@ -295,6 +295,92 @@ def _families() -> dict[str, list[tuple[str, str, str, str]]]:
     return out
 
 
+#: Symbols of types, the type as text (generic parameters by depth and index, modules left out) and the callback of a builder that makes it.
+TYPES = """
+$s{b}VD | {n} | nominal
+$s{b}CD | {n} | nominal
+$s{b}OD | {n} | nominal
+$s{b}XYD | {n} | nominal
+$s{b}aD | {n} | alias
+$s{b}V1TVD | {n}.T | nominal
+$s{b}V3ExtE1TVD | {n}.T | nominal
+$s{b}VySiGD | {n}<Int> | bound
+$s{b}V1TVySi_SSGD | {n}<Int>.T<String> | bound
+$sSo{n}CD | {n} | objc_class
+$sSo{n}CySiGD | {n}<Int> | objc_class
+$sSo{n}PD | any {n} | protocols
+$s{b}PD | any {n} | protocols
+$s{b}P_pD | any {n} | protocols
+$s{b}P_SHpD | any {n} & Hashable | protocols
+$s{b}P_{b}CXcD | any {n} & {n} | protocols
+$s{b}P_XlD | any {n} & AnyObject | protocols
+$s{b}P_pSi1TRts_XPD | any {n}<τ_0_0.T == Int> | constrained
+$sBpD | RawPointer | builtin
+$sBi32_D | Int32 | builtin
+$s$1_{b}VBVD | Builtin.FixedArray<2, {n}> | fixed_array
+$s{b}VmD | {n}.Type | metatype
+$s{b}VXMtD | @thin {n}.Type | metatype
+$s{b}P_pXpD | any {n}.Type | existential_metatype
+$s{b}P_pXmTD | @thick any {n}.Type | existential_metatype
+$s{b}CXDD | Self | dynamic_self
+$sSi_{b}VtD | (Int, {n}) | tuple
+$s{b}V_QPD | Pack{{n}} | pack
+$s{b}VyxxQp_QPGD | {n}<Pack{repeat τ_0_0}> | bound
+$sxxQp_{b}VQPD | Pack{repeat τ_0_0, {n}} | pack
+$s{b}VXwD | @sil_weak {n} | storage
+$s{b}CXoD | @sil_unowned {n} | storage
+$s{b}CXuD | @sil_unmanaged {n} | storage
+$s{b}VXbD | @box {n} | box
+$s{b}V_XxD | @box{let {n}} | box_layout
+$s{b}Vz_XxD | @box{var {n}} | box_layout
+$sxz_{b}V_RlzClXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0: Class | box_layout
+$s{b}VXSqD | {n}? | sugar
+$s{b}VXSaD | [{n}] | sugar
+$sSS{b}VXSDD | [String : {n}] | sugar
+$s$1_{b}VXSAD | [2 of {n}] | sugar
+$s{b}VXSpD | {n} | nominal
+$s{b}Vy$1_SiGD | {n}<2, Int> | bound
+$s{b}Vy$n3_SiGD | {n}<-4, Int> | bound
+$s{b}VycD | () -> {n} | function
+$sySi_{b}VtcD | (Int, {n}) -> () | function
+$sySiz_{b}VntcD | (inout Int, __owned {n}) -> () | function
+$sySih_{b}VYutcD | (__shared Int, sending {n}) -> () | function
+$sySi_{b}VYktcD | (Int, @noDerivative {n}) -> () | function
+$sySid_tcD | (Int...) -> () | function
+$s{b}VyYaKcD | () async throws -> {n} | function
+$s{b}VySSYKcD | () throws(String) -> {n} | function
+$s{b}VyYbXED | @Sendable () -> {n} | function
+$s{b}VyYAcD | @isolated(any) () -> {n} | function
+$s{b}VyYCcD | nonisolated(nonsending) () -> {n} | function
+$s{b}VyYTcD | () -> sending {n} | function
+$s{b}VyYjrcD | @differentiable(reverse) () -> {n} | function
+$s{b}VyScMYccD | @MainActor () -> {n} | function
+$s{b}VyXCD | @convention(c) () -> {n} | function
+$s{b}VyXBD | @convention(block) () -> {n} | function
+$s{b}VyXfD | @convention(thin) () -> {n} | function
+$s{b}VIegd_D | @escaping @callee_guaranteed () -> @unowned {n} | impl_function
+$s{b}VIegHyT_D | @escaping @async @callee_guaranteed (@unowned sending {n}) -> () | impl_function
+$s{b}VIegAYl_D | @escaping @yield_once @callee_guaranteed () -> @yields @inout {n} | impl_function
+$s{b}VSSIegozo_D | @escaping @callee_guaranteed () -> (@owned {n}, @error @owned String) | impl_function
+$s{b}VIeyBy_D | @escaping @convention(block) @callee_unowned (@unowned {n}) -> () | impl_function
+$s{b}VIetMAy_D | @escaping @convention(method) @yield_once @convention(thin) (@unowned {n}) -> () | impl_function
+$s{b}VIeAgd_D | @escaping @isolated(any) @callee_guaranteed () -> @unowned {n} | impl_function
+$s{b}VIrgd_D | @differentiable(reverse) @callee_guaranteed () -> @unowned {n} | impl_function
+$s1TSTQzD | (τ_0_0 as Sequence).T | member
+$s{b}QryFQOyQo_D | some <opaque> | opaque
+$sxD | τ_0_0 | param
+$sx_q_tD | (τ_0_0, τ_0_1) | tuple
+$sSi1a_{b}V1btD | (a: Int, b: {n}) | tuple
+$sxz_{b}V_SHRzRi_zlXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0: Hashable, τ_0_0: ~Copyable | box_layout
+$sxz_{b}V_RlzE7_3_lXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0: TrivialOfExactSize(8, 4) | box_layout
+$sxz_{b}V_Rlze7_lXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0: TrivialOfExactSize(8, 0) | box_layout
+$sxz_{b}V_SiRszlXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0 == Int | box_layout
+$sxz_{b}V_{b}CRbzlXXD | @box{var τ_0_0}<τ_0_0 = {n}> where τ_0_0: {n} | box_layout
+$sx_q_z{b}V_Sir0_lXXD | @box{let τ_0_0, var τ_0_1}<τ_0_0 = {n}, τ_0_1 = Int> | box_layout
+$sSi{b}VIegyd_D | @escaping @callee_guaranteed (@unowned Int) -> @unowned {n} | impl_function
+"""
+
+
 #: A name that is no identifier, as it is encoded.
 SPACED = {"MIDDLE EAST": "0016MIDDLEEAST_AxJAc", "SAUDI ARABIA": "0017SAUDIARABIA_EzEFc", "UNITED KINGDOM": "0019UNITEDKINGDOM_gEEEd", "UNITED STATES": "0018UNITEDSTATES_bCJJc"}
 
@@ -305,40 +391,68 @@ def _filled(template: Column, **parts: Column) -> Column:
     return template
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "r_name", "n_name")
+
+
+def _symbols(names: DataFrame, table: Column) -> DataFrame:
+    """n_nationkey, case (a struct of `table`, which has a form) and symbol."""
+    mangled = lambda name: F.concat(F.length(name).cast("string"), name)
+    m, n = mangled(F.col("r_name")), mangled(F.col("n_name"))
+    each = names.select("*", F.explode(table).alias("case"))
+    return each.select("n_nationkey", "case", _filled(F.col("case.form"), b=F.concat(m, n), m=m, n=n).alias("symbol"))
+
+
 def _query(cases: list[tuple[str, str, str, str]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
-        names = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "r_name", "n_name")
         table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("form")) for k, s, *_ in cases])
-        mangled = lambda name: F.concat(F.length(name).cast("string"), name)
-        m, n = mangled(F.col("r_name")), mangled(F.col("n_name"))
-        each = names.select("*", F.explode(table).alias("case"))
-        rows = each.select("n_nationkey", F.col("case.kind").alias("kind"), _filled(F.col("case.form"), b=F.concat(m, n), m=m, n=n).alias("symbol"))
+        rows = _symbols(_names(spark, sf_dir), table).select("n_nationkey", "case.kind", "symbol")
         parsed = rows.withColumn("parsed", S.demangle(F.col("symbol"))).select("n_nationkey", "kind", "symbol", F.col("parsed.tree").alias("nodes"))
         reached = F.exists("nodes", lambda x: x["kind"] == F.col("kind"))
-        return parsed.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "kind", "symbol", reached.alias("reached"), S.print_symbol(F.col("symbol")).alias("printed"), S.remangle(F.col("symbol")).alias("encoded"))
+        return parsed.select("n_nationkey", "kind", "symbol", reached.alias("reached"), S.print_symbol(F.col("symbol")).alias("printed"), S.remangle(F.col("symbol")).alias("encoded"))
 
     return run
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _fill(template: str, **parts: str) -> str:
+    for name, value in parts.items():
+        template = f"replace({template}, '{{{name}}}', {value})"
+    return template
+
+
+def _values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in rows)
+
+
+def _encoded(name: str) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in SPACED.items()) + f" ELSE length({name}) || {name} END"
+
+
+NAMES = f"t AS (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, r_name, n_name, length(r_name) || r_name AS m, length(n_name) || n_name AS n, {_encoded('r_name')} AS em, {_encoded('n_name')} AS en FROM region JOIN nation ON r_regionkey = n_regionkey)"
+
+
 def _sql(cases: list[tuple[str, str, str, str]]) -> str:
-    quote = lambda text: "'" + text.replace("'", "''") + "'"
-    values = ", ".join("(" + ", ".join(map(quote, case)) + ")" for case in cases)
-    fill = lambda template, **parts: fill_parts(template, parts)
+    symbol, printed = _fill("form", b="m || n", m="m", n="n"), _fill("text", q="r_name || '.' || n_name", r="r_name", n="n_name")
+    return f"WITH c(kind, form, text, again) AS (VALUES {_values(cases)}), {NAMES} SELECT n_nationkey, kind, {symbol} AS symbol, TRUE AS reached, {printed} AS printed, '_' || {_fill('again', b='em || en', m='em', n='en')} AS encoded FROM t, c"
+
 
-    def fill_parts(template: str, parts: dict[str, str]) -> str:
-        for name, value in parts.items():
-            template = f"replace({template}, '{{{name}}}', {value})"
-        return template
+_TYPES = [tuple(line.split(" | ")) for line in TYPES.strip().splitlines()]
 
-    encoded = lambda name: "CASE " + name + " " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in SPACED.items()) + f" ELSE length({name}) || {name} END"
-    return f"""
-WITH c(kind, form, text, again) AS (VALUES {values}),
-t AS (SELECT n_nationkey, r_name, n_name, length(r_name) || r_name AS m, length(n_name) || n_name AS n, {encoded('r_name')} AS em, {encoded('n_name')} AS en FROM region JOIN nation ON r_regionkey = n_regionkey)
-SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, kind, {fill('form', b='m || n', m='m', n='n')} AS symbol, TRUE AS reached,
-  {fill('text', q="r_name || '.' || n_name", r='r_name', n='n_name')} AS printed, '_' || {fill('again', b='em || en', m='em', n='en')} AS encoded FROM t, c"""
+
+def dispatch_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every callback of the type builder that makes a type."""
+    rows = _symbols(_names(spark, sf_dir), F.array(*[F.struct(F.lit(form).alias("form")) for form, *_ in _TYPES]))
+    json = F.parse_json(S.decode_type_json(F.col("symbol")))
+    return rows.select("n_nationkey", "symbol", S.decode_type(F.col("symbol")).alias("type"), F.variant_get(json, "$.type", "string").alias("callback"))
 
 
 _CASES = _families()
-QUERIES = {f"dispatch_{name}": _query(cases) for name, cases in _CASES.items()}
-ORACLES = {f"dispatch_{name}": _sql(cases) for name, cases in _CASES.items()}
+QUERIES = {f"dispatch_{name}": _query(cases) for name, cases in _CASES.items()} | {"dispatch_types": dispatch_types}
+ORACLES = {f"dispatch_{name}": _sql(cases) for name, cases in _CASES.items()} | {
+    "dispatch_types": f"WITH c(form, type, callback) AS (VALUES {_values(_TYPES)}), {NAMES} SELECT n_nationkey, {_fill('form', b='m || n', m='m', n='n')} AS symbol, {_fill('type', n='n_name')} AS type, callback FROM t, c"
+}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import symbols as S
-from ..kernel.parser import word
+from ..kernel.parser import demangle, word
 from ..kernel.tree import Tree
 from ..operators import nodes as N
 from ..sources import symbols as sources
@@ -213,11 +213,22 @@ def bulk_print(spark, sf_dir):
 
 @query(f"WITH {METHODS} SELECT module, COUNT(*) AS n_symbols, COUNT(DISTINCT of) AS n_types FROM (SELECT DISTINCT symbol, module, of FROM s) GROUP BY module")
 def bulk_modules(spark, sf_dir):
-    tree = F.col("tree")
-    parsed = N.parse(methods(spark, sf_dir)).where("ok").select(S.first_of(tree, "module")["text"].alias("module"), F.get(S.find(tree, "identifier"), F.lit(0))["text"].alias("of"))
+    texts = N.spread(methods(spark, sf_dir)).select(S.texts_of(F.col("symbol"), "module", "identifier").alias("t"))
+    parsed = texts.where("t is not null").select(F.get("t", F.lit(0)).alias("module"), F.get("t", F.lit(1)).alias("of"))
     return parsed.groupBy("module").agg(F.count("*").alias("n_symbols"), F.countDistinct("of").alias("n_types"))
 
 
+#: Subtrees that all symbols of `methods` share: the labels and the type (Si, SS) -> ().
+SHARED_SUBTREES = len({n.digest() for n in demangle("$s1M1TV1fyySi_SStF").preorder() if n.kind not in ("global", "function", "structure") and n.text not in ("M", "T", "f")} | {n.digest() for n in demangle("$sSSD").preorder() if n.kind == "structure"} | {n.digest() for n in demangle("$sSiD").preorder() if n.kind == "structure"})
+
+
+@query(f"""WITH {METHODS} SELECT CAST(COUNT(DISTINCT module) + COUNT(DISTINCT of) + COUNT(DISTINCT name) + COUNT(DISTINCT module || '.' || of) + 2 * COUNT(DISTINCT symbol) + {SHARED_SUBTREES} AS BIGINT) AS n_nodes,
+  COUNT(DISTINCT symbol) AS n_roots FROM s""")
+def bulk_store(spark, sf_dir):
+    """The store of all method symbols: every distinct subtree once."""
+    return N.intern_symbols(methods(spark, sf_dir)).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "global").alias("n_roots"))
+
+
 @query(f"WITH {METHODS} SELECT COUNT(*) AS n, COUNT(*) FILTER (symbol IS NOT NULL) AS n_same FROM (SELECT DISTINCT symbol FROM s)")
 def bulk_roundtrip(spark, sf_dir):
     rows = N.spread(methods(spark, sf_dir)).withColumn("again", S.remangle(F.col("symbol")))
@@ -308,8 +319,7 @@ def node_dump(spark, sf_dir):
 
 @query(f"WITH {NOM} SELECT nom || 'V' AS symbol, k.kind FROM t, (VALUES ('module'), ('identifier')) AS k(kind)")
 def structure_descendants(spark, sf_dir):
-    rows = N.nodes(_parsed(spark, sf_dir))
-    return N.descendants(rows, F.col("kind") == "structure").select("symbol", "kind")
+    return N.descendants(_parsed(spark, sf_dir), "structure").select("symbol", "kind")
 
 
 @query(f"WITH {NOM} SELECT CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) + 2 * COUNT(DISTINCT nom) AS BIGINT) AS n FROM t")
@@ -345,9 +355,13 @@ def corpus_diff(spark, sf_dir):
     return N.corpus_diff(N.parse(rows), N.parse(rows.where("n_nationkey % 3 <> 0")))
 
 
-@query(f"WITH {NOM} SELECT nom || 'VN' AS symbol, '_' || nom || 'VN' AS again FROM t WHERE r_name NOT LIKE '% %'")
+#: A symbol encoded again: names with a space become punycode.
+AGAIN = "'_$s' || CASE r_name WHEN 'MIDDLE EAST' THEN '0016MIDDLEEAST_AxJAc' ELSE length(r_name) || r_name END || length(n_name) || n_name"
+
+
+@query(f"WITH {NOM} SELECT nom || 'VN' AS symbol, {AGAIN} || 'VN' AS again FROM t")
 def roundtrip(spark, sf_dir):
-    rows = nominals(spark, sf_dir).where("r_name NOT LIKE '% %'").select(F.concat("nom", F.lit("VN")).alias("symbol"))
+    rows = nominals(spark, sf_dir).select(F.concat("nom", F.lit("VN")).alias("symbol"))
     return rows.withColumn("again", S.remangle(F.col("symbol")))
 
 
@@ -397,7 +411,7 @@ def demangle_bare_types(spark, sf_dir):
 
 @query(f"WITH {NOM} SELECT r_name AS module, COUNT(*) AS n FROM t GROUP BY ROLLUP (r_name)")
 def owner_rollup(spark, sf_dir):
-    return N.owners(N.nodes(_parsed(spark, sf_dir))).rollup("module").agg(F.count("*").alias("n"))
+    return N.owners(_parsed(spark, sf_dir)).rollup("module").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {NOM} SELECT nom || 'V' AS symbol, r_name || '.' || n_name AS printed, CAST(length(r_name || '.' || n_name) AS BIGINT) AS n_chars FROM t ORDER BY n_chars DESC, symbol LIMIT 10")
@@ -421,10 +435,10 @@ def child_access(spark, sf_dir):
     )
 
 
-@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, true AS can_mangle, CASE WHEN r_name LIKE '% %' THEN NULL ELSE '_' || nom || 'V' END AS mangled FROM t")
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, true AS can_mangle, {AGAIN} || 'V' AS mangled FROM t")
 def mangled_trees(spark, sf_dir):
     rows = _parsed(spark, sf_dir).select("symbol", S.mangle(F.col("tree")).alias("m"), S.can_mangle(F.col("tree")).alias("can_mangle"))
-    return rows.select("symbol", "can_mangle", F.when(~F.col("symbol").contains(" "), F.col("m.mangled")).alias("mangled"))
+    return rows.select("symbol", "can_mangle", "m.mangled")
 
 
 @query(f"WITH {NOM} SELECT nom || 'V_ACtD' AS symbol, 'kind=Global' || chr(10) || '  kind=TypeMangling' || chr(10) || '    kind=Type' || chr(10) || '      kind=Tuple' || chr(10) || '        kind=TupleElement' || chr(10) || '          kind=Type (shared #1)' || chr(10) || '            kind=Structure' || chr(10) || '              kind=Module, text=\"' || r_name || '\"' || chr(10) || '              kind=Identifier, text=\"' || n_name || '\"' || chr(10) || '        kind=TupleElement' || chr(10) || '          kind=Type (see #1)' AS dump FROM t")
@@ -456,7 +470,7 @@ def symbolic_references(spark, sf_dir):
 
 @query(f"WITH {NOM} SELECT k.parent_kind, k.kind, COUNT(*) AS n FROM t, (VALUES ('global', 'structure'), ('structure', 'module'), ('structure', 'identifier')) AS k(parent_kind, kind) GROUP BY k.parent_kind, k.kind")
 def edge_histogram(spark, sf_dir):
-    return N.edge_histogram(N.nodes(_parsed(spark, sf_dir)))
+    return N.edge_histogram(_parsed(spark, sf_dir))
 
 
 @query(f"WITH {NOM} SELECT CAST(COUNT(DISTINCT r_name) + COUNT(DISTINCT n_name) AS BIGINT) AS n_leaves, CAST(2 * COUNT(DISTINCT nom) AS BIGINT) AS n_subtrees FROM t")
@@ -475,11 +489,11 @@ def store_merge(spark, sf_dir):
     return sources.merge_stores(a, b).agg(F.count("*").alias("n_nodes"), F.max("node_id").alias("last_id"))
 
 
-@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, 'nations' AS image, CAST(4096 + n_nationkey AS BIGINT) AS \"offset\" FROM t WHERE r_name NOT LIKE '% %'")
+@query(f"WITH {NOM} SELECT nom || 'V' AS symbol, 'nations' AS image, CAST(4096 + n_nationkey AS BIGINT) AS \"offset\" FROM t")
 def listing_scan(spark, sf_dir):
     """Symbols written as a text listing and read back with their offsets."""
     folder = scratch(spark, "listing")
-    rows = nominals(spark, sf_dir).where("r_name NOT LIKE '% %'")
+    rows = nominals(spark, sf_dir)
     rows.select(F.concat(F.lpad(F.hex(F.col("n_nationkey") + 4096), 16, "0"), F.lit(" T "), F.col("nom"), F.lit("V")).alias("value")).write.text(folder)
     return sources.read_listing(spark, folder, "nations").select("symbol", "image", F.col("offset").cast("long").alias("offset"))
 
@@ -525,15 +539,62 @@ def stream_windows(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "module", "n")
 
 
+@query("SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, event_type AS module, COUNT(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS h FROM events) GROUP BY 1, 2")
+def stream_sliding_windows(spark, sf_dir):
+    """Windows of two hours that begin each hour."""
+    out = _drained(streams.module_counts(_event_stream(spark, sf_dir), "2 hours", slide="1 hour"), scratch(spark, "stream"), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "module", "n")
+
+
+@query("""WITH e AS (SELECT event_type, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+  g AS (SELECT event_type, ts, SUM(new) OVER (PARTITION BY event_type ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS session FROM e)
+  SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS began, event_type AS module, COUNT(*) AS n FROM g GROUP BY event_type, session""")
+def stream_sessions(spark, sf_dir):
+    out = _drained(streams.module_sessions(_event_stream(spark, sf_dir), "15 minutes"), scratch(spark, "stream"), "complete")
+    return out.select(F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "module", "n")
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS module, COUNT(*) AS n FROM events
+  WHERE ts >= TIMESTAMP '2024-01-16' AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+def stream_late_rows(spark, sf_dir):
+    """The later rows come first: those of the second run are beyond the watermark, which the first left, and are dropped; windows come once they are closed."""
+    folder, out = scratch(spark, "late"), None
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for part in (F.col("ts") >= cut, F.col("ts") < cut):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        symbols = rows.select("ts", F.concat(F.lit("$s"), ident(F.col("event_type")), F.lit("1TV")).alias("symbol"))
+        out = _drained(streams.module_counts(symbols, "1 hour"), folder, "append")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "module", "n")
+
+
+@query("SELECT CAST(3 * COUNT(DISTINCT event_type) + 1 AS BIGINT) AS n_nodes FROM events")
+def stream_intern(spark, sf_dir):
+    folder = scratch(spark, "interned")
+    streams.intern_stream(_event_stream(spark, sf_dir).select("symbol"), f"{folder}/store", f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/store").agg(F.countDistinct("node_hash").alias("n_nodes"))
+
+
+@query(f"WITH {NOM} SELECT COUNT(*) FILTER (n_nationkey % 2 = 0 AND n_nationkey % 3 = 0) AS n_common, 2 * COUNT(*) FILTER (n_nationkey % 2 = 0) - COUNT(*) FILTER (n_nationkey % 6 = 0) AS n_surplus FROM t")
+def set_operations(spark, sf_dir):
+    """Trees of two sets of symbols: in both, and those of the first, each of which occurs twice, beyond the second's."""
+    rows = nominals(spark, sf_dir).select("n_nationkey", F.concat("nom", F.lit("V")).alias("symbol"))
+    twice = rows.where("n_nationkey % 2 = 0").select(F.explode(F.array("symbol", F.concat(F.lit("_"), "symbol"))).alias("symbol"))
+    a, b = N.parse(twice), N.parse(rows.where("n_nationkey % 3 = 0"))
+    common = N.corpus_common(a, b).agg(F.count("*").alias("n_common")).withColumn("one", F.lit(1))
+    return common.join(N.corpus_surplus(a, b).agg(F.count("*").alias("n_surplus")).withColumn("one", F.lit(1)), "one").drop("one")
+
+
 @query("SELECT p_partkey, p_name AS again FROM part")
 def punycode_roundtrip(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", S.punycode_decode(S.punycode_encode(F.col("p_name"))).alias("again"))
 
 
-@query("SELECT d AS depth, i AS idx, chr(CAST(65 + i AS INTEGER)) || CASE WHEN d = 0 THEN '' ELSE CAST(d AS VARCHAR) END AS name FROM (SELECT DISTINCT n_regionkey AS d, n_nationkey AS i FROM nation)")
+@query("SELECT d AS depth, i AS idx, chr(CAST(65 + i % 26 AS INTEGER)) || CASE WHEN i >= 26 THEN chr(CAST(65 + i // 26 % 26 AS INTEGER)) ELSE '' END || CASE WHEN i >= 676 THEN chr(CAST(65 + i // 676 % 26 AS INTEGER)) ELSE '' END || CASE WHEN i >= 17576 THEN chr(CAST(65 + i // 17576 % 26 AS INTEGER)) ELSE '' END || CASE WHEN d = 0 THEN '' ELSE CAST(d AS VARCHAR) END AS name FROM (SELECT DISTINCT n_regionkey AS d, 100 * n_nationkey * n_nationkey AS i FROM nation)")
 def generic_param_names(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("depth"), F.col("n_nationkey").alias("idx")).distinct()
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("depth"), (100 * F.col("n_nationkey") * F.col("n_nationkey")).alias("idx")).distinct()
     return rows.withColumn("name", S.param_name(F.col("depth"), F.col("idx")))
 
 

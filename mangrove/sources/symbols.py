@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
+from decimal import Decimal
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -48,14 +52,14 @@ class _Files(InputPartition):
 
 
 class SymbolListing(DataSource):
-    """spark.read.format("symbol_listing").option("paths", "a,b"): one partition a listing; for listings that only Python can open."""
+    """spark.read.format("symbol_listing").option("paths", "a,b"): one partition a listing. Paths are URIs of a store that all executors see, or files that each of them has; bytes that are no UTF-8 are replaced."""
 
     @classmethod
     def name(cls) -> str:
         return "symbol_listing"
 
     def schema(self) -> str:
-        return "symbol string, image string, offset long"
+        return "symbol string, image string, offset decimal(20,0)"
 
     def reader(self, schema) -> DataSourceReader:
         return _ListingReader(self.options["paths"].split(","))
@@ -70,11 +74,13 @@ class _ListingReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        with open(partition.path, encoding="utf-8", errors="surrogateescape") as file:
-            for line in file:
+        where = partition.path if "://" in partition.path else Path(partition.path).absolute().as_uri()
+        fs, path = pafs.FileSystem.from_uri(where)
+        with fs.open_input_stream(path) as stream:
+            for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
                 m = _LINE.match(line)
                 if m and (re.match(PREFIX, m[2]) or m[2].startswith("_T")):
-                    rows.append((m[2], partition.path, int(m[1], 16) if m[1] else None))
+                    rows.append((m[2], partition.path, Decimal(int(m[1], 16)) if m[1] and len(m[1].lstrip("0")) <= 16 else None))
                 if len(rows) == 10_000:
                     yield _batch(rows)
                     rows = []
@@ -84,4 +90,4 @@ class _ListingReader(DataSourceReader):
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["symbol", "image", "offset"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.decimal128(20, 0))], names=["symbol", "image", "offset"])

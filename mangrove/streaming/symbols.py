@@ -15,11 +15,19 @@ def printed_stream(symbols: DataFrame, options: str = "default") -> DataFrame:
     return symbols.where(S.is_symbol(F.col("symbol"))).withColumn("printed", S.print_symbol(F.col("symbol"), options))
 
 
-def module_counts(symbols: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Symbols per module and window of `ts`; rows later than `late` are left out."""
-    parsed = symbols.withWatermark("ts", late).withColumn("d", S.demangle(F.col("symbol")))
-    module = S.first_of(F.col("d.tree"), "module")["text"]
-    return parsed.select("ts", module.alias("module")).groupBy(F.window("ts", every), "module").agg(F.count("*").alias("n"))
+def _modules(symbols: DataFrame, late: str) -> DataFrame:
+    parsed = symbols.withWatermark("ts", late).withColumn("t", S.texts_of(F.col("symbol"), "module"))
+    return parsed.select("ts", F.get("t", F.lit(0)).alias("module"))
+
+
+def module_counts(symbols: DataFrame, every: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Symbols per module and window of `ts`, tumbling, or sliding by `slide`; rows later than `late` are left out."""
+    return _modules(symbols, late).groupBy(F.window("ts", every, slide), "module").agg(F.count("*").alias("n"))
+
+
+def module_sessions(symbols: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Symbols per module and session, which ends where a module is silent for `gap`."""
+    return _modules(symbols, late).groupBy(F.session_window("ts", gap), "module").agg(F.count("*").alias("n"))
 
 
 def intern_stream(symbols: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
