@@ -1,9 +1,9 @@
 """Quality rules with thresholds that adapt to each language and source, in DataFrame functions only.
 
 Per text: counts of words, word characters, symbols, repeated lines and words in repeated 8-word windows. Ratios of
-them go into quantile sketches: histograms over fixed integer bins (per mille, at most 1001 bins a ratio), which merge by
-adding counts and are exact to a bin. Fences per (lang, source) come from the sketch's quartiles; groups of fewer than
-`min_group` texts use the merged sketch of their language, or else of all texts. A join then filters.
+them go into quantile sketches: histograms over integer bins (per mille, at most 1001 bins a ratio; mean lengths in tenths of a character, beyond 100 characters a thousand bins
+a doubling), which merge by adding counts and are exact to a bin. Fences per (lang, source) come from the sketch's quartiles and are weighed by the group's texts against those of its
+language, and these against those of all texts, which weigh as `min_group` texts each. A join then filters.
 
 Defined cases: null text: no words, fails the base rule; null lang or source: a group of their own; an empty table
 gives no rows; repeated rows count each; windows are told apart by 64-bit hashes of 64-bit word hashes.
@@ -23,7 +23,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Ratio in per mille -> the least value its upper fence may take. mean_len: word characters per ten words, capped at 1000.
+#: Ratio in per mille -> the least value its upper fence may take. mean_len: word characters per ten words.
 FLOORS = {"symbols": 100, "dup_lines": 300, "repeats": 200, "mean_len": 120}
 #: Fences of fewer groups than this are broadcast (some 60 bytes a row).
 BROADCAST_GROUPS = 20_000
@@ -63,12 +63,20 @@ def measure(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.rep").alias("n_repeat_words"), F.col("l.n").alias("n_lines"))
 
 
-def ratio(part: str, whole: str, unit: int = 1000) -> Column:
-    return F.least(F.floor(unit * F.col(part) / F.greatest(F.col(whole), F.lit(1))), F.lit(1000)).cast("long")
+def ratio(part: str, whole: str) -> Column:
+    return F.least(F.floor(1000 * F.col(part) / F.greatest(F.col(whole), F.lit(1))), F.lit(1000)).cast("long")
+
+
+def widening(value: Column) -> Column:
+    """A bin of a number of any size: the number itself up to 1000, then a thousand bins for each doubling."""
+    doublings = F.length(F.bin(F.floor(value / 1000))) - 1
+    base = F.lit(1000) * F.pow(F.lit(2.0), doublings).cast("long")
+    return F.when(value < 1000, value).otherwise(1000 + 1000 * doublings + F.floor(1000 * (value - base) / base)).cast("long")
 
 
 def ratios() -> dict[str, Column]:
-    return {"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "mean_len": ratio("word_chars", "n_words", 10)}
+    length = F.floor(10 * F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)))
+    return {"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "mean_len": widening(length)}
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -94,14 +102,15 @@ def fences(sketched: DataFrame, keys: list[str], reach: float) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, reach: float, min_group: int) -> DataFrame:
-    """lang, source and the fences that hold there: of the group, of its language, or of all texts."""
+    """lang, source and the fences that hold there: those of the group, weighed by its texts, with those of its language, which weigh as `min_group` texts; in the language's own, all texts weigh so."""
     base = materialise(sketch(measured), "quality-sketch")
     names = [f"hi_{r}" for r in FLOORS] + ["lo_mean_len"]
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
     own, lang = (rename(fences(base, keys, reach), p) for keys, p in ((["lang", "source"], "o_"), (["lang"], "l_")))
     every = fences(base, [], reach).collect()[0]  # one row, for all texts
     joined = own.join(lang, own["o_lang"].eqNullSafe(lang["l_lang"]), "left")
-    pick = lambda c: F.when(F.col("o_n") >= min_group, F.col(f"o_{c}")).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.lit(every[c])).alias(c)
+    blend = lambda n, own, above: (F.col(n) * F.col(own) + F.lit(float(min_group)) * above) / (F.col(n) + min_group)
+    pick = lambda c: blend("o_n", f"o_{c}", blend("l_n", f"l_{c}", F.lit(every[c]))).alias(c)
     return joined.select(F.col("o_lang").alias("g_lang"), F.col("o_source").alias("g_source"), *map(pick, names))
 
 

@@ -13,7 +13,7 @@ from .common import load
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = chat.format_chats(chat.turn_events(turns))
     return chats.select(
@@ -121,16 +121,16 @@ b AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(COALESCE(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 r AS (SELECT *, LEAST(1000 * n_symbols // GREATEST(word_chars, 1), 1000) AS symbols, LEAST(1000 * n_dup_lines // GREATEST(n_lines, 1), 1000) AS dup_lines,
-  LEAST(1000 * n_repeat_words // GREATEST(n_words, 1), 1000) AS repeats, LEAST(10 * word_chars // GREATEST(n_words, 1), 1000) AS mean_len,
-  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+  LEAST(1000 * n_repeat_words // GREATEST(n_words, 1), 1000) AS repeats, CASE WHEN mean < 1000 THEN mean ELSE 1000 + 1000 * doublings + 1000 * (mean - 1000 * (1::BIGINT << doublings)) // (1000 * (1::BIGINT << doublings)) END AS mean_len,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (SELECT *, 10 * word_chars // GREATEST(n_words, 1) AS mean, length(bin(10 * word_chars // GREATEST(n_words, 1) // 1000)) - 1 AS doublings FROM b)),
 l AS (SELECT lang, source, rule, bin FROM (SELECT lang, source, 'symbols' AS rule, symbols AS bin FROM r WHERE n_words > 0 UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM r WHERE n_words > 0
   UNION ALL SELECT lang, source, 'repeats', repeats FROM r WHERE n_words > 0 UNION ALL SELECT lang, source, 'mean_len', mean_len FROM r WHERE n_words > 0)),
 g AS (SELECT 0 AS level, lang, source, rule, bin FROM l UNION ALL SELECT 1, lang, NULL, rule, bin FROM l UNION ALL SELECT 2, NULL, NULL, rule, bin FROM l),
 q AS (SELECT level, lang, source, rule, COUNT(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM g GROUP BY level, lang, source, rule),
-f AS (SELECT level, lang, source, MAX(n) AS n, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'symbols'), 100) AS hs, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'dup_lines'), 300) AS hd,
-  GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'repeats'), 200) AS hr, GREATEST(MAX(q3 + 3.0 * (q3 - q1)) FILTER (rule = 'mean_len'), 120) AS hm, LEAST(MAX(q1 - 3.0 * (q3 - q1)) FILTER (rule = 'mean_len'), 15) AS lm FROM q GROUP BY level, lang, source),
-t AS (SELECT r.*, CASE WHEN o.n >= 100 THEN o WHEN a.n >= 100 THEN a ELSE e END AS x FROM r LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+f AS (SELECT level, lang, source, MAX(n) AS n, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'symbols'), 100) AS DOUBLE) AS hs, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'dup_lines'), 300) AS DOUBLE) AS hd,
+  CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'repeats'), 200) AS DOUBLE) AS hr, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'mean_len'), 120) AS DOUBLE) AS hm, CAST(LEAST(MAX(q1 - 3 * (q3 - q1)) FILTER (rule = 'mean_len'), 15) AS DOUBLE) AS lm FROM q GROUP BY level, lang, source),
+t AS (SELECT r.*, (o.n * o.hs + 100.0::DOUBLE * ((a.n * a.hs + 100.0::DOUBLE * e.hs) / (a.n + 100))) / (o.n + 100) AS hs, (o.n * o.hd + 100.0::DOUBLE * ((a.n * a.hd + 100.0::DOUBLE * e.hd) / (a.n + 100))) / (o.n + 100) AS hd, (o.n * o.hr + 100.0::DOUBLE * ((a.n * a.hr + 100.0::DOUBLE * e.hr) / (a.n + 100))) / (o.n + 100) AS hr, (o.n * o.hm + 100.0::DOUBLE * ((a.n * a.hm + 100.0::DOUBLE * e.hm) / (a.n + 100))) / (o.n + 100) AS hm, (o.n * o.lm + 100.0::DOUBLE * ((a.n * a.lm + 100.0::DOUBLE * e.lm) / (a.n + 100))) / (o.n + 100) AS lm FROM r LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
   LEFT JOIN f a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM r.lang LEFT JOIN f e ON e.level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND symbols <= x.hs AND dup_lines <= x.hd AND repeats <= x.hr AND mean_len <= x.hm AND mean_len >= x.lm AS kept FROM t
+  NOT base_failed AND symbols <= hs AND dup_lines <= hd AND repeats <= hr AND mean_len <= hm AND mean_len >= lm AS kept FROM t
 """
