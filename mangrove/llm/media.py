@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-import warnings
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import only, shared_dir
+from .common import only, shared_dir, small_batches
 
 WIDTH = 64
 RETRIES = 3
@@ -84,6 +83,17 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def with_id(media: bytes, doc_id: object) -> bytes:
+    """A member: the stored form, then the id's UTF-8 bytes and their number, -1 for null. Readers of images stop before them."""
+    own = b"" if doc_id is None else str(doc_id).encode("utf-8", "surrogatepass")
+    return media + own + struct.pack("<q", -1 if doc_id is None else len(own))
+
+
+def without_id(member: bytes) -> tuple[bytes, str | None]:
+    (n,) = struct.unpack("<q", member[-8:])
+    return (member[:-8], None) if n < 0 else (member[: -8 - n], member[-8 - n : -8].decode("utf-8", "surrogatepass"))
+
+
 def write_archives(docs: DataFrame, folder: str | None = None) -> str:
     """Store each text of `docs` (doc_id, text) as one member; returns the folder, which holds manifest.json."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
@@ -105,10 +115,7 @@ def write_archives(docs: DataFrame, folder: str | None = None) -> str:
                     name, members = f"{uuid.uuid4().hex}.zip", 0
                     sink = to.open_output_stream(f"{base}/{name}", compression=None)
                     zipped = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
-                member = zipfile.ZipInfo(f"{members}/" + ("" if doc_id.as_py() is None else f"id/{doc_id.as_py()}"))
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    zipped.writestr(member, encode_image((text.as_py() or "").encode()))
+                zipped.writestr(zipfile.ZipInfo(f"{members}.png"), with_id(encode_image((text.as_py() or "").encode()), doc_id.as_py()))
                 members += 1
                 if sink.tell() > ARCHIVE_BYTES:
                     close()
@@ -118,7 +125,7 @@ def write_archives(docs: DataFrame, folder: str | None = None) -> str:
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["name", "bytes", "members"])
 
     # One row per archive, that is per task and ARCHIVE_BYTES.
-    made = only(docs, doc_id="doc_id", text="text").mapInArrow(run, "name string, bytes long, members long").collect()
+    made = only(small_batches(docs), doc_id="doc_id", text="text").mapInArrow(run, "name string, bytes long, members long").collect()
     with fs.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps([[r["name"], r["bytes"], r["members"]] for r in sorted(made)]).encode())
     return folder
@@ -145,13 +152,12 @@ class ArchiveReader(DataSourceReader):
         fs, path = _open(self.folder)
         where = f"{path}/{partition.name}"
         with fs.open_input_file(where) as file, zipfile.ZipFile(file) as zipped:
-            entries = [(i.filename, i.header_offset, i.file_size, i.CRC) for i in zipped.infolist() if partition.start <= i.header_offset < partition.end]
+            entries = [(i.header_offset, i.file_size, i.CRC) for i in zipped.infolist() if partition.start <= i.header_offset < partition.end]
         rows, held = [], 0
-        for name, offset, size, crc in entries:
-            media = read_member(fs, where, offset, size, crc)
+        for offset, size, crc in entries:
+            media, doc_id = without_id(read_member(fs, where, offset, size, crc))
             samples, n_bytes = decode_image(media)
-            _, marked, doc_id = name.partition("/id/")
-            rows.append((doc_id if marked else None, n_bytes, samples, media, feature(samples)))
+            rows.append((doc_id, n_bytes, samples, media, feature(samples)))
             held += len(samples) + len(media)
             if held >= BATCH_BYTES:
                 yield _batch(rows)
