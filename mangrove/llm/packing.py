@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, small_batches
 
 END_ID = 0
 #: Texts of more characters than this are split by the plain library, whose pattern engine has no depth limit. Both give the same ids.
@@ -59,7 +59,7 @@ class Ids:
 
 def pack(docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, pattern: str | None = None, most: int = 1024) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    source = only(docs, doc_id="doc_id", text="text")
+    source = only(small_batches(docs), doc_id="doc_id", text="text")
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

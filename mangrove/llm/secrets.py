@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, only
+from .common import materialise, small_batches
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -163,6 +163,7 @@ def _decide(docs: DataFrame, rate: float, carry: list[str]) -> DataFrame:
         named = lambda names, found: [dict(zip(names, x, strict=True)) for x in found]
         return pd.DataFrame({"base": [named(("start", "stop", "kind"), b) for _, b in rows], "tokens": [named(("start", "stop", "encoding", "cls", "bin"), candidates(t, b)) for t, b in rows]})
 
+    small_batches(docs)
     scanned = materialise(docs.select(*[docs[c] for c in carry], scan(docs["text"]).alias("__scan")), "secrets")
     counts = scanned.select(F.explode("__scan.tokens").alias("t")).groupBy("t.cls", "t.bin").agg(F.count("*").alias("n")).collect()
     least = thresholds([(r["cls"], r["bin"], r["n"]) for r in counts], rate)

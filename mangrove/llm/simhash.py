@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, only
+from .common import discard, materialise, only, small_batches
 from .graph import components
 
 BITS, DISTANCE, SEED = 64, 4, 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    src = only(docs, doc_id="doc_id", text="text")
+    src = only(small_batches(docs), doc_id="doc_id", text="text")
     return src.select("doc_id", F.xxhash64("text").alias("text_hash"), of("text").alias("fp"))
 
 
@@ -106,6 +106,8 @@ def _shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Texts handled at once by a Python worker.
 SLICE = 256
+#: Rows of buckets handled at once, if a bucket has no more.
+BUCKET_ROWS = 50_000
 MOST_BINS = 1 << 15
 
 
@@ -133,7 +135,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, node (hash of the text's words), n (size of the set of shingles), fp (fingerprint of the set), bins (parities) and prefix (its first n // 5 + 1 in order of the search)."""
-    src = only(docs, doc_id="doc_id", text="text")
+    src = only(small_batches(docs), doc_id="doc_id", text="text")
     names, counts = frequent_shingles(src, shingle)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,22 +353,30 @@ def _buckets(test):
         yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]] + [c.to_pylist() for c in batch.columns[5:]]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if cut or (held and held[-1][0][-1] != columns[0][0]):
-                yield from work([*held, [c[:cut] for c in columns]])
-                held = []
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield from work(held)
+        return _whole(batches, work)
 
     return run
 
 
+def _whole(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """What `work` gives for whole buckets of rows that come sorted by key, the first column; about BUCKET_ROWS at once. Columns are arrays, binary ones lists."""
+    held: list[list] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        n += batch.num_rows
+        if n >= BUCKET_ROWS and (cut or (held and held[-1][0][-1] != columns[0][0])):
+            yield from work([*held, [c[:cut] for c in columns]] if cut else held)
+            held, n = [], batch.num_rows - cut
+            columns = [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield from work(held)
+
+
 def _ring_mask(start: int, links: int) -> np.uint64:
     mask = 0
     for i in range(links):
@@ -448,26 +458,13 @@ def bucket_links(keys: np.ndarray, changed: np.ndarray, fps: np.ndarray) -> tupl
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets of rows that come sorted by key; a bucket may span batches."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        a, b = bucket_links(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+    def work(held: list[list]) -> Iterator[pa.RecordBatch]:
+        keys, changed, fps = (np.concatenate(c) for c in zip(*held, strict=True))
+        a, b = bucket_links(keys, changed, fps.view(np.uint64))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, changed, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        columns = (keys, changed, fps.view(np.uint64))
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut or (held and held[-1][0][-1] != keys[0]):
-            yield from flush([*held, tuple(c[:cut] for c in columns)])
-            held = []
-        held.append(tuple(c[cut:] for c in columns))
-    if held:
-        yield from flush(held)
+    return _whole(batches, work)
 
 
 def links(nodes: DataFrame) -> DataFrame:

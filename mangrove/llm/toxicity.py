@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, small_batches
 
 THRESHOLD = 0.3
 #: Pattern voters, fixed values.
@@ -41,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = {name: re.compile(p) for name, p in PATTERNS.items()}
 #: Letters that stems have; the first of them suffice to pass over most words of a text.
 STEMS, HEAD = range(4, 10), 4
-#: A voter of rate r fires where it occurs once in r words at least; 0: where it occurs.
+#: A voter of rate r fires where it occurs once in r words at least; 0: where it occurs. Each is stricter than the one before.
 RATES = (0, 200, 100, 50)
 #: Candidates that reach the driver, and of those the ones counted.
 CANDIDATES, COUNTED = 20_000, 256
@@ -204,11 +204,15 @@ def candidates(sample: DataFrame, n: dict[int, int], min_docs: int) -> list[tupl
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for label, text in zip(batch["label"], batch["text"], strict=True):
                 found, words = all_entries(text)
-                seen[int(label)].update((e, rate) for e, k in found.items() for rate in RATES if fires(k, rate, words))
+                seen[int(label)].update((e, sum(fires(k, rate, words) for rate in RATES[1:])) for e, k in found.items() if k)
             keys = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"entry": [e for e, _ in keys], "rate": [r for _, r in keys], "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
+            yield pd.DataFrame({"entry": [e for e, _ in keys], "strict": [r for _, r in keys], "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
 
-    seen = sample.mapInPandas(count, "entry string, rate int, a long, b long").groupBy("entry", "rate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # A text counts for the strictest rate that fires, and so for those before it.
+    found = sample.mapInPandas(count, "entry string, strict int, a long, b long")
+    at_least = lambda k, c: F.coalesce(F.sum(F.when(F.col("strict") >= k, F.col(c))), F.lit(0))
+    by_rate = F.array(*[F.struct(F.lit(rate).alias("rate"), at_least(k, "a").alias("a"), at_least(k, "b").alias("b")) for k, rate in enumerate(RATES)])
+    seen = found.groupBy("entry").agg(by_rate.alias("rates")).select("entry", F.inline("rates"))
     a, b = (F.col("a") + 0.1) / (n[1] + 0.2), (F.col("b") + 0.1) / (n[0] + 0.2)
     odds = F.log(a * (1 - b) / (b * (1 - a)))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
@@ -221,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     """Model from the labelled rows given; the caller leaves held-out rows out of `labels`. `supervised` trains the classifier on the labels themselves, to compare with."""
     ids = only(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null")
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = only(docs, doc_id=id_col, text="text").join(F.broadcast(ids), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    sample = only(small_batches(docs), doc_id=id_col, text="text").join(F.broadcast(ids), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
     sample = sample.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
     n = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -260,9 +264,9 @@ def _scorer(model: ToxicityModel):
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score (0 to 1) of each whole text."""
-    return only(docs, doc_id="doc_id", text="text").select("doc_id", _scorer(model)("text").alias("score"))
+    return only(small_batches(docs), doc_id="doc_id", text="text").select("doc_id", _scorer(model)("text").alias("score"))
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose score is below `threshold`."""
-    return docs.where(_scorer(model)(docs["text"]) < threshold)
+    return small_batches(docs).where(_scorer(model)(docs["text"]) < threshold)

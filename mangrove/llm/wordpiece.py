@@ -12,11 +12,12 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, small_batches
 
 #: Words longer than this, and all beyond the memo's bound, are walked each time.
 MEMO_WORD, MEMO_WORDS = 48, 200_000
@@ -87,6 +88,12 @@ def byte_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     return [*starts, *(alone - {s for s in starts if len(s) == 1})], rest
 
 
+@lru_cache(maxsize=2)
+def _automaton(vocabulary: str) -> LongestMatch:
+    """Built once a Python worker, not once a task."""
+    return LongestMatch(*byte_vocabulary(vocabulary))
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, words_crc32 per row of `docs`; n_tokens: greedy pieces of all words.
 
@@ -94,7 +101,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = LongestMatch(*byte_vocabulary(vocabulary))
+        automaton = _automaton(vocabulary)
         memo: dict[bytes, int] = {}
 
         def pieces(word: bytes) -> int:
@@ -111,5 +118,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             words = [(t or "").encode().split() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": [len(w) for w in words], "n_tokens": [sum(map(pieces, w)) for w in words], "words_crc32": [zlib.crc32(b" ".join(w)) for w in words]})
 
-    source = only(docs, doc_id=id_col, text=text_col)
+    source = only(small_batches(docs), doc_id=id_col, text=text_col)
     return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, words_crc32 long")

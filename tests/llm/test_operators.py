@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, on small and odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -741,17 +742,49 @@ def test_images_round_trip():
 
 def test_media_query(spark, sf, odd, none):
     rows = queries.op10_media_columns(spark, sf).collect()
-    want = {}
+    want, features = {}, {}
     for d in documents(sf):
         raw = (d["text"] or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         want[d["doc_id"]] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media.encode_image(raw)).hexdigest())
+        samples = list(payload)
+        mean = sum(samples) / len(samples)
+        p = [n / len(samples) for n in Counter(samples).values()]
+        parts = {"mean": mean, "sd": (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5, "entropy": -sum(x * math.log2(x) for x in p), "step": sum(abs(a - b) for a, b in zip(samples, samples[1:], strict=False)) / (len(samples) - 1)}
+        features[d["doc_id"]] = parts
     assert {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) for r in rows} == want
+    for r in rows:
+        told = dict(x.split("=") for x in r["feature"].split(";"))
+        assert told.keys() == features[r["doc_id"]].keys() and all(abs(int(told[k]) / 1000 - v) < 0.0011 for k, v in features[r["doc_id"]].items())
     got = media.media_columns(odd).collect()
     assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((i, len((t or "").encode())) for i, t, *_ in ROWS)
     assert media.media_columns(none).count() == 0
 
 
+def png_samples(media):
+    """An image by the format's own rules: signature, chunks with their checksums, 8-bit grey, one filter byte a row."""
+    assert media[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, width = 8, b"", 0
+    while at < len(media):
+        (n,), kind, body = struct.unpack(">I", media[at : at + 4]), media[at + 4 : at + 8], media[at + 8 : at + 8 + struct.unpack(">I", media[at : at + 4])[0]]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0]
+        if kind == b"IHDR":
+            width, height, depth, colour = struct.unpack(">IIBB", body[:10])
+            assert (depth, colour) == (8, 0)
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    rows = zlib.decompress(data)
+    assert len(rows) == height * (width + 1)
+    return b"".join(rows[i + 1 : i + 1 + width] for i in range(0, len(rows), width + 1))
+
+
+def test_media_of_odd_ids(spark):
+    rows = [("a\0b", "one"), ("x" * 70_000, "two"), ("/id/", "three"), ("", "four"), (None, "five"), ("\U0001f600 é", "")]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], bytes(r["payload"]).rstrip(b"\0").decode()) for r in got) == Counter(rows)
+    assert all(png_samples(bytes(r["media"])) == bytes(r["payload"]) for r in got)
+
+
 def test_ranges_cover_each_member_once_and_broken_members_fail(spark, odd, tmp_path):
     folder = media.write_archives(odd, str(tmp_path / "m"))
     spark.dataSource.register(media.MediaArchives)
