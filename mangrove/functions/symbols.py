@@ -238,6 +238,19 @@ def spans(nodes: Column, options: str | int = "default") -> Column:
     return _of_tree(schema.SPANS, schema.SPANS_DDL, lambda t: [dict(zip(names, s, strict=True)) for s in printer.spans_of(t, flags)])(nodes)
 
 
+def render(nodes: Column, target: Callable[[], printer.Target], options: str | int = "default") -> Column:
+    """What a caller's print target makes of each tree: str() of a new target that the tree was printed into; null for a text that is too large."""
+    flags = flags_of(options)
+
+    def one(root: Tree) -> str | None:
+        try:
+            return str(printer.print_into(root, target(), flags))
+        except printer.PrintTooLarge:
+            return None
+
+    return _of_tree(pa.string(), "string", one)(nodes)
+
+
 def _mangled(root: Tree, flavor: str, use_punycode: bool) -> dict:
     try:
         return {"mangled": encoder.encode(root, flavor, use_punycode), "error": None}

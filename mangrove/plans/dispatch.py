@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import symbols as S
+from ..kernel.tree import Tree
 
 #: Families of cases that differ in an operator: how the symbol and the text are built around it, and lines of kind, operator and text. Fixed values of the format.
 FAMILIES = {
@@ -280,6 +281,126 @@ emptyList | $sy |  empty-list
 firstElementMarker | $s_ |  first-element-marker 
 """
 
+#: Symbols of the former grammar: kind, symbol, text and what it encodes to in the present one. Fixed values of the format.
+FORMER = """
+structure | _TtV{b} | {q} | $s{b}VD
+class | _TtC{b} | {q} | $s{b}CD
+enum | _TtO{b} | {q} | $s{b}OD
+protocolList | _TtP{b}_ | {q} | $s{b}_pD
+boundGenericStructure | _TtGSaV{b}_ | Swift.Array<{q}> | $sSay{b}VGD
+boundGenericEnum | _TtGSqV{b}_ | Swift.Optional<{q}> | $s{b}VSgD
+boundGenericStructure | _TtGVs10DictionarySSV{b}_ | Swift.Dictionary<Swift.String, {q}> | $sSDySS{b}VGD
+tuple | _TtTV{b}Si_ | ({q}, Swift.Int) | $s{b}V_SitD
+tuple | _TtT1aV{b}1bSi_ | (a: {q}, b: Swift.Int) | $s{b}V1a_Si1btD
+functionType | _TtFV{b}Si | ({q}) -> Swift.Int | $sSi{b}VcD
+uncurriedFunctionType | _TtfV{b}Si | ({q}) -> Swift.Int | $sSi{b}VXUD
+functionType | _TtFT_V{b} | () -> {q} | $s{b}VycD
+autoClosureType | _TtKT_V{b} | @autoclosure () -> {q} | $s{b}VyXKD
+objCBlock | _TtbT_V{b} | @convention(block) () -> {q} | $s{b}VyXBD
+cFunctionPointer | _TtcT_V{b} | @convention(c) () -> {q} | $s{b}VyXCD
+functionType | _TtFzT_V{b} | () throws -> {q} | $s{b}VyKcD
+metatype | _TtMV{b} | {q}.Type | $s{b}VmD
+metatype | _TtXMtV{b} | @thick {q}.Type | $s{b}VXMTD
+inOut | _TtRV{b} | inout {q} | $s{b}VzD
+weak | _TtXwGSqC{b}_ | weak Swift.Optional<{q}> | $s{b}CSgXwD
+unowned | _TtXoC{b} | unowned {q} | $s{b}CXoD
+unmanaged | _TtXuC{b} | unowned(unsafe) {q} | $s{b}CXuD
+dynamicSelf | _TtDC{b} | Self | $s{b}CXDD
+builtinTypeName | _TtBi32_ | Builtin.Int32 | $sBi32_D
+builtinTypeName | _TtBf64_ | Builtin.FPIEEE64 | $sBf64_D
+builtinTypeName | _TtBo | Builtin.NativeObject | $sBoD
+builtinTypeName | _TtBp | Builtin.RawPointer | $sBpD
+builtinTypeName | _TtBw | Builtin.Word | $sBwD
+builtinTypeName | _TtBv4Bi8_ | Builtin.Vec4xInt8 | $sBi8_Bv4_D
+function | _TF{b}FT_T_ | {q}() -> () | $s{b}yyF
+function | _TF{b}FTSi1aSS_T_ | {q}(Swift.Int, a: Swift.String) -> () | $s{b}ySi_SS1atF
+function | _TF{b}FzT_T_ | {q}() throws -> () | $s{b}yyKF
+function | _TF{b}urFxT_ | {q}<A>(A) -> () | $s{b}yxlF
+function | _TF{b}uRxs8HashablerFxT_ | {q}<A where A: Swift.Hashable>(A) -> () | $s{b}yxSHRzlF
+function | _TFV{b}3foofT_T_ | {q}.foo() -> () | $s{b}V3fooyyF
+function | _TFC{b}3foofT_T_ | {q}.foo() -> () | $s{b}C3fooyyF
+static | _TZFC{b}3foofT_T_ | static {q}.foo() -> () | $s{b}C3fooyyFZ
+constructor | _TFC{b}cfT_S0_ | {q}.init() -> {q} | $s{b}CACyXUfc
+allocator | _TFC{b}CfT_S0_ | {q}.__allocating_init() -> {q} | $s{b}CACyXUfC
+deallocator | _TFC{b}D | {q}.__deallocating_deinit | $s{b}CfD
+destructor | _TFC{b}d | {q}.deinit | $s{b}Cfd
+iVarDestroyer | _TFC{b}E | {q}.__ivar_destroyer | $s{b}CfE
+iVarInitializer | _TFC{b}e | {q}.__ivar_initializer | $s{b}Cfe
+getter | _TFC{b}g1aSi | {q}.a.getter : Swift.Int | $s{b}C1aSivg
+setter | _TFC{b}s1aSi | {q}.a.setter : Swift.Int | $s{b}C1aSivs
+materializeForSet | _TFC{b}m1aSi | {q}.a.materializeForSet : Swift.Int | $s{b}C1aSivm
+willSet | _TFC{b}w1aSi | {q}.a.willset : Swift.Int | $s{b}C1aSivw
+didSet | _TFC{b}W1aSi | {q}.a.didset : Swift.Int | $s{b}C1aSivW
+unsafeMutableAddressor | _TFC{b}au1aSi | {q}.a.unsafeMutableAddressor : Swift.Int | $s{b}C1aSivau
+unsafeAddressor | _TFC{b}lu1aSi | {q}.a.unsafeAddressor : Swift.Int | $s{b}C1aSivlu
+nativeOwningMutableAddressor | _TFC{b}ao1aSi | {q}.a.nativeOwningMutableAddressor : Swift.Int | $s{b}C1aSivao
+nativeOwningAddressor | _TFC{b}lo1aSi | {q}.a.nativeOwningAddressor : Swift.Int | $s{b}C1aSivlo
+owningMutableAddressor | _TFC{b}aO1aSi | {q}.a.owningMutableAddressor : Swift.Int | $s{b}C1aSivaO
+owningAddressor | _TFC{b}lO1aSi | {q}.a.owningAddressor : Swift.Int | $s{b}C1aSivlO
+nativePinningMutableAddressor | _TFC{b}ap1aSi | {q}.a.nativePinningMutableAddressor : Swift.Int | $s{b}C1aSivaP
+nativePinningAddressor | _TFC{b}lp1aSi | {q}.a.nativePinningAddressor : Swift.Int | $s{b}C1aSivlp
+variable | _TvC{b}1aSi | {q}.a : Swift.Int | $s{b}C1aSivp
+initializer | _TIvC{b}1aSii | variable initialization expression of {q}.a : Swift.Int | $s{b}C1aSivpfi
+defaultArgumentInitializer | _TIF{b}FT1aSi_T_A_ | default argument 0 of {q}(a: Swift.Int) -> () | $s{b}ySi1a_tFfA_
+explicitClosure | _TFF{b}FT_T_U_FT_T_ | closure #1 () -> () in {q}() -> () | $s{b}yyFyycfU_
+implicitClosure | _TFF{b}FT_T_u_FT_T_ | implicit closure #1 () -> () in {q}() -> () | $s{b}yyFyycfu_
+function | _TFF{b}FT_T_L_3barFT_T_ | bar #1 () -> () in {q}() -> () | $s{b}yyF3barL_yyF
+function | _TF{m}P10_1234567893fooFT_T_ | {r}.(foo in _123456789)() -> () | $s{m}3foo10_123456789LLyyF
+function | _TF{m}oi2eeFTSiSi_Sb | {r}.== infix(Swift.Int, Swift.Int) -> Swift.Bool | $s{m}2eeoiSbSi_SitF
+function | _TF{m}op2eeFSiSb | {r}.== prefix(Swift.Int) -> Swift.Bool | $s{m}2eeopSbSiF
+function | _TF{m}oP2eeFSiSb | {r}.== postfix(Swift.Int) -> Swift.Bool | $s{m}2eeoPSbSiF
+typeMetadata | _TMV{b} | type metadata for {q} | $s{b}VN
+fullTypeMetadata | _TMfV{b} | full type metadata for {q} | $s{b}VMf
+typeMetadataAccessFunction | _TMaV{b} | type metadata accessor for {q} | $s{b}VMa
+nominalTypeDescriptor | _TMnV{b} | nominal type descriptor for {q} | $s{b}VMn
+metaclass | _TMmC{b} | metaclass for {q} | $s{b}CMm
+typeMetadataLazyCache | _TMLV{b} | lazy cache variable for type metadata for {q} | $s{b}VML
+genericTypeMetadataPattern | _TMPV{b} | generic type metadata pattern for {q} | $s{b}VMP
+valueWitnessTable | _TWVV{b} | value witness table for {q} | $s{b}VWV
+fieldOffset | _TWvdvC{b}1aSi | direct field offset for {q}.a : Swift.Int | $s{b}C1aSivpWvd
+fieldOffset | _TWvivC{b}1aSi | indirect field offset for {q}.a : Swift.Int | $s{b}C1aSivpWvi
+protocolWitnessTable | _TWPV{b}s8Hashable{m} | protocol witness table for {q} : Swift.Hashable in {r} | $s{b}VSHAAWP
+protocolWitnessTableAccessor | _TWaV{b}s8Hashable{m} | protocol witness table accessor for {q} : Swift.Hashable in {r} | $s{b}VSHAAWa
+valueWitness | _TwalV{b} | allocateBuffer value witness for {q} | $s{b}Vwal
+valueWitness | _TwtaV{b} | assignWithTake value witness for {q} | $s{b}Vwta
+valueWitness | _TwdeV{b} | deallocateBuffer value witness for {q} | $s{b}Vwde
+valueWitness | _TwxxV{b} | destroy value witness for {q} | $s{b}Vwxx
+valueWitness | _TwXXV{b} | destroyBuffer value witness for {q} | $s{b}VwXX
+valueWitness | _TwCPV{b} | initializeBufferWithCopyOfBuffer value witness for {q} | $s{b}VwCP
+valueWitness | _TwCpV{b} | initializeBufferWithCopy value witness for {q} | $s{b}VwCp
+valueWitness | _TwcpV{b} | initializeWithCopy value witness for {q} | $s{b}Vwcp
+valueWitness | _TwTkV{b} | initializeBufferWithTake value witness for {q} | $s{b}VwTk
+valueWitness | _TwtkV{b} | initializeWithTake value witness for {q} | $s{b}Vwtk
+valueWitness | _TwprV{b} | projectBuffer value witness for {q} | $s{b}Vwpr
+valueWitness | _TwTKV{b} | initializeBufferWithTakeOfBuffer value witness for {q} | $s{b}VwTK
+valueWitness | _TwCcV{b} | initializeArrayWithCopy value witness for {q} | $s{b}VwCc
+valueWitness | _TwTtV{b} | initializeArrayWithTakeFrontToBack value witness for {q} | $s{b}VwTt
+valueWitness | _TwtTV{b} | initializeArrayWithTakeBackToFront value witness for {q} | $s{b}VwtT
+valueWitness | _TwxsV{b} | storeExtraInhabitant value witness for {q} | $s{b}Vwxs
+valueWitness | _TwxgV{b} | getExtraInhabitantIndex value witness for {q} | $s{b}Vwxg
+valueWitness | _TwugV{b} | getEnumTag value witness for {q} | $s{b}Vwug
+valueWitness | _TwupV{b} | destructiveProjectEnumData value witness for {q} | $s{b}Vwup
+objCAttribute | _TToFC{b}3foofT_T_ | @objc {q}.foo() -> () | $s{b}C3fooyyFTo
+nonObjCAttribute | _TTOF{b}FT_T_ | @nonobjc {q}() -> () | $s{b}yyFTO
+directMethodReferenceAttribute | _TTdFC{b}3foofT_T_ | super {q}.foo() -> () | $s{b}C3fooyyFTd
+dynamicAttribute | _TTDFC{b}3foofT_T_ | dynamic {q}.foo() -> () | $s{b}C3fooyyFTD
+genericSpecialization | _TTSg5Si___TF{b}FT_T_ | generic specialization <Swift.Int> of {q}() -> () | $s{b}yyFSi_Tg5
+genericSpecialization | _TTSgq5Si___TF{b}FT_T_ | generic specialization <serialized, Swift.Int> of {q}() -> () | $s{b}yyFSi_Tgq5
+genericSpecializationNotReAbstracted | _TTSr5Si___TF{b}FT_T_ | generic not re-abstracted specialization <Swift.Int> of {q}() -> () | $s{b}yyFSi_TG5
+functionSignatureSpecialization | _TTSf1n___TF{b}FT_T_ | function signature specialization <> of {q}() -> () | $s{b}yyFTf1n_n
+functionSignatureSpecialization | _TTSf1d___TF{b}FT_T_ | function signature specialization <Arg[0] = Dead> of {q}() -> () | $s{b}yyFTf1d_n
+functionSignatureSpecialization | _TTSf1g___TF{b}FT_T_ | function signature specialization <Arg[0] = Owned To Guaranteed> of {q}() -> () | $s{b}yyFTf1g_n
+functionSignatureSpecialization | _TTSf1o___TF{b}FT_T_ | function signature specialization <Arg[0] = Guaranteed To Owned> of {q}() -> () | $s{b}yyFTf1o_n
+functionSignatureSpecialization | _TTSf1s___TF{b}FT_T_ | function signature specialization <Arg[0] = Exploded> of {q}() -> () | $s{b}yyFTf1x_n
+functionSignatureSpecialization | _TTSf1i___TF{b}FT_T_ | function signature specialization <Arg[0] = Value Promoted from Box> of {q}() -> () | $s{b}yyFTf1i_n
+functionSignatureSpecialization | _TTSf1dg___TF{b}FT_T_ | function signature specialization <Arg[0] = Dead and Owned To Guaranteed> of {q}() -> () | $s{b}yyFTf1dG_n
+functionSignatureSpecialization | _TTSf1cpi12___TF{b}FT_T_ | function signature specialization <Arg[0] = [Constant Propagated Integer : 12]> of {q}() -> () | $s{b}yyFTf1pi12_n
+functionSignatureSpecialization | _TTSf1cpfl12___TF{b}FT_T_ | function signature specialization <Arg[0] = [Constant Propagated Float : 12]> of {q}() -> () | $s{b}yyFTf1pd12_n
+function | _TFE3ExtV{b}3foofT_T_ | (extension in Ext):{q}.foo() -> () | $s{b}V3ExtE3fooyyF
+implFunctionType | _TtXFo_oV{b}_dSi_ | @callee_owned (@owned {q}) -> (@unowned Swift.Int) | $s{b}VSiIxxd_D
+implFunctionType | _TtXFo__dV{b}_ | @callee_owned () -> (@unowned {q}) | $s{b}VIxd_D
+"""
+
 
 def _families() -> dict[str, list[tuple[str, str, str, str]]]:
     """(kind, symbol, text, encoded) per family."""
@@ -289,9 +410,10 @@ def _families() -> dict[str, list[tuple[str, str, str, str]]]:
             kind, op, *words = line.split(" ", 2)
             mangled = symbol.replace("{op}", op)
             out.setdefault(name, []).append((kind, mangled, text.replace("{text}", words[0] if words else "").removeprefix(" "), mangled))
-    for line in CASES.strip("\n").splitlines():
-        kinds, symbol, text, *encoded = line.split(" | ")
-        out.setdefault("forms", []).extend((kind, symbol, text, encoded[0] if encoded else symbol) for kind in kinds.split())
+    for name, lines in (("forms", CASES), ("former_grammar", FORMER)):
+        for line in lines.strip("\n").splitlines():
+            kinds, symbol, text, *encoded = line.split(" | ")
+            out.setdefault(name, []).extend((kind, symbol, text, encoded[0] if encoded else symbol) for kind in kinds.split())
     return out
 
 
@@ -451,8 +573,43 @@ def dispatch_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", "symbol", S.decode_type(F.col("symbol")).alias("type"), F.variant_get(json, "$.type", "string").alias("callback"))
 
 
+#: Kinds that only a resolver of symbolic references makes: the kind, a type of such a reference (its byte as in the symbol) and the type's text.
+REFERENCES = [
+    ("typeSymbolicReference", "\x01", "type symbolic reference 0x1000"),
+    ("protocolSymbolicReference", "\x02_p", "protocol symbolic reference 0x1000"),
+    ("objectiveCProtocolSymbolicReference", "\x0c_p", "objective-c protocol symbolic reference 0x1000"),
+    ("uniqueExtendedExistentialTypeShapeSymbolicReference", "\x0aSiXj", "symbolic existential type (unique) 0x1000 <Swift.Int>"),
+    ("nonUniqueExtendedExistentialTypeShapeSymbolicReference", "\x0bSiXj", "symbolic existential type (non-unique) 0x1000 <Swift.Int>"),
+    ("symbolicExtendedExistentialType", "\x0bSSXj", "symbolic existential type (non-unique) 0x1000 <Swift.String>"),
+]
+
+
+def _resolve(kind: str, way: str, number: int) -> Tree:
+    if kind == "context":
+        return Tree("type", (Tree("typeSymbolicReference" if way == "direct" else "protocolSymbolicReference", index=4096),))
+    node = Tree(kind if kind == "accessorFunctionReference" else kind + "SymbolicReference", index=4096)
+    return Tree("type", (node,)) if kind == "objectiveCProtocol" else node
+
+
+def _resolve_opaque(kind: str, way: str, number: int) -> Tree:
+    return Tree("opaqueTypeDescriptorSymbolicReference", index=4096)
+
+
+def dispatch_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(f"$s{of}_{{b}}VtD").alias("form")) for kind, of, _ in REFERENCES])
+    others = [("accessorFunctionReference", "$s\x09", _resolve), ("opaqueTypeDescriptorSymbolicReference", "$s\x01yQo_D", _resolve_opaque)]
+    names = _names(spark, sf_dir)
+    out = None
+    for cases, resolver in ((_symbols(names, table).select("n_nationkey", "case.kind", "symbol"), _resolve), *((names.select("n_nationkey", F.lit(kind).alias("kind"), F.lit(symbol).alias("symbol")), resolver) for kind, symbol, resolver in others)):
+        parsed = cases.select("n_nationkey", "kind", S.demangle(F.col("symbol"), resolver=resolver).alias("parsed")).select("n_nationkey", "kind", F.col("parsed.tree").alias("nodes"))
+        rows = parsed.select("n_nationkey", "kind", F.exists("nodes", lambda x: x["kind"] == F.col("kind")).alias("reached"), S.print_tree(F.col("nodes")).alias("printed"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 _CASES = _families()
-QUERIES = {f"dispatch_{name}": _query(cases) for name, cases in _CASES.items()} | {"dispatch_types": dispatch_types}
+QUERIES = {f"dispatch_{name}": _query(cases) for name, cases in _CASES.items()} | {"dispatch_types": dispatch_types, "dispatch_references": dispatch_references}
 ORACLES = {f"dispatch_{name}": _sql(cases) for name, cases in _CASES.items()} | {
-    "dispatch_types": f"WITH c(form, type, callback) AS (VALUES {_values(_TYPES)}), {NAMES} SELECT n_nationkey, {_fill('form', b='m || n', m='m', n='n')} AS symbol, {_fill('type', n='n_name')} AS type, callback FROM t, c"
+    "dispatch_types": f"WITH c(form, type, callback) AS (VALUES {_values(_TYPES)}), {NAMES} SELECT n_nationkey, {_fill('form', b='m || n', m='m', n='n')} AS symbol, {_fill('type', n='n_name')} AS type, callback FROM t, c",
+    "dispatch_references": f"WITH c(kind, text) AS (VALUES {_values([(k, '(' + text + ', {q})') for k, _, text in REFERENCES] + [('accessorFunctionReference', 'accessor function at 4096'), ('opaqueTypeDescriptorSymbolicReference', 'opaque type symbolic reference 0x1000.0')])}), {NAMES} SELECT n_nationkey, kind, TRUE AS reached, {_fill('text', q="r_name || '.' || n_name")} AS printed FROM t, c",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols as S
 from ..kernel.parser import demangle, word
+from ..kernel.printer import Target
 from ..kernel.tree import Tree
 from ..operators import nodes as N
 from ..sources import symbols as sources
@@ -506,6 +507,30 @@ def type_reference_scopes(spark, sf_dir):
     return rows.select("symbol", of(F.get("refs", F.lit(0))).alias("outer_text"), of(F.get("refs", F.lit(1))).alias("inner_text"), of(F.lit(None).cast("string")).alias("loose_text"))
 
 
+class Braces(Target):
+    """Type references in braces, declared names in capitals."""
+
+    def __init__(self) -> None:
+        self.out = ""
+
+    def write(self, text, state, kind, parent):
+        self.out += text.upper() if state == "identifier" else text
+
+    def push_scope(self, node):
+        self.out += "{"
+
+    def pop_scope(self):
+        self.out += "}"
+
+    def __str__(self) -> str:
+        return self.out
+
+
+@query(f"WITH {NOM} SELECT nom || 'VSgD' AS symbol, '{{Swift.OPTIONAL}}<{{' || r_name || '.' || upper(n_name) || '}}>' AS rendered FROM t")
+def rendered_targets(spark, sf_dir):
+    return _parsed(spark, sf_dir, "VSgD").select("symbol", S.render(F.col("tree"), Braces).alias("rendered"))
+
+
 EVENT = "'$s' || length(event_type) || event_type || '1TV'"
 
 

@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from mangrove.kernel import punycode, tree
 from mangrove.kernel.encoder import SymbolEncodeError, encode
 from mangrove.kernel.parser import SymbolError, demangle, prefix_of
-from mangrove.kernel.printer import PRESETS, PrintTooLarge, spans_of, text_of
+from mangrove.kernel.printer import PRESETS, PrintTooLarge, spans_of, text_of, Target, print_into
 from mangrove.kernel.tree import Tree
-from mangrove.kernel.types import JsonBuilder, TypeError_, decode_symbol
+from mangrove.kernel.types import JsonBuilder, TextBuilder, TypeError_, decode, decode_symbol
 from mangrove.kernel.wording import classes
 
 TEXT = (Path(__file__).resolve().parents[1] / "FIXTURES.md").read_text()
@@ -239,3 +239,81 @@ def test_spans_name_their_type_reference():
     outer, inner = (n.digest() for n in node.instances() if n.kind == "structure")
     scopes = {scope: "".join(s[0] for s in spans_of(node) if s[4] == scope) for scope in (outer, inner, None)}
     assert scopes == {outer: "Swift.Array", inner: "Swift.Int", None: "<>"}
+
+
+def test_parts_are_encoded_on_their_own():
+    leaf = lambda kind, **value: Tree(kind, **value)
+    module = Tree("module", text="main")
+    named = Tree("type", (Tree("class", (module, Tree("identifier", text="C"))),))
+    assert encode(leaf("indexSubset", text="SUS")) == "SUS" and encode(leaf("directness", index=1)) == "i" and encode(leaf("packElementLevel", index=0)) == "_"
+    assert encode(Tree("declContext", (module,))) == "4main" and encode(leaf("clangType", text="abc")) == "3abc"
+    assert encode(Tree("global", (Tree("reflectionMetadataSuperclassDescriptor", named.kids),))) == "_$s4main1CCMC"
+    assert encode(Tree("globalVariableOnceDeclList", (Tree("identifier", text="a"), Tree("identifier", text="b")))) == "1a_1b_"
+    assert encode(Tree("functionSignatureSpecializationReturn")) == "n"
+    with pytest.raises(SymbolError):
+        demangle("$sSi_SStMC")
+
+
+def test_superclass_descriptors():
+    node = demangle("$s4main1CCMC")
+    assert text_of(node) == "reflection metadata superclass descriptor main.C" and encode(node) == "_$s4main1CCMC"
+
+
+def test_pack_expansions_call_back():
+    class Two(TextBuilder):
+        def __init__(self):
+            self.log = []
+
+        def expand(self, count):
+            self.log.append(f"begin {count}")
+            return 2
+
+        def advance(self, index):
+            self.log.append(index)
+
+        def expanded(self, element):
+            return f"{element}#{self.log[-1]}"
+
+        def end_expansion(self):
+            self.log.append("end")
+
+    two = Two()
+    assert decode_symbol("$sxxQp_SiQPD", two) == "Pack{τ_0_0#0, τ_0_0#1, Int}" and two.log == ["begin τ_0_0", 0, 1, "end"]
+    assert decode_symbol("$sxxQp_SiQPD") == "Pack{repeat τ_0_0, Int}"
+
+
+def test_references_and_lowered_packs_are_decoded():
+    reference = lambda kind: Tree("type", (Tree(kind, index=4096),))
+    assert decode(reference("typeSymbolicReference")) == "<typeSymbolicReference 0x1000>"
+    assert decode(reference("protocolSymbolicReference")) == "any <protocolSymbolicReference 0x1000>"
+    pack = Tree("silPackIndirect", (reference("typeSymbolicReference"),))
+    assert decode(pack).startswith("@indirect Pack{") and decode(pack.renamed("silPackDirect"), JsonBuilder())["address"] is False
+    assert decode_symbol("$sBi32_D", JsonBuilder()) == {"type": "builtin", "name": "Builtin.Int32", "mangled": "Bi32_"}
+
+
+def test_conformances_are_told_from_superclasses_by_the_builder():
+    class Never(TextBuilder):
+        def is_existential(self, of):
+            return False
+
+        def requirement(self, kind, subject, constraint):
+            return f"{kind} {subject} {constraint}"
+
+    assert "superclass τ_0_0 Hashable" in decode_symbol("$sxz_Si_SHRzlXXD", Never())
+
+
+def test_printing_into_a_target():
+    class Log(Target):
+        def __init__(self):
+            self.log = []
+
+        def write(self, text, state, kind, parent):
+            self.log.append(text)
+
+        def push_scope(self, node):
+            self.log.append(("push", node.kind))
+
+        def pop_scope(self):
+            self.log.append("pop")
+
+    assert print_into(demangle("$s4main3FooVSgD"), Log()).log == [("push", "enum"), "Swift", ".", "Optional", "pop", "<", ("push", "structure"), "main", ".", "Foo", "pop", ">"]

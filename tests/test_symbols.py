@@ -100,9 +100,26 @@ def test_listings(spark, tmp_path):
     rows = sources.read_listing(spark, str(path), "image").collect()
     assert [(r["symbol"], r["offset"]) for r in rows] == [("_$s4main3FooVN", 4096), ("_$s4main3BarV", None)]
     spark.dataSource.register(sources.SymbolListing)
+    odd = tmp_path / "odd.txt"
+    odd.write_bytes(b"ffffffff80000000 T _$s4main3FooVN\n0000000000000001 T _$s4main\xff3FooV\n")
+    read = spark.read.format("symbol_listing").option("paths", odd.as_uri()).load().orderBy("offset").collect()
+    assert [int(r["offset"]) for r in read] == [1, 0xFFFFFFFF80000000] and read[1]["symbol"] == "_$s4main3FooVN"
     assert spark.read.format("symbol_listing").option("paths", str(path)).load().count() == 2
 
 
+def test_interning_straight_from_symbols(symbols):
+    parsed = N.parse(symbols)
+    plain = lambda df: sorted(map(str, df.select("node_hash", "kind", "text", "idx", "kids", "height", "payload_kind").collect()))
+    assert plain(N.intern(parsed)) == plain(N.intern_symbols(symbols)) == plain(N.intern_symbols(symbols, held=1))
+
+
+def test_bulk_fields_and_set_operations(symbols):
+    got = {r["symbol"]: r["t"] for r in symbols.select("symbol", S.texts_of(F.col("symbol"), "module", "identifier", "index").alias("t")).collect()}
+    assert got["$s4main3FooV"] == ["main", "Foo", None] and got["nonsense"] is None and got[None] is None
+    a, b = N.parse(symbols.where("symbol like '%Foo%'")), N.parse(symbols.where("symbol = '$s4main3FooV'"))
+    assert N.corpus_common(a, b).count() == 1 and N.corpus_surplus(a, b).count() == N.roots(a).count() - 1
+
+
 def test_streams(spark, symbols, tmp_path):
     folder, store = str(tmp_path / "in"), str(tmp_path / "store")
     timed = symbols.where("symbol is not null").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:01")))
