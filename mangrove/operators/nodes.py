@@ -15,7 +15,7 @@ from ..kernel import grammar as G
 from ..kernel.parser import SymbolError, demangle
 from ..kernel.tree import display
 from ..kernel.wording import classes
-from ..sources.shared import scratch
+from ..sources.shared import materialise
 
 
 def spread(symbols: DataFrame, column: str = "symbol") -> DataFrame:
@@ -164,24 +164,17 @@ def store_metrics(store: DataFrame) -> DataFrame:
     return both.withColumn("flat_bytes", 12 * F.col("n_nodes") + 4 * F.col("n_edges") + F.col("text_bytes"))
 
 
-def materialize(store: DataFrame, root_hashes: DataFrame, max_height: int = 1024) -> DataFrame:
-    """symbol, path (ordinals from the root), kind, text, idx of each occurrence below given roots (symbol, root_hash): one equi-join a level, until no level is left. After every `max_height` levels what is found is written, so that plans stay bounded."""
+def materialize(store: DataFrame, root_hashes: DataFrame) -> DataFrame:
+    """symbol, path (ordinals from the root), kind, text, idx of each occurrence below given roots (symbol, root_hash): one equi-join a level, each written and read again, until a level is empty."""
     small = store.select("node_hash", "kind", "text", "idx", "kids")
     level = root_hashes.select("symbol", F.col("root_hash").alias("node_hash"), F.array().cast("array<int>").alias("path"))
-    out, height = None, store.agg(F.max("height").alias("h")).collect()[0]["h"] or 0
-    spark, done = store.sparkSession, []
-    for depth in range(height + 1):
-        if depth and depth % max_height == 0:
-            done.append(scratch(spark, "materialized"))
-            out.write.parquet(done[-1])
-            path, types, out = scratch(spark, "level"), level.schema, None
-            level.write.parquet(path)
-            level = spark.read.schema(types).parquet(path)
-        at = level.join(small, "node_hash")
-        rows = at.select("symbol", "path", "kind", "text", "idx")
-        out = rows if out is None else out.unionAll(rows)
+    found: list[DataFrame] = []
+    while not found or not found[-1].isEmpty():
+        at = materialise(level.join(small, "node_hash").select("symbol", "path", "kind", "text", "idx", "kids"), "level")
+        found.append(at)
         level = at.select("symbol", "path", F.posexplode("kids").alias("i", "node_hash")).select("symbol", "node_hash", F.concat("path", F.array("i")).alias("path"))
-    return out.unionAll(spark.read.schema(out.schema).parquet(*done)) if done else out
+    levels = store.sparkSession.read.schema(found[0].schema).parquet(*[at.stored_at for at in found])
+    return levels.select("symbol", "path", "kind", "text", "idx")
 
 
 def equal_trees(a: DataFrame, b: DataFrame) -> DataFrame:

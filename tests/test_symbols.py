@@ -89,9 +89,10 @@ def test_store_round_trip_and_merge(spark, symbols, tmp_path):
 def test_materialize_reaches_every_level(spark, symbols):
     parsed = N.parse(symbols)
     store, roots = N.intern(parsed), N.roots(parsed)
-    rows = lambda **options: sorted(map(str, N.materialize(store, roots, **options).collect()))
     assert store.agg(F.max("height")).collect()[0][0] > 4
-    assert rows(max_height=2) == rows()
+    rows = lambda df: sorted(map(str, df.select("symbol", "kind", "text", "idx").collect()))
+    assert rows(N.materialize(store, roots)) == rows(N.nodes(parsed))
+    assert N.materialize(store, roots.limit(0)).count() == 0
 
 
 def test_listings(spark, tmp_path):
