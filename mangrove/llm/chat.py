@@ -116,7 +116,7 @@ def format_chats(events: DataFrame, chunk: int = 256) -> DataFrame:
 def turn_events(conversations: DataFrame) -> DataFrame:
     """A finished table of turns as a log: each row is one complete message."""
     return conversations.select(
-        conversations["conv_id"].cast("long").alias("conv_id"),
+        conversations["conv_id"],
         conversations["turn"].cast("long").alias("seq"),
         F.lit(None).cast("long").alias("message_id"),
         F.lit("message").alias("kind"),

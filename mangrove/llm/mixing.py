@@ -30,6 +30,7 @@ from .common import WORD, discard, materialise, only, word_count
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -153,11 +154,11 @@ def quotas(pools: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, block: int = 512, shards: int = 64, seed: int = 7, bucket_blocks: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).
 
-    documents: row_key, doc_id, size, source, source_size, target, passes, rest, shard; one row per row of `docs`.
+    documents: row_key, doc_id, size, source, source_size, target, passes, rest, shard, salt; one row per row of `docs`.
     draws: row_key, source, shard, block, words (all words of the block), taken (words of it drawn beyond the whole passes).
     """
     src = only(docs, doc_id="doc_id", source="source", text="text").withColumn("source", F.col("source").cast("string"))
-    sized = materialise(src.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(src).alias("row_key")), "mix-sizes")
+    sized = materialise(src.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(src).alias("row_key"), salt().alias("salt")), "mix-sizes")
     plans = plan_sources(sized)
     shard = F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.lit(shards)).cast("int")
     documents = with_plan(sized, plans).withColumn("shard", shard)
@@ -181,15 +182,31 @@ def mix(docs: DataFrame, block: int = 512, shards: int = 64, seed: int = 7, buck
     return documents, materialise(draws, "mix-draws")
 
 
+def salt() -> Column:
+    """By which rows that are alike in all else are told apart; to be written before it is used twice."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+
+
+def numbered(rows: DataFrame, key: str, salted: str) -> DataFrame:
+    """`rows` with __i, 1 and up among the rows of a key. These meet by (key, salt), so that one row that is repeated any number of times is spread over SALTS tasks."""
+    counts = rows.groupBy(key, salted).agg(F.count("*").alias("c"))
+    before = Window.partitionBy(key).orderBy(salted).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(key).alias("k"), F.col(salted).alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    ranked = rows.withColumn("__row", F.row_number().over(Window.partitionBy(key, salted).orderBy(salted)))
+    return ranked.join(starts, (ranked[key] == starts["k"]) & (ranked[salted] == starts["s"])).withColumn("__i", F.col("start") + F.col("__row")).drop("k", "s", "start", "__row")
+
+
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per row of `docs`: doc_id, size, source_size, target, taken. Rows that repeat an id and a text share out what their blocks drew evenly, the first of them the remainder."""
     documents, draws = mix(docs, **options)
     extra = draws.groupBy("row_key").agg(F.sum("taken").alias("extra"))
-    joined = documents.join(extra, "row_key", "left")
-    same = Window.partitionBy("row_key", "source")
-    counted = joined.withColumns({"n": F.count("*").over(same), "i": F.row_number().over(same.orderBy("size"))})
-    share = F.floor(F.coalesce("extra", F.lit(0)) / F.col("n")) + (F.col("i") <= F.coalesce("extra", F.lit(0)) % F.col("n")).cast("long")
-    return counted.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + share).alias("taken"))
+    drawn = documents.groupBy("row_key").agg(F.count("*").alias("n")).join(extra, "row_key", "left")
+    drawn = materialise(drawn.select(F.col("row_key").alias("k"), "n", F.coalesce("extra", F.lit(0)).alias("extra")), "mix-drawn")
+    joined = documents.join(drawn, documents["row_key"] == drawn["k"])
+    columns = ["doc_id", "source", "size", "source_size", "target", "passes", "n", "extra"]
+    once, repeated = joined.where("n = 1").select(*columns, F.lit(1).cast("long").alias("__i")), numbered(joined.where("n > 1"), "row_key", "salt").select(*columns, "__i")
+    share = F.floor(F.col("extra") / F.col("n")) + (F.col("__i") <= F.col("extra") % F.col("n")).cast("long")
+    return once.unionAll(repeated).select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + share).alias("taken"))
 
 
 def emit(docs: DataFrame, shards: int = 64, block: int = 512, seed: int = 7, **options) -> DataFrame:
@@ -204,9 +221,11 @@ def emit(docs: DataFrame, shards: int = 64, block: int = 512, seed: int = 7, **o
     plan = documents.groupBy("row_key").agg(F.max("passes").alias("__mix_passes"), F.max("size").alias("__mix_size"), F.max("shard").alias("__mix_shard"), F.count("*").alias("__mix_n"))
     plan = materialise(plan.join(parts, "row_key", "left").withColumnRenamed("row_key", "__mix_key").where("__mix_passes > 0 or __mix_parts is not null"), "mix-plan")
     discard(draws)
-    joined = docs.withColumn("__mix_key", row_key(docs)).join(plan, "__mix_key")
-    # The join's own order by key serves this window, which numbers repeated rows only.
-    joined = joined.withColumn("__mix_i", F.row_number().over(Window.partitionBy("__mix_key").orderBy("__mix_key")))
+    keyed = docs.withColumn("__mix_key", row_key(docs))
+    again = materialise(plan.where("__mix_n > 1"), "mix-again")
+    once = keyed.join(plan.where("__mix_n = 1"), "__mix_key").withColumn("__mix_i", F.lit(1).cast("long"))
+    repeated = materialise(keyed.join(again, "__mix_key").withColumn("__mix_salt", salt()), "mix-repeated")
+    joined = once.unionByName(numbered(repeated, "__mix_key", "__mix_salt").withColumnRenamed("__i", "__mix_i").drop("__mix_salt"))
     own = lambda p: F.floor(p["taken"] / F.col("__mix_n")) + (F.col("__mix_i") <= p["taken"] % F.col("__mix_n")).cast("long")
     drawn = F.coalesce(F.aggregate("__mix_parts", F.lit(0).cast("long"), lambda t, p: t + own(p)), F.lit(0))
     word_list = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
