@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _swept: set[str] = set()
@@ -28,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _sweep(spark: SparkSession, folder: str) -> None:
-    """At the end of the process; a context that is stopped already keeps its folder."""
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        delete(spark, folder)
+    """At the end of the process; where the context or its JVM is gone already, the folder stays."""
+    with contextlib.suppress(Py4JError, OSError):
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            delete(spark, folder)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
