@@ -249,71 +249,97 @@ class Bucket:
     bins: list[bytes] | None = None
 
     def near(self, i: int) -> np.ndarray:
-        """Rows after row i that may be near copies of it, of another root where rows have one."""
+        """Rows after row i that may be near copies of it."""
         rows = np.arange(i + 1, max(i + 1, int(np.searchsorted(self.sizes, 5 * int(self.sizes[i]) // 4, "right"))))
-        if self.roots is not None:
-            rows = rows[self.roots[rows] != self.roots[i]]
         return rows[_near(self.sizes, self.fps, np.full(len(rows), i), rows)[0]]
 
-    def apart(self, i: int, rows: np.ndarray) -> np.ndarray:
-        """At least so many shingles are in one of rows i and `rows` only. The longer one's bins are folded onto the shorter one's."""
-        own = np.frombuffer(self.bins[i], np.uint64)
-        out = np.zeros(len(rows), np.int64)
-        lengths = np.array([len(self.bins[r]) // 8 for r in rows], np.int64)
-        for length in np.unique(lengths):
-            of = np.flatnonzero(lengths == length)
-            theirs = np.frombuffer(b"".join([self.bins[r] for r in rows[of]]), np.uint64).reshape(len(of), length)
-            mine = own
-            while theirs.shape[1] > len(mine):
-                half = theirs.shape[1] // 2
-                theirs = theirs[:, :half] ^ theirs[:, half:]
-            while len(mine) > theirs.shape[1]:
-                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
-            out[of] = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+    def near_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, later row) that may be near copies, of different roots where rows have one, sorted; about BLOCK of them are tested at once."""
+        reach = np.searchsorted(self.sizes, 5 * self.sizes.astype(np.int64) // 4, "right")
+        counts = np.maximum(reach - np.arange(len(reach)) - 1, 0)
+        upto = np.cumsum(counts)
+        start = 0
+        while start < len(counts):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BLOCK, "right")))
+            n = counts[start:stop]
+            left = np.repeat(np.arange(start, stop), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            if self.roots is not None:
+                apart = self.roots[left] != self.roots[right]
+                left, right = left[apart], right[apart]
+            ok = _near(self.sizes, self.fps, left, right)[0]
+            yield left[ok], right[ok]
+            start = stop
+
+    def folded(self) -> dict[int, tuple[int, np.ndarray]]:
+        """By number of words of bins: the first row that has so many, and the bins of the rows that have so many or twice as many, the latter folded onto them. Rows whose sizes are in the ratio have no others."""
+        lengths = np.array([len(b) // 8 for b in self.bins])
+        out = {}
+        for n in np.unique(lengths).tolist():
+            start, middle, end = (int(np.searchsorted(lengths, *at)) for at in ((n, "left"), (n, "right"), (2 * n, "right")))
+            own = np.frombuffer(b"".join(self.bins[start:middle]), np.uint64).reshape(-1, n)
+            longer = np.frombuffer(b"".join(self.bins[middle:end]), np.uint64).reshape(-1, 2 * n)
+            out[n] = start, np.concatenate((own, longer[:, :n] ^ longer[:, n:]))
         return out
 
-    def open_pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(row, rows, how far apart at least) for all pairs that may be near."""
-        for i in range(len(self.sizes) - 1):
-            rows = self.near(i)
-            if len(rows):
-                apart = self.apart(i, rows)
+    def open_pairs(self) -> np.ndarray:
+        """(row, later row, how many shingles at least are in one of them only) for all pairs that may be near."""
+        folded, out = self.folded(), [_NO_PAIRS]
+        words = np.array([len(b) // 8 for b in self.bins])
+        for left, right in self.near_pairs():
+            for n in np.unique(words[left]).tolist():
+                start, rows = folded[n]
+                of = words[left] == n
+                a, b = left[of], right[of]
+                apart = np.zeros(len(a), np.int64)
+                for at in range(0, len(a), BLOCK // 16):
+                    part = slice(at, at + BLOCK // 16)
+                    apart[part] = np.bitwise_count(rows[a[part] - start] ^ rows[b[part] - start]).sum(1, dtype=np.int64)
                 # |a & b| / |a | b| >= 4 / 5 where 9 times what only one has <= |a| + |b|.
-                holds = 9 * apart <= self.sizes[i].astype(np.int64) + self.sizes[rows]
-                if holds.any():
-                    yield i, rows[holds], apart[holds]
+                holds = 9 * apart <= self.sizes[a].astype(np.int64) + self.sizes[b]
+                out.append(np.stack((a, b, apart))[:, holds])
+        return np.concatenate(out, 1)
 
 
 def _led(bucket: Bucket) -> tuple[np.ndarray, bool]:
     """Pairs (leader, row, distance), each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
     free, out = np.ones(len(bucket.sizes), bool), []
-    for i in range(len(free) - 1):
-        if free[i]:
-            rows = bucket.near(i)
-            rows = rows[free[rows]]
-            if len(rows):
-                out.append(np.stack((np.full(len(rows), i), rows, np.bitwise_count(bucket.fps[i] ^ bucket.fps[rows]))))
-                free[rows] = False
+
+    def lead(i: int, rows: np.ndarray) -> None:
+        rows = rows[free[rows]]
+        if free[i] and len(rows):
+            out.append(np.stack((np.full(len(rows), i), rows, np.bitwise_count(bucket.fps[i] ^ bucket.fps[rows]))))
+            free[rows] = False
+
+    if len(free) <= LED_AT_ONCE:
+        for left, right in bucket.near_pairs():
+            heads = np.flatnonzero(np.diff(left, prepend=-1))
+            for i, rows in zip(left[heads].tolist(), np.split(right, heads[1:]), strict=False):
+                lead(i, rows)
+    else:
+        # Of a large group most rows have a leader soon; only leaders are tested with what follows.
+        for i in range(len(free) - 1):
+            if free[i]:
+                lead(i, bucket.near(i))
     return np.concatenate(out, 1) if out else _NO_PAIRS, len(free) > 2 and bool(out)
 
 
 def _nearest(bucket: Bucket) -> tuple[np.ndarray, bool]:
     """Pairs (row, row, distance): each row's partner of another root that is nearest by the bins."""
-    best = np.full((2, len(bucket.sizes)), -1, np.int64)
-    for i, rows, apart in bucket.open_pairs():
-        for one, other, far in [(np.array([i]), rows[[np.argmin(apart)]], apart.min(keepdims=True)), (rows, np.full(len(rows), i), apart)]:
-            better = (best[0, one] < 0) | (far < best[1, one])
-            best[0, one[better]], best[1, one[better]] = other[better], far[better]
-    rows = np.flatnonzero(best[0] >= 0)
-    return np.stack((best[0, rows], rows, best[1, rows])), False
+    a, b, apart = bucket.open_pairs()
+    one, other, far = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
+    order = np.lexsort((other, far, one))
+    first = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
+    return np.stack((other[first], one[first], far[first])), False
 
 
 def _across(bucket: Bucket) -> tuple[np.ndarray, bool]:
     """All pairs (row, row, distance) that may be near and have different roots."""
-    out = [np.stack((np.full(len(rows), i), rows, apart)) for i, rows, apart in bucket.open_pairs()]
-    return np.concatenate(out, 1) if out else _NO_PAIRS, False
+    return bucket.open_pairs(), False
 
 
+#: Rows of a bucket whose pairs are all tested at once to find leaders.
+LED_AT_ONCE = 256
 _NO_PAIRS = np.zeros((3, 0), np.int64)
 
 
