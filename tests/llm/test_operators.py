@@ -253,6 +253,31 @@ def test_water_filling():
     assert plans[2].target == 30 and plans[4].target == 15 and abs(plans[1].target / plans[0].target - 2) < 1e-9
 
 
+def brute_targets(sizes):
+    """Share by weight among the sources that are not at their cap, round after round, in fractions."""
+    from fractions import Fraction
+
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: [1, 2, 3][i % 3] for i, x in enumerate(names)}
+    target, open_, left = dict.fromkeys(names, Fraction(0)), set(names), Fraction(sum(sizes.values()))
+    while left > 0 and open_:
+        part = left / sum(weight[x] for x in open_)
+        for x in sorted(open_, key=names.index):
+            more = min(part * weight[x], 3 * sizes[x] - target[x])
+            target[x] += more
+            left -= more
+        open_ = {x for x in open_ if target[x] < 3 * sizes[x]}
+    return target
+
+
+def test_targets_are_those_of_rounds_in_fractions():
+    rng = random.Random(21)
+    for _ in range(50):
+        sizes = {rng.choice([None, *map(str, range(30))]): rng.choice([0, 1, rng.randint(1, 50), rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 20))}
+        want = brute_targets(sizes)
+        assert all(abs(p.target - want[p.source]) < 1e-6 * max(1, p.size) for p in mixing.water_fill(list(sizes.items())))
+
+
 def test_splitting_tree_is_exact():
     pools = [1000, 37, 0, 250_000, 12, 10**13, 5]
     for quota in (0, 1, 1000, 10**12, sum(pools)):
@@ -327,7 +352,7 @@ def test_mixing(spark, odd, none):
     by = Counter()
     for d in docs:
         by[d["source"]] += sizes[d["doc_id"]]
-    target = {p.source: p.target for p in mixing.water_fill(list(by.items()))}
+    target = brute_targets(by)
     rows = queries.op5_mixing(spark, sf).collect()
     source = {d["doc_id"]: d["source"] for d in docs}
     taken = Counter()
