@@ -14,7 +14,9 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,18 @@ def binary_pieces(length: int, most: int = 1024) -> list[int]:
     return out + [1 << b for b in range(most.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-class Ids:
-    """Ids of the vocabulary files, special tokens that a text spells out included, as the tokenizer gives them: the rank file's encoder, which gives the ids of the tokenizer file several times faster, and the tokenizer itself for very long texts."""
+def special_tokens(tokenizer_file: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
 
-    def __init__(self, tokenizer_file: str, rank_file: str | None, pattern: str | None) -> None:
-        from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(tokenizer_file)
-        special = {token.content: number for number, token in self.plain.get_added_tokens_decoder().items()}
+class Ids:
+    """Ids of the vocabulary files, special tokens that a text spells out included, as the tokenizer gives them: the rank file's encoder, which gives the ids of the tokenizer file several times
+    faster, and the tokenizer itself, read when it is needed, for very long texts or where there is no rank file."""
+
+    def __init__(self, tokenizer_file: str, rank_file: str | None, pattern: str | None, special: dict[str, int]) -> None:
+        self.tokenizer_file = tokenizer_file
         self.fast = None
         if rank_file and pattern:
             import tiktoken
@@ -51,6 +57,12 @@ class Ids:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_file)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and len(text) <= LONG_TEXT:
             return np.array(self.fast.encode(text, allowed_special="all", disallowed_special=()), dtype="<u4")
@@ -60,10 +72,11 @@ class Ids:
 def pack(docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, pattern: str | None = None, most: int = 1024) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     source = only(small_batches(docs), doc_id="doc_id", text="text")
+    special = special_tokens(tokenizer_file)
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids(tokenizer_file, rank_file, pattern)
+        encode = Ids(tokenizer_file, rank_file, pattern, special)
         part = TaskContext.get().partitionId()
         made: dict[int, int] = {}
         for batch in batches:

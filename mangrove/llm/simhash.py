@@ -48,8 +48,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = (0, 13, 26, 39, 52)
 #: Buckets of more rows than this emit a spanning forest.
 SMALL = 8
-#: Pairs tested at once.
-BLOCK = 1 << 20
+#: Pairs tested at once, by fingerprints and by bins.
+BLOCK, BIN_BLOCK = 1 << 17, 1 << 13
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -107,7 +107,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Texts handled at once by a Python worker.
 SLICE = 256
 #: Rows of buckets handled at once, if a bucket has no more.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 20_000
 MOST_BINS = 1 << 15
 
 
@@ -292,8 +292,8 @@ class Bucket:
                 of = words[left] == n
                 a, b = left[of], right[of]
                 apart = np.zeros(len(a), np.int64)
-                for at in range(0, len(a), BLOCK // 16):
-                    part = slice(at, at + BLOCK // 16)
+                for at in range(0, len(a), BIN_BLOCK):
+                    part = slice(at, at + BIN_BLOCK)
                     apart[part] = np.bitwise_count(rows[a[part] - start] ^ rows[b[part] - start]).sum(1, dtype=np.int64)
                 # |a & b| / |a | b| >= 4 / 5 where 9 times what only one has <= |a| + |b|.
                 holds = 9 * apart <= self.sizes[a].astype(np.int64) + self.sizes[b]

@@ -45,6 +45,8 @@ STEMS, HEAD = range(4, 10), 4
 RATES = (0, 200, 100, 50)
 #: Candidates that reach the driver, and of those the ones counted.
 CANDIDATES, COUNTED = 20_000, 256
+#: Texts whose entries a Python worker holds at once.
+COUNTED_AT_ONCE = 200
 #: Texts of label 1 that one of label 0 outweighs in the order of candidates.
 COST = 3
 #: Texts not well covered yet that a voter must reach.
@@ -201,12 +203,14 @@ def candidates(sample: DataFrame, n: dict[int, int], min_docs: int) -> list[tupl
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for label, text in zip(batch["label"], batch["text"], strict=True):
-                found, words = all_entries(text)
-                seen[int(label)].update((e, sum(fires(k, rate, words) for rate in RATES[1:])) for e, k in found.items() if k)
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"entry": [e for e, _ in keys], "strict": [r for _, r in keys], "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
+            for at in range(0, len(batch), COUNTED_AT_ONCE):
+                seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+                part = batch.iloc[at : at + COUNTED_AT_ONCE]
+                for label, text in zip(part["label"], part["text"], strict=True):
+                    found, words = all_entries(text)
+                    seen[int(label)].update((e, sum(fires(k, rate, words) for rate in RATES[1:])) for e, k in found.items() if k)
+                keys = list(seen[0].keys() | seen[1].keys())
+                yield pd.DataFrame({"entry": [e for e, _ in keys], "strict": [r for _, r in keys], "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
 
     # A text counts for the strictest rate that fires, and so for those before it.
     found = sample.mapInPandas(count, "entry string, strict int, a long, b long")
