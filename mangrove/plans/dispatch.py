@@ -127,6 +127,261 @@ objCResilientClassStub Ms ObjC resilient class stub for
 fullObjCResilientClassStub Mt full ObjC resilient class stub for
 reflectionMetadataSuperclassDescriptor MC reflection metadata superclass descriptor
 methodLookupFunction Mu method lookup function for
+""",
+    ),
+    "standard_types": (
+        "$s{b}V_S{op}tD",
+        "({q}, {text})",
+        """
+structure a Swift.Array
+structure A Swift.AutoreleasingUnsafeMutablePointer
+structure b Swift.Bool
+structure D Swift.Dictionary
+structure d Swift.Double
+structure f Swift.Float
+structure h Swift.Set
+structure I Swift.DefaultIndices
+structure i Swift.Int
+structure J Swift.Character
+structure N Swift.ClosedRange
+structure n Swift.Range
+structure O Swift.ObjectIdentifier
+structure p Swift.UnsafeMutablePointer
+structure P Swift.UnsafePointer
+structure R Swift.UnsafeBufferPointer
+structure r Swift.UnsafeMutableBufferPointer
+structure S Swift.String
+structure s Swift.Substring
+structure u Swift.UInt
+structure v Swift.UnsafeMutableRawPointer
+structure V Swift.UnsafeRawPointer
+structure W Swift.UnsafeRawBufferPointer
+structure w Swift.UnsafeMutableRawBufferPointer
+enum q Swift.Optional
+structure cC Swift.CheckedContinuation
+structure cc Swift.UnsafeContinuation
+structure cE Swift.CancellationError
+structure ce Swift.UnownedSerialExecutor
+structure cG Swift.TaskGroup
+structure cg Swift.ThrowingTaskGroup
+structure cJ Swift.UnownedJob
+class cM Swift.MainActor
+structure cP Swift.TaskPriority
+structure cS Swift.AsyncStream
+structure cs Swift.AsyncThrowingStream
+structure cT Swift.Task
+structure ct Swift.UnsafeCurrentTask
+""",
+    ),
+    "standard_protocols": (
+        "$s{b}V_S{op}_ptD",
+        "({q}, {text})",
+        """
+protocol B Swift.BinaryFloatingPoint
+protocol E Swift.Encodable
+protocol e Swift.Decodable
+protocol F Swift.FloatingPoint
+protocol G Swift.RandomNumberGenerator
+protocol H Swift.Hashable
+protocol j Swift.Numeric
+protocol K Swift.BidirectionalCollection
+protocol k Swift.RandomAccessCollection
+protocol L Swift.Comparable
+protocol l Swift.Collection
+protocol M Swift.MutableCollection
+protocol m Swift.RangeReplaceableCollection
+protocol Q Swift.Equatable
+protocol T Swift.Sequence
+protocol t Swift.IteratorProtocol
+protocol U Swift.UnsignedInteger
+protocol X Swift.RangeExpression
+protocol x Swift.Strideable
+protocol Y Swift.RawRepresentable
+protocol y Swift.StringProtocol
+protocol Z Swift.SignedInteger
+protocol z Swift.BinaryInteger
+protocol cA Swift.Actor
+protocol cF Swift.Executor
+protocol cf Swift.SerialExecutor
+protocol ch Swift.TaskExecutor
+protocol cI Swift.AsyncIteratorProtocol
+protocol ci Swift.AsyncSequence
+""",
+    ),
+    "builtins": (
+        "$s{b}V_B{op}tD",
+        "({q}, {text})",
+        """
+builtinTypeName A Builtin.ImplicitActor
+builtinTypeName b Builtin.BridgeObject
+builtinTypeName B Builtin.UnsafeValueBuffer
+builtinTypeName e Builtin.Executor
+builtinTypeName I Builtin.IntLiteral
+builtinTypeName O Builtin.UnknownObject
+builtinTypeName o Builtin.NativeObject
+builtinTypeName p Builtin.RawPointer
+builtinTypeName t Builtin.SILToken
+builtinTypeName w Builtin.Word
+builtinTypeName c Builtin.RawUnsafeContinuation
+builtinTypeName D Builtin.DefaultActorStorage
+builtinTypeName d Builtin.NonDefaultDistributedActorStorage
+builtinTypeName j Builtin.Job
+builtinTypeName P Builtin.PackIndex
+builtinTypeName f32_ Builtin.FPIEEE32
+builtinTypeName f64_ Builtin.FPIEEE64
+builtinTypeName i1_ Builtin.Int1
+builtinTypeName i32_ Builtin.Int32
+builtinTypeName pBv4_ Builtin.Vec4xRawPointer
+builtinTypeName i8_Bv16_ Builtin.Vec16xInt8
+""",
+    ),
+    "conventions_of_parameters": (
+        "$s{b}VIeg{op}_D",
+        "@escaping @callee_guaranteed ({text} {q}) -> ()",
+        """
+implParameter i @in
+implParameter c @in_constant
+implParameter l @inout
+implParameter b @inout_aliasable
+implParameter n @in_guaranteed
+implParameter X @in_cxx
+implParameter x @owned
+implParameter g @guaranteed
+implParameter e @deallocating
+implParameter y @unowned
+implParameter v @pack_owned
+implParameter p @pack_guaranteed
+implParameter m @pack_inout
+""",
+    ),
+    "conventions_of_results": (
+        "$s{b}VIeg{op}_D",
+        "@escaping @callee_guaranteed () -> ({text} {q})",
+        """
+implResult r @out
+implResult o @owned
+implResult d @unowned
+implResult u @unowned_inner_pointer
+implResult a @autoreleased
+implResult k @pack_out
+""",
+    ),
+    "callees": (
+        "$s{b}VIe{op}y_D",
+        "@escaping {text} (@unowned {q}) -> ()",
+        """
+implConvention y @callee_unowned
+implConvention g @callee_guaranteed
+implConvention x @callee_owned
+implConvention t @convention(thin)
+implConvention yB @callee_unowned @convention(block)
+implConvention yC @callee_unowned @convention(c)
+implConvention yM @callee_unowned @convention(method)
+implConvention yO @callee_unowned @convention(objc_method)
+implConvention yK @callee_unowned @convention(closure)
+implConvention yW @callee_unowned @convention(witness_method)
+implConvention tMA @convention(thin) @convention(method) @yield_once
+implConvention tMI @convention(thin) @convention(method) @yield_once_2
+implConvention tMG @convention(thin) @convention(method) @yield_many
+""",
+    ),
+    "value_witnesses": (
+        "$s{b}Vw{op}",
+        "{text} value witness for {q}",
+        """
+valueWitness al allocateBuffer
+valueWitness ca assignWithCopy
+valueWitness ta assignWithTake
+valueWitness de deallocateBuffer
+valueWitness xx destroy
+valueWitness Xx destroyArray
+valueWitness XX destroyBuffer
+valueWitness CP initializeBufferWithCopyOfBuffer
+valueWitness Cp initializeBufferWithCopy
+valueWitness cp initializeWithCopy
+valueWitness Tk initializeBufferWithTake
+valueWitness tk initializeWithTake
+valueWitness pr projectBuffer
+valueWitness TK initializeBufferWithTakeOfBuffer
+valueWitness Cc initializeArrayWithCopy
+valueWitness Tt initializeArrayWithTakeFrontToBack
+valueWitness tT initializeArrayWithTakeBackToFront
+valueWitness xs storeExtraInhabitant
+valueWitness xg getExtraInhabitantIndex
+valueWitness ug getEnumTag
+valueWitness up destructiveProjectEnumData
+valueWitness ui destructiveInjectEnumTag
+valueWitness et getEnumTagSinglePayload
+valueWitness st storeEnumTagSinglePayload
+""",
+    ),
+    "layouts": (
+        "$s{b}yyxRlz{op}lF",
+        "{q}<A where A: {text}>(A) -> ()",
+        """
+dependentGenericLayoutRequirement U _UnknownLayout
+dependentGenericLayoutRequirement R _RefCountedObject
+dependentGenericLayoutRequirement N _NativeRefCountedObject
+dependentGenericLayoutRequirement C AnyObject
+dependentGenericLayoutRequirement D _NativeClass
+dependentGenericLayoutRequirement T _Trivial
+dependentGenericLayoutRequirement E7_3_ _Trivial(8, 4)
+dependentGenericLayoutRequirement e7_ _Trivial(8)
+dependentGenericLayoutRequirement M7_3_ _TrivialAtMost(8, 4)
+dependentGenericLayoutRequirement m7_ _TrivialAtMost(8)
+""",
+    ),
+    "requirements": (
+        "$s{b}yyx{op}lF",
+        "{q}<A {text}>(A) -> ()",
+        """
+dependentGenericConformanceRequirement SHRz where A: Swift.Hashable
+dependentGenericSameTypeRequirement SiRsz where A == Swift.Int
+dependentGenericConformanceRequirement 4main1CCRbz where A: main.C
+dependentGenericInverseConformanceRequirement Ri_z where A: ~Swift.Copyable
+dependentGenericInverseConformanceRequirement Ri0_z where A: ~Swift.Escapable
+dependentGenericSameTypeRequirement STRzSi7ElementRtz where A: Swift.Sequence, A.Element == Swift.Int
+dependentGenericConformanceRequirement STRzSH7ElementRpz where A: Swift.Sequence, A.Element: Swift.Hashable
+dependentGenericConformanceRequirement SHRzSERz where A: Swift.Hashable, A: Swift.Encodable
+""",
+    ),
+    "metatypes": (
+        "$s{b}VXM{op}D",
+        "{text} {q}.Type",
+        """
+metatypeRepresentation t @thin
+metatypeRepresentation T @thick
+metatypeRepresentation o @objc_metatype
+""",
+    ),
+    "local_names": (
+        "$s{b}V1a{op}V",
+        "{text}",
+        """
+localDeclName L_ a #1 in {q}
+localDeclName L0_ a #2 in {q}
+""",
+    ),
+    "differentiability": (
+        "$s{b}VyYj{op}cD",
+        "{text} () -> {q}",
+        """
+differentiableFunctionType d @differentiable
+differentiableFunctionType f @differentiable(_forward)
+differentiableFunctionType r @differentiable(reverse)
+differentiableFunctionType l @differentiable(_linear)
+""",
+    ),
+    "derivatives": (
+        "$s{b}yyFTJ{op}SpSr",
+        "{text} of {q}() -> () with respect to parameters {0} and results {0}",
+        """
+autoDiffFunctionKind f forward-mode derivative
+autoDiffFunctionKind r reverse-mode derivative
+autoDiffFunctionKind d differential
+autoDiffFunctionKind p pullback
+autoDiffFunctionKind Vf vtable thunk for forward-mode derivative
+autoDiffFunctionKind Vr vtable thunk for reverse-mode derivative
 """,
     ),
     "function_types": (
