@@ -26,7 +26,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -282,9 +282,9 @@ class Bucket:
             out[n] = start, np.concatenate((own, longer[:, :n] ^ longer[:, n:]))
         return out
 
-    def open_pairs(self) -> np.ndarray:
-        """(row, later row, how many shingles at least are in one of them only) for all pairs that may be near."""
-        folded, out = self.folded(), [_NO_PAIRS]
+    def open_pairs(self) -> Iterator[np.ndarray]:
+        """(row, later row, how many shingles at least are in one of them only) for all pairs that may be near, a block at a time."""
+        folded = self.folded()
         words = np.array([len(b) // 8 for b in self.bins])
         for left, right in self.near_pairs():
             for n in np.unique(words[left]).tolist():
@@ -297,11 +297,10 @@ class Bucket:
                     apart[part] = np.bitwise_count(rows[a[part] - start] ^ rows[b[part] - start]).sum(1, dtype=np.int64)
                 # |a & b| / |a | b| >= 4 / 5 where 9 times what only one has <= |a| + |b|.
                 holds = 9 * apart <= self.sizes[a].astype(np.int64) + self.sizes[b]
-                out.append(np.stack((a, b, apart))[:, holds])
-        return np.concatenate(out, 1)
+                yield np.stack((a, b, apart))[:, holds]
 
 
-def _led(bucket: Bucket) -> tuple[np.ndarray, bool]:
+def _led(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
     """Pairs (leader, row, distance), each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
     free, out = np.ones(len(bucket.sizes), bool), []
 
@@ -321,28 +320,30 @@ def _led(bucket: Bucket) -> tuple[np.ndarray, bool]:
         for i in range(len(free) - 1):
             if free[i]:
                 lead(i, bucket.near(i))
-    return np.concatenate(out, 1) if out else _NO_PAIRS, len(free) > 2 and bool(out)
+    return out, len(free) > 2 and bool(out)
 
 
-def _nearest(bucket: Bucket) -> tuple[np.ndarray, bool]:
+def _nearest(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
     """Pairs (row, row, distance): each row's partner of another root that is nearest by the bins."""
-    a, b, apart = bucket.open_pairs()
-    one, other, far = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
-    order = np.lexsort((other, far, one))
-    first = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
-    return np.stack((other[first], one[first], far[first])), False
-
-
-def _across(bucket: Bucket) -> tuple[np.ndarray, bool]:
+    partner, least = np.full(len(bucket.sizes), -1, np.int64), np.zeros(len(bucket.sizes), np.int64)
+    for a, b, apart in bucket.open_pairs():
+        one, other, far = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
+        order = np.lexsort((other, far, one))
+        first = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
+        rows, other, far = one[first], other[first], far[first]
+        better = (partner[rows] < 0) | (far < least[rows])
+        partner[rows[better]], least[rows[better]] = other[better], far[better]
+    rows = np.flatnonzero(partner >= 0)
+    return [np.stack((partner[rows], rows, least[rows]))], False
+
+
+def _across(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
     """All pairs (row, row, distance) that may be near and have different roots."""
     return bucket.open_pairs(), False
 
 
 #: Rows of a bucket whose pairs are all tested at once to find leaders.
 LED_AT_ONCE = 256
-_NO_PAIRS = np.zeros((3, 0), np.int64)
-
-
 def _buckets(test):
     """A function of batches sorted by key (columns key, n, node, fp and perhaps root and bins; whole buckets in a task). It gives the pairs that `test` finds in buckets of two rows or more
     and the rows of buckets that `test` leaves open, as PAIRS says."""
@@ -353,30 +354,38 @@ def _buckets(test):
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         lengths = np.diff(np.concatenate((heads, [len(keys)])))
         unsigned = fps.view(np.uint64)
-        found, open_rows = [_NO_PAIRS], []
         single = lengths == 2 if not rest else np.zeros(len(heads), bool)
         two = heads[single]
         ok, far = _near(sizes, unsigned, two, two + 1)
-        found.append(np.stack((two, two + 1, far))[:, ok])
+        found, n = [np.stack((two, two + 1, far))[:, ok]], 0
+        open_rows = [np.zeros(0, np.int64)]
+
+        def told(found: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+            pairs = np.concatenate(found, 1)
+            # A group's pairs recur in bucket after bucket.
+            ends = np.stack((nodes[pairs[0]], nodes[pairs[1]]))
+            order = np.lexsort((pairs[2], ends[0], ends[1]))
+            ends, far = ends[:, order], pairs[2][order]
+            new = np.ones(len(far), bool)
+            new[1:] = (ends[:, 1:] != ends[:, :-1]).any(0)
+            (a, b), far = ends[:, new], far[new]
+            arrays = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(keys[at])])]
+            arrays += [pa.concat_arrays([pa.array(x.astype(kind)), pa.array(y[at].astype(kind))]) for x, y, kind in ((far, sizes, np.int32), (a, nodes, np.int64), (b, fps, np.int64))]
+            return pa.RecordBatch.from_arrays(arrays, names=["key", "n", "a", "b"])
+
         many = (lengths > 1) & ~single
         for head, length in zip(heads[many].tolist(), lengths[many].tolist(), strict=True):
             rows = slice(head, head + length)
             pairs, more = test(Bucket(sizes[rows], unsigned[rows], *([rest[0][rows], bins[rows]] if rest else [])))
-            found.append(pairs + np.array([[head], [head], [0]]))
+            for part in pairs:
+                found.append(part + np.array([[head], [head], [0]]))
+                n += part.shape[1]
+                if n > BLOCK:
+                    yield told(found, open_rows[0])
+                    found, n = [np.zeros((3, 0), np.int64)], 0
             if more:
                 open_rows.append(np.arange(head, head + length))
-        pairs = np.concatenate(found, 1)
-        # A group's pairs recur in bucket after bucket.
-        ends = np.stack((nodes[pairs[0]], nodes[pairs[1]]))
-        order = np.lexsort((pairs[2], ends[0], ends[1]))
-        ends, far = ends[:, order], pairs[2][order]
-        new = np.ones(len(far), bool)
-        new[1:] = (ends[:, 1:] != ends[:, :-1]).any(0)
-        (a, b), far = ends[:, new], far[new]
-        at = np.concatenate(open_rows) if open_rows else np.zeros(0, np.int64)
-        arrays = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(keys[at])])]
-        arrays += [pa.concat_arrays([pa.array(x.astype(kind)), pa.array(y[at].astype(kind))]) for x, y, kind in ((far, sizes, np.int32), (a, nodes, np.int64), (b, fps, np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "a", "b"])
+        yield told(found, np.concatenate(open_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _whole(batches, work)
