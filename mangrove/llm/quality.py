@@ -2,8 +2,8 @@
 
 Per text: counts of words, word characters, symbols, repeated lines and words in repeated 8-word windows. Ratios of
 them go into quantile sketches: histograms over integer bins (per mille, at most 1001 bins a ratio; mean lengths in tenths of a character, beyond 100 characters a thousand bins
-a doubling), which merge by adding counts and are exact to a bin. Fences per (lang, source) come from the sketch's quartiles and are weighed by the group's texts against those of its
-language, and these against those of all texts, which weigh as `min_group` texts each. A join then filters.
+a doubling), which merge by adding counts and are exact to a bin. Fences per (lang, source) come from the sketch's quartiles; a group of fewer than `min_group` texts is blended with its language, in
+proportion to the texts it lacks, and a language with all texts. A join then filters.
 
 Defined cases: null text: no words, fails the base rule; null lang or source: a group of their own; an empty table
 gives no rows; repeated rows count each; windows are told apart by 64-bit hashes of 64-bit word hashes.
@@ -102,14 +102,15 @@ def fences(sketched: DataFrame, keys: list[str], reach: float) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, reach: float, min_group: int) -> DataFrame:
-    """lang, source and the fences that hold there: those of the group, weighed by its texts, with those of its language, which weigh as `min_group` texts; in the language's own, all texts weigh so."""
+    """lang, source and the fences that hold there: the group's own from `min_group` texts on, below that blended with its language's in proportion, and these with all texts' in the same way."""
     base = materialise(sketch(measured), "quality-sketch")
     names = [f"hi_{r}" for r in FLOORS] + ["lo_mean_len"]
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
     own, lang = (rename(fences(base, keys, reach), p) for keys, p in ((["lang", "source"], "o_"), (["lang"], "l_")))
     every = fences(base, [], reach).collect()[0]  # one row, for all texts
     joined = own.join(lang, own["o_lang"].eqNullSafe(lang["l_lang"]), "left")
-    blend = lambda n, own, above: (F.col(n) * F.col(own) + F.lit(float(min_group)) * above) / (F.col(n) + min_group)
+    weight = lambda n: F.least(F.col(n), F.lit(min_group)).cast("double")
+    blend = lambda n, own, above: (weight(n) * F.col(own) + (F.lit(float(min_group)) - weight(n)) * above) / F.lit(float(min_group))
     pick = lambda c: blend("o_n", f"o_{c}", blend("l_n", f"l_{c}", F.lit(every[c]))).alias(c)
     return joined.select(F.col("o_lang").alias("g_lang"), F.col("o_source").alias("g_source"), *map(pick, names))
 

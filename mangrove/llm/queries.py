@@ -129,7 +129,7 @@ g AS (SELECT 0 AS level, lang, source, rule, bin FROM l UNION ALL SELECT 1, lang
 q AS (SELECT level, lang, source, rule, COUNT(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM g GROUP BY level, lang, source, rule),
 f AS (SELECT level, lang, source, MAX(n) AS n, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'symbols'), 100) AS DOUBLE) AS hs, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'dup_lines'), 300) AS DOUBLE) AS hd,
   CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'repeats'), 200) AS DOUBLE) AS hr, CAST(GREATEST(MAX(q3 + 3 * (q3 - q1)) FILTER (rule = 'mean_len'), 120) AS DOUBLE) AS hm, CAST(LEAST(MAX(q1 - 3 * (q3 - q1)) FILTER (rule = 'mean_len'), 15) AS DOUBLE) AS lm FROM q GROUP BY level, lang, source),
-t AS (SELECT r.*, (o.n * o.hs + 100.0::DOUBLE * ((a.n * a.hs + 100.0::DOUBLE * e.hs) / (a.n + 100))) / (o.n + 100) AS hs, (o.n * o.hd + 100.0::DOUBLE * ((a.n * a.hd + 100.0::DOUBLE * e.hd) / (a.n + 100))) / (o.n + 100) AS hd, (o.n * o.hr + 100.0::DOUBLE * ((a.n * a.hr + 100.0::DOUBLE * e.hr) / (a.n + 100))) / (o.n + 100) AS hr, (o.n * o.hm + 100.0::DOUBLE * ((a.n * a.hm + 100.0::DOUBLE * e.hm) / (a.n + 100))) / (o.n + 100) AS hm, (o.n * o.lm + 100.0::DOUBLE * ((a.n * a.lm + 100.0::DOUBLE * e.lm) / (a.n + 100))) / (o.n + 100) AS lm FROM r LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+t AS (SELECT r.*, (LEAST(o.n, 100)::DOUBLE * o.hs + (100.0::DOUBLE - LEAST(o.n, 100)::DOUBLE) * ((LEAST(a.n, 100)::DOUBLE * a.hs + (100.0::DOUBLE - LEAST(a.n, 100)::DOUBLE) * e.hs) / 100.0::DOUBLE)) / 100.0::DOUBLE AS hs, (LEAST(o.n, 100)::DOUBLE * o.hd + (100.0::DOUBLE - LEAST(o.n, 100)::DOUBLE) * ((LEAST(a.n, 100)::DOUBLE * a.hd + (100.0::DOUBLE - LEAST(a.n, 100)::DOUBLE) * e.hd) / 100.0::DOUBLE)) / 100.0::DOUBLE AS hd, (LEAST(o.n, 100)::DOUBLE * o.hr + (100.0::DOUBLE - LEAST(o.n, 100)::DOUBLE) * ((LEAST(a.n, 100)::DOUBLE * a.hr + (100.0::DOUBLE - LEAST(a.n, 100)::DOUBLE) * e.hr) / 100.0::DOUBLE)) / 100.0::DOUBLE AS hr, (LEAST(o.n, 100)::DOUBLE * o.hm + (100.0::DOUBLE - LEAST(o.n, 100)::DOUBLE) * ((LEAST(a.n, 100)::DOUBLE * a.hm + (100.0::DOUBLE - LEAST(a.n, 100)::DOUBLE) * e.hm) / 100.0::DOUBLE)) / 100.0::DOUBLE AS hm, (LEAST(o.n, 100)::DOUBLE * o.lm + (100.0::DOUBLE - LEAST(o.n, 100)::DOUBLE) * ((LEAST(a.n, 100)::DOUBLE * a.lm + (100.0::DOUBLE - LEAST(a.n, 100)::DOUBLE) * e.lm) / 100.0::DOUBLE)) / 100.0::DOUBLE AS lm FROM r LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
   LEFT JOIN f a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM r.lang LEFT JOIN f e ON e.level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND symbols <= hs AND dup_lines <= hd AND repeats <= hr AND mean_len <= hm AND mean_len >= lm AS kept FROM t
