@@ -223,7 +223,7 @@ def emit(docs: DataFrame, shards: int = 64, block: int = 512, seed: int = 7, **o
     discard(draws)
     keyed = docs.withColumn("__mix_key", row_key(docs))
     again = materialise(plan.where("__mix_n > 1"), "mix-again")
-    once = keyed.join(plan.where("__mix_n = 1"), "__mix_key").withColumn("__mix_i", F.lit(1).cast("long"))
+    once = keyed.join(plan.where("__mix_n = 1").hint("shuffle_hash"), "__mix_key").withColumn("__mix_i", F.lit(1).cast("long"))
     repeated = materialise(keyed.join(again, "__mix_key").withColumn("__mix_salt", salt()), "mix-repeated")
     joined = once.unionByName(numbered(repeated, "__mix_key", "__mix_salt").withColumnRenamed("__i", "__mix_i").drop("__mix_salt"))
     own = lambda p: F.floor(p["taken"] / F.col("__mix_n")) + (F.col("__mix_i") <= p["taken"] % F.col("__mix_n")).cast("long")

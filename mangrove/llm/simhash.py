@@ -173,7 +173,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     rows = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     src = only(docs, doc_id="doc_id", text="text")
-    theirs = src.join(rows, src["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(src["text"]) == rows["__hash"]), "left_semi")
+    # The ids are hashed, so that texts are streamed past them and not sorted.
+    theirs = src.join(rows.hint("shuffle_hash"), src["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(src["text"]) == rows["__hash"]), "left_semi")
     return theirs.select("text").mapInArrow(of, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -532,13 +533,14 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of `docs` of each class of near copies: that of the smallest id; of rows that repeat this id and its text, one."""
     marked = materialise(signatures(docs, shingle), "signatures")
     nodes = materialise(marked.groupBy("node").agg(_first(), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bins").alias("bins"), F.min("prefix").alias("prefix")), "near-nodes")
+    repeated = materialise(marked.groupBy(F.xxhash64("doc_id").alias("__id_hash"), F.col("text_hash").alias("__text_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-repeated")
     discard(marked)
-    keep = _classes(nodes.select("node", "first"), jaccard_links(docs, nodes, shingle)).select("least").distinct()
-    keep = materialise(keep.select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")), "near-kept")
+    least = _classes(nodes.select("node", "first"), jaccard_links(docs, nodes, shingle)).select("least").distinct()
+    keep = materialise(least.select(F.xxhash64("least.doc_id").alias("__id_hash"), F.col("least.text_hash").alias("__text_hash")).distinct(), "near-kept")
     discard(nodes)
-    hashed = docs.withColumns({"__text_hash": F.xxhash64(docs["text"]), "__id_hash": F.xxhash64(docs["doc_id"])})
-    keep = keep.select("__id", "__hash", F.xxhash64("__id").alias("__hash_id"))
-    # Joined and made distinct on the same two columns, so that texts are shuffled once.
-    same = (hashed["__text_hash"] == keep["__hash"]) & (hashed["__id_hash"] == keep["__hash_id"])
-    kept = hashed.join(keep, same, "left_semi")
-    return kept.dropDuplicates(["__text_hash", "__id_hash"]).drop("__text_hash", "__id_hash")
+    row = ["__id_hash", "__text_hash"]
+    hashed = docs.withColumns({"__id_hash": F.xxhash64(docs["doc_id"]), "__text_hash": F.xxhash64(docs["text"])})
+    # Texts are shuffled once and streamed past the ids that stay; only rows that repeat an id and its text are made distinct.
+    once = hashed.join(keep.join(repeated, row, "left_anti").hint("shuffle_hash"), row, "left_semi")
+    several = hashed.join(keep.join(repeated, row, "left_semi"), row, "left_semi").dropDuplicates(row)
+    return once.unionByName(several).select(*[F.col(c) for c in docs.columns])
