@@ -13,11 +13,10 @@ is joined already are left out. Components of the links give the classes.
 `near_duplicates` links by one fingerprint of word shingles. `deduplicate` is for near copies by the sets of their five-word shingles: a link is a
 Jaccard similarity of 0.8 or more, counted on the sets (of 64-bit hashes). Fingerprints of such pairs differ in some 10 of 64 bits on average, too many for
 buckets of whole segments, so its buckets are the rare shingles of a text: in one order of all shingles, rare ones first, two such sets of sizes up to n share one
-of their first n // 5 + 1. Within a bucket sizes and the pigeonring chain over the segments at distance NEAR prune pairs, then the sets decide. Of pairs of 0.8 or more
-the chain loses less than four in a million, and none with a set of less than SURE shingles, where it is not used. So that a group of many copies
+of their first n // 5 + 1. Within a bucket sizes and the pigeonring chain over the segments at distance NEAR find pairs, then the sets decide. So that a group of many copies
 gives no square of pairs, each row is tested with one leader of its buckets first, then with one partner of another class, the nearest by the parities of the
-shingles' counts in two bins a shingle or more; these bound the similarity from above without loss. The last pass tests all pairs of a bucket that are in different
-classes then and that the parities leave open.
+shingles' counts in two bins a shingle or more. The chain can miss a pair of 0.8 or more and a row has more partners than these two, so neither pass closes a bucket: the last one
+tests all pairs of a bucket that are in different classes then, whatever the chain says. Only sizes and parities prune there, which bound the similarity from above without loss.
 
 Defined cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the shingle; repeated rows fall together; null ids take their class's id, null if it has no other; an
@@ -40,7 +39,7 @@ from .common import discard, materialise, only, small_batches
 from .graph import components
 
 BITS, DISTANCE, SEED = 64, 4, 42
-#: Greatest distance of fingerprints of near copies, and the size of sets from which it is asked for.
+#: Greatest distance of fingerprints of near copies in the first pass, and the size of sets from which it is asked for.
 NEAR, SURE = 24, 64
 #: Texts that say which shingles are frequent, and the most of these that are told apart.
 SAMPLE, FREQUENT = 20_000, 100_000
@@ -254,8 +253,12 @@ class Bucket:
         rows = np.arange(i + 1, max(i + 1, int(np.searchsorted(self.sizes, 5 * int(self.sizes[i]) // 4, "right"))))
         return rows[_near(self.sizes, self.fps, np.full(len(rows), i), rows)[0]]
 
-    def near_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (row, later row) that may be near copies, of different roots where rows have one, sorted; about BLOCK of them are tested at once."""
+    def comparable(self) -> bool:
+        """Whether any two rows have sizes that near copies may have."""
+        return bool((5 * self.sizes[:-1].astype(np.int64) >= 4 * self.sizes[1:]).any())
+
+    def comparable_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, later row) whose sizes near copies may have, of different roots where rows have one, sorted; about BLOCK of them at once."""
         reach = np.searchsorted(self.sizes, 5 * self.sizes.astype(np.int64) // 4, "right")
         counts = np.maximum(reach - np.arange(len(reach)) - 1, 0)
         upto = np.cumsum(counts)
@@ -268,9 +271,14 @@ class Bucket:
             if self.roots is not None:
                 apart = self.roots[left] != self.roots[right]
                 left, right = left[apart], right[apart]
+            yield left, right
+            start = stop
+
+    def near_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of the pairs that may be near copies by the chain."""
+        for left, right in self.comparable_pairs():
             ok = _near(self.sizes, self.fps, left, right)[0]
             yield left[ok], right[ok]
-            start = stop
 
     def folded(self) -> dict[int, tuple[int, np.ndarray]]:
         """By number of words of bins: the first row that has so many, and the bins of the rows that have so many or twice as many, the latter folded onto them. Rows whose sizes are in the ratio have no others."""
@@ -284,10 +292,10 @@ class Bucket:
         return out
 
     def open_pairs(self) -> Iterator[np.ndarray]:
-        """(row, later row, how many shingles at least are in one of them only) for all pairs that may be near, a block at a time."""
+        """(row, later row, how many shingles at least are in one of them only) for all pairs that may be near by sizes and bins, a block at a time."""
         folded = self.folded()
         words = np.array([len(b) // 8 for b in self.bins])
-        for left, right in self.near_pairs():
+        for left, right in self.comparable_pairs():
             for n in np.unique(words[left]).tolist():
                 start, rows = folded[n]
                 of = words[left] == n
@@ -302,7 +310,7 @@ class Bucket:
 
 
 def _led(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
-    """Pairs (leader, row, distance), each row with the first leader near it, and whether other pairs may be near: where no row has a leader, each has been tested with all others."""
+    """Pairs (leader, row, distance), each row with the first leader near it by the chain, and whether pairs may be near that the chain or the choice of a leader leaves out."""
     free, out = np.ones(len(bucket.sizes), bool), []
 
     def lead(i: int, rows: np.ndarray) -> None:
@@ -321,7 +329,7 @@ def _led(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
         for i in range(len(free) - 1):
             if free[i]:
                 lead(i, bucket.near(i))
-    return out, len(free) > 2 and bool(out)
+    return out, bucket.comparable()
 
 
 def _nearest(bucket: Bucket) -> tuple[Iterable[np.ndarray], bool]:
@@ -359,7 +367,9 @@ def _buckets(test):
         two = heads[single]
         ok, far = _near(sizes, unsigned, two, two + 1)
         found, n = [np.stack((two, two + 1, far))[:, ok]], 0
-        open_rows = [np.zeros(0, np.int64)]
+        # Of a row's pairs only the one of least distance is tested next, so these buckets stay open too.
+        left_open = two[5 * sizes[two].astype(np.int64) >= 4 * sizes[two + 1]]
+        open_rows = [np.stack((left_open, left_open + 1), 1).ravel()]
 
         def told(found: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
             pairs = np.concatenate(found, 1)
@@ -382,7 +392,7 @@ def _buckets(test):
                 found.append(part + np.array([[head], [head], [0]]))
                 n += part.shape[1]
                 if n > BLOCK:
-                    yield told(found, open_rows[0])
+                    yield told(found, np.zeros(0, np.int64))
                     found, n = [np.zeros((3, 0), np.int64)], 0
             if more:
                 open_rows.append(np.arange(head, head + length))

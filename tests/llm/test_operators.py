@@ -750,6 +750,30 @@ def test_deduplicate_catches_copies_with_a_block_added_or_dropped(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, c in enumerate(classes) if c == i]
 
 
+def test_deduplicate_tests_all_partners_of_small_buckets(spark):
+    """Texts with two near copies that are not near each other; many of their buckets hold two texts only."""
+    texts = []
+    for i in range(300):
+        words = [f"w{i}x{k}" for k in range(14)]
+        texts += [" ".join(words[:12]), " ".join(words[2:]), " ".join(words)]
+    classes = near_classes(texts)
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes)) == list(range(0, 900, 3))
+
+
+def test_deduplicate_finds_near_copies_that_the_chain_misses(spark):
+    """Pairs of similarity 57/71 or 58/72 whose fingerprints differ in 25 bits or more."""
+    texts = []
+    for start, shingles in ((690_194, 65), (805_412, 64), (1_107_367, 65), (1_752_173, 64)):
+        texts += [" ".join(f"w{i}" for i in range(at, at + shingles + 4)) for at in (start, start + 7)]
+    sets = [simhash._shingles(t, 5)[1] for t in texts]
+    fps, sizes = np.array([simhash._majority(x) for x in sets], np.int64).view(np.uint64), np.array([len(x) for x in sets])
+    first = np.arange(0, len(texts), 2)
+    assert not simhash._near(sizes, fps, first, first + 1)[0].any()
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(near_classes(texts))) == first.tolist()
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i * 7 + 1) % 50) for i in range(50)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
