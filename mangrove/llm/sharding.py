@@ -4,12 +4,14 @@ A node of the tree is split at the weighted median (weight: bytes) of its widest
 distinct values, until leaves reach the target: `fineness` leaves a shard. A node whose rows agree in every dimension is a leaf of any size. The leaves stand in the
 tree's order, and a shard is a stretch of them.
 
-The medians come from one mergeable sketch of all rows: each row enters it with a probability in proportion to its bytes, `sketch_rows` of them at most on average, whatever the
-size of the table; its values are whole, of any atomic type. Only the shape of the tree rests on the sketch. The bytes of leaves are counted
+The medians come from one mergeable summary of all rows: the bytes of each cell, that is of each combination of the dimensions' values. Values are whole, of any atomic
+type, and are ranked among all of the table. A node of more than `cells_at_once` cells is split by histograms of ranks that narrow down to the median; all such nodes of a level go together. Each smaller
+one is finished by a task of its own. Nothing is sampled: the tree is that of all rows, wherever this border lies. The bytes of leaves are counted
 over all rows, and where a shard ends within a leaf, the cut is found there by histograms of the rows' places: 31 bits of a hash of id and text, then 32 bits by which
 equal rows differ. So shards differ from the mean by about a row, and equal rows are cut apart like others.
 
-Passes over the rows: two writes, the total, the sketch, the leaves' bytes, one histogram for 11 bits of the places around a cut (two in most cases), the slots' buckets and the result.
+Passes over the rows: two writes, the total, the cells, the leaves' bytes, one histogram for 11 bits of the places around a cut (two in most cases), the slots' buckets and the result. Cells are
+read and written again for each level of nodes above the border.
 
 Defined cases: null text: size 16; null dimension: before all values, NaN after them; repeated rows are placed each; an empty table gives
 no rows. Equal texts are rows like others: they share a shard only by chance.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ from .common import discard, materialise, only
 
 PLACE_BITS, BIN_BITS = 63, 11
 DIMENSIONS = ("lang", "source", "n_chars")
-FINENESS, SKETCH_ROWS = 64, 65_536
+FINENESS, CELLS_AT_ONCE = 64, 1 << 15
 
 
 def _plain(value):
@@ -68,20 +71,22 @@ class Tree:
 
 
 def grow(values: list[list], weights: np.ndarray, leaf_weight: float) -> Tree:
-    """The tree of sketched rows. values: a list of row values per dimension."""
+    """The tree of rows. values: a list of row values per dimension."""
     distinct = [sorted({_plain(v) for v in column if v is not None}) for column in values]
     codes = np.array([[-1 if v is None else bisect_left(d, _plain(v)) for v in column] for d, column in zip(distinct, values, strict=True)], np.int64).reshape(len(values), -1)
-    whole = [max(1, len(d)) for d in distinct]
-    tree = Tree(distinct)
+    return split(Tree(distinct), codes, [max(1, len(d)) for d in distinct], weights, leaf_weight)
+
+
+def split(tree: Tree, codes: np.ndarray, whole: list[int], weights: np.ndarray, leaf_weight: float) -> Tree:
+    """The empty `tree`, grown over cells. codes: ranks by dimension and cell; whole: how many values a dimension has in all."""
     work: list[tuple[np.ndarray, int, bool]] = [(np.arange(codes.shape[1]), -1, False)]
     while work:  # depth first, left before right, so that leaves are numbered in order
         rows, parent, is_right = work.pop()
         me = len(tree.dim)
         if parent >= 0:
             (tree.right if is_right else tree.left)[parent] = me
-        span = [(int(c[rows].max() - c[rows].min()) / w if len(rows) else 0.0) for c, w in zip(codes, whole, strict=True)]
-        dim = max(range(len(span)), key=lambda i: (span[i], -i))
-        if span[dim] == 0 or weights[rows].sum() <= leaf_weight:
+        dim = widest([int(c[rows].max() - c[rows].min()) if len(rows) else 0 for c in codes], whole)
+        if dim < 0 or weights[rows].sum() <= leaf_weight:
             for column, value in ((tree.dim, -1), (tree.cut, 0), (tree.left, tree.leaves), (tree.right, 0)):
                 column.append(value)
             tree.leaves += 1
@@ -97,13 +102,141 @@ def grow(values: list[list], weights: np.ndarray, leaf_weight: float) -> Tree:
     return tree
 
 
-def sketch(rows: DataFrame, dims: list[str], total: int, most: int) -> tuple[list[list], np.ndarray]:
-    """Values per dimension and weights of the sketched rows: probabilities in proportion to bytes, rows of more than the average share for certain and with their weight."""
-    chance = F.col("size") * (most / max(1, total))
-    luck = F.shiftrightunsigned(F.xxhash64("place"), 11) / float(1 << 53)
-    found = rows.where(luck < chance).select(*dims, F.greatest(chance, F.lit(1.0)).alias("weight"), "place").collect()
-    found.sort(key=lambda r: r["place"])
-    return [[r[d] for r in found] for d in dims], np.array([r["weight"] for r in found])
+def widest(ranges: list[int], whole: list[int]) -> int:
+    """The dimension that is split, -1 for none: of the greatest range of ranks as a share of all its values, the first of equal ones."""
+    share = [r / w for r, w in zip(ranges, whole, strict=True)]
+    dim = max(range(len(share)), key=lambda i: (share[i], -i))
+    return dim if share[dim] else -1
+
+
+def rank_values(cells: DataFrame, name: str, rows_per_part: int = 50_000) -> tuple[DataFrame, int]:
+    """value, code (rank from 0 among all values of the dimension that are not null), written; and how many there are. Sorted in ranges of values, not by one task."""
+    values = materialise(cells.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct(), "kd-values")
+    n = values.count()
+    parts = materialise(values.repartitionByRange(max(1, -(-n // rows_per_part)), "value").withColumn("part", F.spark_partition_id()), "kd-parts")
+    start, starts = 0, []
+    for r in sorted(parts.groupBy("part").count().collect()):
+        starts.append((r["part"], start))
+        start += r["count"]
+    before = F.broadcast(parts.sparkSession.createDataFrame(starts, "part int, start long"))
+    row = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    codes = materialise(parts.withColumn("row", row).join(before, "part").select("value", (F.col("start") + F.col("row")).alias("code")), "kd-codes")
+    discard(values, parts)
+    return codes, n
+
+
+def rank_cells(rows: DataFrame, dims: list[str]) -> tuple[DataFrame, list[DataFrame], list[int]]:
+    """The cells of all rows (node: 0, c0, c1, ...: ranks, null -1, weight: bytes), written; the values' ranks by dimension; how many values each has."""
+    cells = materialise(rows.groupBy(*dims).agg(F.sum("size").alias("weight")), "kd-cells")
+    coded, ranks, whole = cells, [], []
+    for i, name in enumerate(dims):
+        codes, n = rank_values(cells, name)
+        mine = codes.select(F.col("value").alias(f"v{i}"), F.col("code").alias(f"c{i}"))
+        coded = coded.join(mine, F.col(name) == F.col(f"v{i}"), "left")
+        ranks.append(codes)
+        whole.append(max(1, n))
+    out = materialise(coded.select(F.lit(0).alias("node"), *[F.coalesce(f"c{i}", F.lit(-1).cast("long")).alias(f"c{i}") for i in range(len(dims))], "weight"), "kd-coded")
+    discard(cells)
+    return out, ranks, whole
+
+
+def find_medians(cells: DataFrame, nodes: dict[int, dict]) -> None:
+    """Sets `cut` of each of `nodes` (by number; dim, low and high: its ranks, weight): the rank after which its weight is parted most evenly, the lower of two. All are narrowed together."""
+    axis = F.element_at(F.array(*[F.col(c) for c in cells.columns if c not in ("node", "weight")]), F.col("dim") + 1)
+    for x in nodes.values():
+        x |= {"from": x["low"], "bits": (x["high"] - x["low"]).bit_length(), "upto": 0, "last": None}
+    todo = dict(nodes)
+    while todo:
+        frame = cells.sparkSession.createDataFrame([(k, x["dim"], x["from"], x["from"] + (1 << x["bits"]) - 1, max(0, x["bits"] - BIN_BITS)) for k, x in todo.items()], "at int, dim int, low long, high long, narrow int")
+        near = cells.join(F.broadcast(frame), F.col("node") == F.col("at")).withColumn("code", axis).where("code between low and high")
+        bins = near.groupBy("node", F.expr("shiftright(code - low, narrow)").alias("bin")).agg(F.sum("weight").alias("weight"), F.max("code").alias("last")).collect()
+        mine: dict[int, list] = {k: [] for k in todo}
+        for r in bins:
+            mine[r["node"]].append((r["bin"], int(r["weight"]), r["last"]))
+        for k, x in list(todo.items()):
+            x["bits"] = max(0, x["bits"] - BIN_BITS)
+            for bin_, weight, last in sorted(mine[k]):
+                if 2 * (x["upto"] + weight) < x["weight"]:
+                    x["upto"], x["last"] = x["upto"] + weight, last
+                    continue
+                x["from"] += bin_ << x["bits"]
+                if not x["bits"]:  # the cut is after this rank or after the one before it; not after a node's last
+                    over, under = 2 * (x["upto"] + weight) - x["weight"], x["weight"] - 2 * x["upto"]
+                    x["cut"] = x["last"] if x["last"] is not None and (last == x["high"] or under <= over) else last
+                    del todo[k]
+                break
+
+
+def grow_over(rows: DataFrame, dims: list[str], leaf_weight: float, cells_at_once: int = CELLS_AT_ONCE) -> Tree:
+    """The tree of all `rows` (size and `dims`), the same as `grow` gives."""
+    cells, ranks, whole = rank_cells(rows, dims)
+    columns = [f"c{i}" for i in range(len(dims))]
+    top: dict[int, tuple[int, int, int, int]] = {}  # dim, cut, left, right
+    small, fresh, count = [], [0], 1
+    while fresh:
+        stats = cells.where(F.col("node").isin(fresh)) if len(top) else cells
+        seen = stats.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).collect()
+        cut: dict[int, dict] = {}
+        for r in seen:
+            dim = widest([r[f"max_{c}"] - r[f"min_{c}"] for c in columns], whole)
+            if dim < 0 or r["weight"] <= leaf_weight:
+                continue  # a leaf
+            if r["n"] <= cells_at_once:
+                small.append(r["node"])
+            else:
+                cut[r["node"]] = {"dim": dim, "low": r[f"min_c{dim}"], "high": r[f"max_c{dim}"], "weight": int(r["weight"])}
+        fresh = []
+        if cut:
+            find_medians(cells, cut)
+            for k, x in sorted(cut.items()):
+                top[k] = (x["dim"], x["cut"], count, count + 1)
+                fresh += [count, count + 1]
+                count += 2
+            frame = F.broadcast(cells.sparkSession.createDataFrame([(k, *top[k]) for k in cut], "at int, dim int, cut long, left int, right int"))
+            side = F.when(F.element_at(F.array(*columns), F.col("dim") + 1) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
+            before, cells = cells, materialise(cells.join(frame, F.col("node") == F.col("at"), "left").select(F.coalesce(side, "node").alias("node"), *columns, "weight"), "kd-level")
+            discard(before)
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        tree = split(Tree([]), part[columns].to_numpy(np.int64).T, whole, part["weight"].to_numpy(np.int64), leaf_weight)
+        return pd.DataFrame({"node": part["node"].iloc[0], "i": np.arange(len(tree.dim)), "dim": tree.dim, "cut": tree.cut, "left": tree.left, "right": tree.right})
+
+    below: dict[int, dict[int, tuple]] = {k: {} for k in small}
+    for r in cells.where(F.col("node").isin(small)).groupBy("node").applyInPandas(finish, "node int, i int, dim int, cut long, left int, right int").collect():
+        below[r["node"]][r["i"]] = (r["dim"], r["cut"], r["left"], r["right"])
+    discard(cells)
+    tree = _joined(top, below, len(dims))
+    for d, codes in enumerate(ranks):
+        mine = [i for i, x in enumerate(tree.dim) if x == d]
+        used = codes.join(F.broadcast(codes.sparkSession.createDataFrame([(c,) for c in sorted({tree.cut[i] for i in mine})], "code long")), "code").orderBy("code").collect()
+        at = {r["code"]: i for i, r in enumerate(used)}
+        tree.cuts[d] = [_plain(r["value"]) for r in used]
+        for i in mine:
+            tree.cut[i] = at.get(tree.cut[i], -1)
+    discard(*ranks)
+    return tree
+
+
+def _joined(top: dict[int, tuple], below: dict[int, dict[int, tuple]], dims: int) -> Tree:
+    """One tree of the nodes of `top` and the trees of `below`, depth first; what is in neither is a leaf. Cuts are ranks still."""
+    tree = Tree([[] for _ in range(dims)])
+    work = [(0, 0, -1, False)]
+    while work:
+        k, i, parent, is_right = work.pop()
+        me = len(tree.dim)
+        if parent >= 0:
+            (tree.right if is_right else tree.left)[parent] = me
+        dim, cut, left, right = top[k] if k in top else below.get(k, {}).get(i, (-1, 0, 0, 0))
+        leaf = dim < 0
+        for column, value in ((tree.dim, dim), (tree.cut, cut), (tree.left, tree.leaves if leaf else 0), (tree.right, 0)):
+            column.append(value)
+        if leaf:
+            tree.leaves += 1
+        elif k in top:
+            work += [(right, 0, me, True), (left, 0, me, False)]
+        else:
+            work += [(k, right, me, True), (k, left, me, False)]
+    return tree
 
 
 def find_cuts(leafed: DataFrame, sizes: list[int], shards: int) -> list[tuple[int, int]]:
@@ -155,17 +288,22 @@ def _shard_of(cuts: list[tuple[int, int]]) -> Column:
     return F.size(F.filter(first, lambda c: c <= row)) if cuts else F.lit(0)
 
 
-def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = DIMENSIONS, fineness: int = FINENESS, sketch_rows: int = SKETCH_ROWS) -> DataFrame:
+def _number(df: DataFrame, name: str) -> Column:
+    """The column, NaN as infinity."""
+    return F.nanvl(name, F.lit(float("inf")).cast(df.schema[name].dataType)).alias(name) if df.schema[name].dataType.simpleString() in ("float", "double") else F.col(name)
+
+
+def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = DIMENSIONS, fineness: int = FINENESS, cells_at_once: int = CELLS_AT_ONCE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot per row of `docs`."""
     names = [f"d_{d}" for d in dims]
     src = only(docs, doc_id="doc_id", text="text", **dict(zip(names, dims, strict=True)))
     text = F.coalesce("text", F.lit(""))
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), text), 33)
     apart = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << 32) - 1)
-    sized = src.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.shiftleft(key, 32).bitwiseOR(apart).alias("place"), *names)
+    sized = src.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.shiftleft(key, 32).bitwiseOR(apart).alias("place"), *[_number(src, d) for d in names])
     rows = materialise(sized, "kd-rows")
     seen = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).collect()[0]
-    tree = grow(*sketch(rows, names, seen["size"], sketch_rows), sketch_rows / (shards * fineness))
+    tree = grow_over(rows, names, seen["size"] / (shards * fineness), cells_at_once)
 
     def place_in_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -586,6 +586,25 @@ def test_tree_is_a_kd_tree():
     assert len(members) > 60 and len({len({r[d] for m in members.values() for r in m}) for d in (0, 1)}) == 2
 
 
+def test_medians_are_those_of_all_rows(spark):
+    """More rows than a sketch of 65,536 holds: shards of one leaf each end at the quarters themselves."""
+    rows = spark.range(200_000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "'a' AS source", "id * 7919 % 200000 AS n_chars")
+    got = sharding.shard(rows, 4, fineness=1).join(rows, "doc_id").selectExpr("shard", "n_chars").groupBy("shard").agg({"n_chars": "min", "*": "count"}).collect()
+    assert sorted(tuple(r.asDict()[c] for c in ("shard", "min(n_chars)", "count(1)")) for r in got) == [(i, i * 50_000, 50_000) for i in range(4)]
+
+
+@pytest.mark.parametrize("cells_at_once", [5, 200, 100_000])
+def test_tree_over_a_table_is_that_of_its_rows(spark, cells_at_once):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "en", "de", "\U0001f600", "\uffff"]), rng.randint(0, 9000) if i % 3 else 7, rng.choice([None, -5.0, float("inf"), float("nan"), round(rng.gauss(0, 1), 2)]), rng.randint(16, 900)) for i in range(6000)]
+    want = sharding.grow([[r[i] for r in rows] for i in range(3)], np.array([r[3] for r in rows]), 9000.0)
+    table = spark.createDataFrame(rows, "a string, b long, c double, size long").repartition(5)
+    table = table.select("a", "b", sharding._number(table, "c"), "size")
+    got = sharding.grow_over(table, ["a", "b", "c"], 9000.0, cells_at_once)
+    told = lambda tree: [(d, left, right, None if d < 0 or c < 0 else tree.cuts[d][c]) for d, c, left, right in zip(tree.dim, tree.cut, tree.left, tree.right, strict=True)]
+    assert told(got) == told(want) and got.leaves == want.leaves > 300
+
+
 @pytest.mark.parametrize("rows", [[(1, "same", "en", "a", 4)] * 500, [(None, "same", "en", "a", 4)] * 300 + [(i, "x" * (i % 9), "en", "a", i % 9) for i in range(300)]])
 def test_equal_rows_are_spread_evenly(spark, rows):
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), 4).collect()
