@@ -109,31 +109,29 @@ def widest(ranges: list[int], whole: list[int]) -> int:
     return dim if share[dim] else -1
 
 
-def rank_values(cells: DataFrame, name: str, rows_per_part: int = 50_000) -> tuple[DataFrame, int]:
-    """value, code (rank from 0 among all values of the dimension that are not null), written; and how many there are. Sorted in ranges of values, not by one task."""
-    values = materialise(cells.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct(), "kd-values")
-    n = values.count()
-    parts = materialise(values.repartitionByRange(max(1, -(-n // rows_per_part)), "value").withColumn("part", F.spark_partition_id()), "kd-parts")
-    start, starts = 0, []
-    for r in sorted(parts.groupBy("part").count().collect()):
-        starts.append((r["part"], start))
-        start += r["count"]
-    before = F.broadcast(parts.sparkSession.createDataFrame(starts, "part int, start long"))
+def rank_values(cells: DataFrame, name: str, parts: int) -> tuple[DataFrame, DataFrame, int]:
+    """value, code (rank from 0 among all values of the dimension that are not null); what it is made of, written; and how many there are. Sorted in `parts` ranges of values, not by one task."""
+    values = cells.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct()
+    ranges = materialise(values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "kd-values")
+    n, starts = 0, []
+    for r in sorted(ranges.groupBy("part").count().collect()):
+        starts.append((r["part"], n))
+        n += r["count"]
+    before = F.broadcast(ranges.sparkSession.createDataFrame(starts, "part int, start long"))
     row = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    codes = materialise(parts.withColumn("row", row).join(before, "part").select("value", (F.col("start") + F.col("row")).alias("code")), "kd-codes")
-    discard(values, parts)
-    return codes, n
+    return ranges.withColumn("row", row).join(before, "part").select("value", (F.col("start") + F.col("row")).alias("code")), ranges, n
 
 
-def rank_cells(rows: DataFrame, dims: list[str]) -> tuple[DataFrame, list[DataFrame], list[int]]:
-    """The cells of all rows (node: 0, c0, c1, ...: ranks, null -1, weight: bytes), written; the values' ranks by dimension; how many values each has."""
+def rank_cells(rows: DataFrame, dims: list[str], rows_per_part: int = 50_000) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], list[int]]:
+    """The cells of all rows (node: 0, c0, c1, ...: ranks, null -1, weight: bytes), written; the values' ranks by dimension and what they are made of; how many values each has."""
     cells = materialise(rows.groupBy(*dims).agg(F.sum("size").alias("weight")), "kd-cells")
+    parts = max(1, -(-cells.count() // rows_per_part))
     coded, ranks, whole = cells, [], []
     for i, name in enumerate(dims):
-        codes, n = rank_values(cells, name)
+        codes, ranges, n = rank_values(cells, name, parts)
         mine = codes.select(F.col("value").alias(f"v{i}"), F.col("code").alias(f"c{i}"))
         coded = coded.join(mine, F.col(name) == F.col(f"v{i}"), "left")
-        ranks.append(codes)
+        ranks.append((codes, ranges))
         whole.append(max(1, n))
     out = materialise(coded.select(F.lit(0).alias("node"), *[F.coalesce(f"c{i}", F.lit(-1).cast("long")).alias(f"c{i}") for i in range(len(dims))], "weight"), "kd-coded")
     discard(cells)
@@ -206,14 +204,14 @@ def grow_over(rows: DataFrame, dims: list[str], leaf_weight: float, cells_at_onc
         below[r["node"]][r["i"]] = (r["dim"], r["cut"], r["left"], r["right"])
     discard(cells)
     tree = _joined(top, below, len(dims))
-    for d, codes in enumerate(ranks):
+    for d, (codes, ranges) in enumerate(ranks):
         mine = [i for i, x in enumerate(tree.dim) if x == d]
         used = codes.join(F.broadcast(codes.sparkSession.createDataFrame([(c,) for c in sorted({tree.cut[i] for i in mine})], "code long")), "code").orderBy("code").collect()
         at = {r["code"]: i for i, r in enumerate(used)}
         tree.cuts[d] = [_plain(r["value"]) for r in used]
         for i in mine:
             tree.cut[i] = at.get(tree.cut[i], -1)
-    discard(*ranks)
+        discard(ranges)
     return tree
 
 
